@@ -7,8 +7,8 @@ plan with the fewest stages, large ones the plan that splits hot groups. Setting
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +33,28 @@ def reads_little(df: DataFrame) -> bool:
     return total <= _limit(df.sparkSession)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder of the cluster and read it from there."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster; a temporary one only for a local session that has none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gasflow-checkpoint-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gasflow-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write the frame to the checkpoint folder and read it from there."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path inside the checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join a table to a lookup with unique keys.
 

@@ -40,10 +40,11 @@ def gas_obs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vessels(spark: SparkSession, folder: str) -> DataFrame:
-    """Vessel positions: one row per event."""
+def vessels(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """Vessel positions: one row per event; ``events`` may be a stream of the event table."""
     event = F.col("event_id")
-    return load(spark, folder, "events").select(
+    source = load(spark, folder, "events") if events is None else events
+    return source.select(
         event.alias("event_id"),
         F.col("user_id").alias("mmsi"),
         F.col("ts").alias("timestamp"),
@@ -53,9 +54,9 @@ def vessels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vessel_messages(spark: SparkSession, folder: str) -> DataFrame:
+def vessel_messages(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """The same positions as raw JSON messages in a column ``value``."""
-    v = vessels(spark, folder)
+    v = vessels(spark, folder, events)
     message = F.struct(
         F.col("mmsi"),
         F.unix_timestamp("timestamp").alias("timestamp"),
