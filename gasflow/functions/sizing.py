@@ -65,7 +65,10 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: str | Sequence[str], how:
     keys = [on] if isinstance(on, str) else list(on)
     if reads_little(lookup):
         return df.join(F.broadcast(lookup), keys, how)
-    kept = materialize(lookup)
-    if kept.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(kept), keys, how)
-    return df.join(kept, keys, how)
+    return counted_join(df, materialize(lookup), keys, how)
+
+
+def counted_join(df: DataFrame, written: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a frame that has been written out, which is counted first and broadcast only if it is small."""
+    small = written.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(written) if small else written, list(on), how)

@@ -132,7 +132,10 @@ def anova_f(df: DataFrame, categories: Sequence[str] | None = None, numbers: Seq
         between.alias("between"),
         F.sum(F.col("n") * F.col("var")).alias("within"),
     )
-    ratio = F.try_divide(F.col("between") / (F.col("groups") - 1), F.try_divide(F.col("within"), F.col("rows") - F.col("groups")))
+    explained = F.col("between") / (F.col("groups") - 1)
+    ratio = F.when((F.col("within") == 0) & (explained > 0), F.lit(float("inf"))).otherwise(
+        F.try_divide(explained, F.try_divide(F.col("within"), F.col("rows") - F.col("groups")))
+    )
     return sums.filter("groups > 1").select("category", "variable", "groups", "rows", ratio.alias("f_statistic"))
 
 

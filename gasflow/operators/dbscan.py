@@ -2,8 +2,9 @@
 
 Equal points are counted once. Points fall into cells whose diagonal is the radius, so all points of a
 cell are neighbours of each other. Most questions are settled between cells, from their counts and
-bounding boxes; points are compared only across the border of the radius, and the points of a crowded
-cell are then spread over many tasks. Clusters are connected components of cells.
+bounding boxes. Where a cell is only partly within the radius of a point, the same test is put to its
+sub-cells, and points are compared only in the sub-cells that the radius cuts. Clusters are connected
+components of cells.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.functions.components import connected_components
-from gasflow.functions.sizing import lookup_join, materialize
+from gasflow.functions.sizing import counted_join, materialize
 
 EPS = 0.5
 MIN_SHARE = 0.01
 MIN_SAMPLES = 5
 GRID_DIMENSIONS = 3
-POINTS_PER_PART = 4096
 NOISE = -1
 
 
@@ -40,31 +40,35 @@ def dbscan(
     with the smallest name among those that reach it.
     """
     names = [c for c in (columns or features.columns) if c != id]
+    d, side = len(names), eps / math.sqrt(len(names))
     rows = features.select(F.col(id).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    rows = rows.withColumn("cell", _cell(F.col("x"), eps / math.sqrt(len(names)), len(names)))
+    rows = rows.withColumn("cell", _cell(F.col("x"), side, d))
     points = materialize(rows.groupBy("cell", "x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first")))
-    total = points.agg(F.sum("w")).first()[0] or 0
-    least = min_samples if min_samples is not None else max(MIN_SAMPLES, int(total * MIN_SHARE))
-    reach = math.ceil(math.sqrt(len(names)))
-
-    cells = materialize(_boxes(points, len(names)))
-    near = materialize(_near_cells(cells, cells, len(names), reach, eps))
-    marked = materialize(_mark_core(points, cells, near, least, eps))
+    cells = materialize(_boxes(points, ["cell"], d))
+    size = cells.agg(F.sum("n").alias("rows"), F.max("distinct").alias("fullest")).first()
+    least = min_samples if min_samples is not None else max(MIN_SAMPLES, int((size["rows"] or 0) * MIN_SHARE))
+    # Balances the sub-cells to test per cell against the points left to compare.
+    finer = max(1, round((size["fullest"] or 1) ** (1 / (d + 1))))
+    points = points.withColumn("sub", _cell(F.col("x"), side / finer, d))
+
+    grid = _Grid(d, eps)
+    marked = materialize(grid.mark_core(points, cells, least))
     core = marked.filter("core")
-    core_cells = materialize(_boxes(core, len(names)))
-    clusters = materialize(_connect(core, core_cells, len(names), reach, eps))
-    border = _border(marked.filter("not core"), core, core_cells.join(clusters, "first"), len(names), reach, eps)
+    core_cells = materialize(_boxes(core, ["cell"], d))
+    core_subs = materialize(_boxes(core, ["cell", "sub"], d))
+    clusters = materialize(grid.connect(core, core_cells, core_subs))
+    by_cell = materialize(core_cells.join(clusters, "first"))
+    border = grid.border(marked.filter("not core"), core, by_cell, core_subs)
 
-    by_cell = core_cells.join(clusters, "first").select("cell", "cluster")
-    labels = materialize(
-        core.join(by_cell, "cell").select("cell", "x", "cluster").unionByName(border.select("cell", "x", "cluster"))
-    )
+    own = by_cell.select("cell", "cluster")
     mixed = marked.groupBy("cell").agg(F.bool_and("core").alias("whole"))
-    whole = mixed.filter("whole").join(by_cell, "cell").select("cell", F.col("cluster").alias("cell_cluster"))
-    placed = lookup_join(rows, whole, "cell")
+    whole = materialize(mixed.filter("whole").join(own, "cell").select("cell", F.col("cluster").alias("cell_cluster")))
+    placed = counted_join(rows, whole, ["cell"], "left")
     settled = placed.filter("cell_cluster is not null").select("id", F.col("cell_cluster").alias("cluster"))
-    split = labels.join(mixed.filter("not whole").select("cell"), "cell", "left_semi")
-    rest = placed.filter("cell_cluster is null").join(split, ["cell", "x"], "left")
+    split = mixed.filter("not whole").select("cell")
+    in_split = core.join(split, "cell", "left_semi").join(own, "cell").select("cell", "x", "cluster")
+    labels = materialize(in_split.unionByName(border.select("cell", "x", "cluster")))
+    rest = counted_join(placed.filter("cell_cluster is null"), labels, ["cell", "x"], "left")
     found = settled.unionByName(rest.select("id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")))
     return found.withColumnRenamed("id", id)
 
@@ -81,11 +85,11 @@ def _cell(x: Column, side: float, d: int) -> Column:
     return F.array(*[F.floor(x[i] / F.lit(side)) for i in range(d)])
 
 
-def _boxes(points: DataFrame, d: int) -> DataFrame:
-    """Per cell its rows, distinct points, smallest row id and bounding box."""
+def _boxes(points: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """Per cell or sub-cell its rows, distinct points, smallest row id and bounding box."""
     low = [F.min(F.col("x")[i]) for i in range(d)]
     high = [F.max(F.col("x")[i]) for i in range(d)]
-    return points.groupBy("cell").agg(
+    return points.groupBy(*keys).agg(
         F.sum("w").alias("n"),
         F.count(F.lit(1)).alias("distinct"),
         F.min("first").alias("first"),
@@ -94,152 +98,166 @@ def _boxes(points: DataFrame, d: int) -> DataFrame:
     )
 
 
-def _square_sum(terms: list[Column]) -> Column:
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-
-def _gap(low_a: Column, high_a: Column, low_b: Column, high_b: Column, d: int) -> Column:
-    """Squared distance between two boxes."""
-    return _square_sum([F.greatest(low_a[i] - high_b[i], low_b[i] - high_a[i], F.lit(0.0)) for i in range(d)])
-
-
-def _span(low_a: Column, high_a: Column, low_b: Column, high_b: Column, d: int) -> Column:
-    """Squared distance of the farthest points of two boxes."""
-    return _square_sum([F.greatest(high_a[i] - low_b[i], high_b[i] - low_a[i]) for i in range(d)])
-
-
-def _near_cells(left: DataFrame, right: DataFrame, d: int, reach: int, eps: float) -> DataFrame:
-    """``a, b`` cells with points that may be within the radius, and whether all of them are (``sure``).
-
-    Cells meet through blocks at least as wide as the radius on the first few dimensions.
-    """
-    dims = range(min(d, GRID_DIMENSIONS))
-
-    def block(shift: tuple[int, ...]) -> Column:
-        return F.struct(*[(F.floor(F.col("cell")[i] / reach) + shift[i]).alias(f"b{i}") for i in dims])
-
-    around = F.explode(F.array(*[block(s) for s in product((-1, 0, 1), repeat=len(dims))]))
-    a = left.select(F.col("cell").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), around.alias("block"))
-    b = right.select(
-        F.col("cell").alias("b"),
-        F.col("low").alias("lb"),
-        F.col("high").alias("hb"),
-        F.col("n").alias("nb"),
-        F.col("distinct").alias("mb"),
-        F.col("first").alias("fb"),
-        block((0,) * len(dims)).alias("block"),
-    )
-    boxes = [F.col(c) for c in ("la", "ha", "lb", "hb")]
-    return (
-        a.join(b, "block")
-        .filter(_gap(*boxes, d) <= eps * eps)
-        .select("a", "b", "lb", "hb", "nb", "mb", "fb", (_span(*boxes, d) <= eps * eps).alias("sure"))
-    )
-
-
-def _mark_core(points: DataFrame, cells: DataFrame, near: DataFrame, least: int, eps: float) -> DataFrame:
-    """The points with ``core``: as many rows within the radius as needed."""
-    reached = near.groupBy("a").agg(
-        F.sum(F.when(F.col("sure"), F.col("nb")).otherwise(0)).alias("surely"), F.sum("nb").alias("at_most")
-    )
-    judged = points.join(reached.withColumnRenamed("a", "cell"), "cell")
-    settled = judged.filter((F.col("surely") >= least) | (F.col("at_most") < least))
-    undecided = judged.filter((F.col("surely") < least) & (F.col("at_most") >= least))
-    counts = _reach_counts(undecided, points, near.filter("not sure"), eps)
-    counted = undecided.join(counts, ["cell", "x"], "left").withColumn(
-        "core", F.col("surely") + F.coalesce("more", F.lit(0)) >= least
-    )
-    kept = ["cell", "x", "w", "first", "core"]
-    return settled.withColumn("core", F.col("surely") >= least).select(*kept).unionByName(counted.select(*kept))
-
-
-def _distance(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda total, t: total + t)
-
-
-def _box_gap(x: Column, low: Column, high: Column) -> Column:
-    """Squared distance from a point to a box."""
-    outside = F.zip_with(x, low, lambda p, l: F.greatest(l - p, F.lit(0.0)))
-    over = F.zip_with(x, high, lambda p, h: F.greatest(p - h, F.lit(0.0)))
-    terms = F.zip_with(outside, over, lambda u, v: (u + v) * (u + v))
-    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
-
-
-def _box_span(x: Column, low: Column, high: Column) -> Column:
-    """Squared distance from a point to the farthest corner of a box."""
-    below = F.zip_with(x, low, lambda p, l: F.abs(p - l))
-    above = F.zip_with(x, high, lambda p, h: F.abs(h - p))
-    terms = F.zip_with(below, above, lambda u, v: F.greatest(u, v) * F.greatest(u, v))
-    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
-
-
-def _spread_parts(pairs: DataFrame) -> DataFrame:
-    """Repeat a pair once per part of the crowded cell ``b``."""
-    parts = F.ceil(F.col("mb") / POINTS_PER_PART).cast("int")
-    return pairs.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-
-def _in_parts(points: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The points of the cells ``b``, each in one of the parts of its cell."""
-    parts = F.ceil(F.col("mb") / POINTS_PER_PART).cast("int")
-    held = points.select(F.col("cell").alias("b"), F.col("x").alias("y"), "w", "first")
-    return lookup_join(held, sizes, "b", "inner").withColumn("part", F.pmod(F.xxhash64("y"), parts).cast("int")).drop("mb")
-
-
-def _reach_counts(undecided: DataFrame, points: DataFrame, near: DataFrame, eps: float) -> DataFrame:
-    """``cell, x, more``: rows within the radius in the cells that are neither wholly in nor out."""
-    far = F.lit(eps * eps)
-    x, low, high = F.col("x"), F.col("lb"), F.col("hb")
-    met = undecided.select("cell", "x").join(near.withColumnRenamed("a", "cell"), "cell").filter(_box_gap(x, low, high) <= far)
-    inside = _box_span(x, low, high) <= far
-    wholly = met.filter(inside).select("cell", "x", F.col("nb").alias("w"))
-    across = _spread_parts(met.filter(~inside).select("cell", "x", "b", "mb"))
-    others = _in_parts(points, near.select("b", "mb").distinct())
-    tested = across.join(others, ["b", "part"]).filter(_distance(x, F.col("y")) <= far).select("cell", "x", "w")
-    return wholly.unionByName(tested).groupBy("cell", "x").agg(F.sum("w").alias("more"))
-
-
-def _connect(core: DataFrame, cells: DataFrame, d: int, reach: int, eps: float) -> DataFrame:
-    """``first, cluster`` per core cell: the cells are linked when core points in them are neighbours."""
-    names = cells.select(F.col("cell").alias("a"), F.col("first").alias("fa"))
-    near = materialize(_near_cells(cells, cells, d, reach, eps).join(names, "a").filter("fa > fb"))
-    sure = near.filter("sure").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    alone = cells.select(F.col("first").alias("node"), F.col("first").alias("component"))
-
-    def grouped(links: DataFrame) -> DataFrame:
-        found = connected_components(links)
-        return found.unionByName(alone.join(found, "node", "left_anti"))
-
-    first_groups = materialize(grouped(sure))
-    group_a = first_groups.select(F.col("node").alias("fa"), F.col("component").alias("ga"))
-    group_b = first_groups.select(F.col("node").alias("fb"), F.col("component").alias("gb"))
-    open_pairs = near.filter("not sure").join(group_a, "fa").join(group_b, "fb").filter("ga <> gb")
-    if open_pairs.isEmpty():
-        return first_groups.select(F.col("node").alias("first"), F.col("component").alias("cluster"))
-    far = F.lit(eps * eps)
-    own = core.select(F.col("cell").alias("a"), "x")
-    facing = own.join(open_pairs, "a").filter(_box_gap(F.col("x"), F.col("lb"), F.col("hb")) <= far)
-    across = _spread_parts(facing.select("x", "b", "mb", "ga", "gb"))
-    others = _in_parts(core, open_pairs.select("b", "mb").distinct())
-    touching = across.join(others, ["b", "part"]).filter(_distance(F.col("x"), F.col("y")) <= far)
-    bridges = touching.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
-    merged = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    return first_groups.join(merged, "component", "left").select(
-        F.col("node").alias("first"), F.coalesce("joined", "component").alias("cluster")
-    )
-
-
-def _border(others: DataFrame, core: DataFrame, cells: DataFrame, d: int, reach: int, eps: float) -> DataFrame:
-    """``cell, x, cluster`` of the points that are no core but within the radius of one."""
-    far = F.lit(eps * eps)
-    x, low, high = F.col("x"), F.col("lb"), F.col("hb")
-    own = _boxes(others, d)
-    clusters = cells.select(F.col("cell").alias("b"), "cluster")
-    near = _near_cells(own, cells, d, reach, eps).join(clusters, "b").withColumnRenamed("a", "cell")
-    met = others.select("cell", "x").join(near, "cell").filter(_box_gap(x, low, high) <= far)
-    inside = _box_span(x, low, high) <= far
-    wholly = met.filter(inside).select("cell", "x", "cluster")
-    across = _spread_parts(met.filter(~inside).select("cell", "x", "cluster", "b", "mb"))
-    points = _in_parts(core, cells.select(F.col("cell").alias("b"), F.col("distinct").alias("mb")))
-    tested = across.join(points, ["b", "part"]).filter(_distance(x, F.col("y")) <= far).select("cell", "x", "cluster")
-    return wholly.unionByName(tested).groupBy("cell", "x").agg(F.min("cluster").alias("cluster"))
+class _Grid:
+    """The distance tests for a number of dimensions and a radius."""
+
+    def __init__(self, d: int, eps: float) -> None:
+        self.d = d
+        self.reach = math.ceil(math.sqrt(d))
+        self.far = F.lit(eps * eps)
+
+    def _squares(self, term) -> Column:
+        terms = [term(i) * term(i) for i in range(self.d)]
+        return sum(terms[1:], terms[0])
+
+    def gap(self, low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+        """Squared distance between two boxes; a point is a box of its own."""
+        return self._squares(lambda i: F.greatest(low_a[i] - high_b[i], low_b[i] - high_a[i], F.lit(0.0)))
+
+    def span(self, low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+        """Squared distance of the farthest points of two boxes."""
+        return self._squares(lambda i: F.greatest(high_a[i] - low_b[i], high_b[i] - low_a[i]))
+
+    def near_cells(self, left: DataFrame, right: DataFrame, *carry: str) -> DataFrame:
+        """``cell, b`` cells with points that may be within the radius, and whether all of them are (``sure``).
+
+        Cells meet through blocks at least as wide as the radius on the first few dimensions.
+        """
+        dims = range(min(self.d, GRID_DIMENSIONS))
+
+        def block(shift: tuple[int, ...]) -> Column:
+            return F.struct(*[(F.floor(F.col("cell")[i] / self.reach) + shift[i]).alias(f"b{i}") for i in dims])
+
+        around = F.explode(F.array(*[block(s) for s in product((-1, 0, 1), repeat=len(dims))]))
+        a = left.select("cell", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("first").alias("fa"), around.alias("block"))
+        b = right.select(
+            F.col("cell").alias("b"),
+            F.col("low").alias("lb"),
+            F.col("high").alias("hb"),
+            F.col("n").alias("nb"),
+            F.col("first").alias("fb"),
+            *carry,
+            block((0,) * len(dims)).alias("block"),
+        )
+        boxes = [F.col(c) for c in ("la", "ha", "lb", "hb")]
+        met = a.join(b, "block").filter(self.gap(*boxes) <= self.far)
+        return met.select("cell", "b", "lb", "hb", "nb", "fa", "fb", *carry, (self.span(*boxes) <= self.far).alias("sure"))
+
+    def by_boxes(self, asking: DataFrame, near: DataFrame, subs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """``cell, x, <carry>, b, sub, w, inside``: cells wholly within the radius of each asking point, and
+        the sub-cells of the others that are within it (``inside``) or cut by it, with their rows.
+
+        ``asking`` has ``cell, x``; ``near`` says which cells ``b`` to look at.
+        """
+        x = F.col("x")
+        kept = ["cell", "x", *carry, "b"]
+        spread = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = counted_join(asking.select("cell", "x").repartition(spread, "x"), near, ["cell"])
+        cell = [x, x, F.col("lb"), F.col("hb")]
+        met = met.filter(self.gap(*cell) <= self.far).withColumn("inside", self.span(*cell) <= self.far)
+        nowhere = F.lit(None).cast("array<bigint>").alias("sub")
+        by_cell = met.filter("inside").select(*kept, nowhere, F.col("nb").alias("w"), "inside")
+        parts = subs.select(F.col("cell").alias("b"), "sub", F.col("low").alias("ls"), F.col("high").alias("hs"), F.col("n").alias("w"))
+        sub = [x, x, F.col("ls"), F.col("hs")]
+        cut = counted_join(met.filter("not inside").select(*kept), parts, ["b"]).filter(self.gap(*sub) <= self.far)
+        return by_cell.unionByName(cut.select(*kept, "sub", "w", (self.span(*sub) <= self.far).alias("inside")))
+
+    def by_points(self, boxes: DataFrame, points: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """``cell, x, <carry>, w`` for the points within the radius in the sub-cells that it cuts."""
+        others = points.select(F.col("cell").alias("b"), "sub", F.col("x").alias("y"), "w")
+        cut = boxes.filter("not inside").select("cell", "x", *carry, "b", "sub")
+        compared = counted_join(cut, others, ["b", "sub"])
+        near = self._squares(lambda i: F.col("x")[i] - F.col("y")[i]) <= self.far
+        return compared.filter(near).select("cell", "x", *carry, "w")
+
+    def mark_core(self, points: DataFrame, cells: DataFrame, least: int) -> DataFrame:
+        """The points with ``core``: as many rows within the radius as needed.
+
+        Bounds on the number come first from pairs of cells, then from a point and the sub-cells around
+        it; points that both leave open are compared with the points of the sub-cells the radius cuts.
+        """
+        near = materialize(self.near_cells(cells, cells))
+        bounds = near.groupBy("cell").agg(
+            F.sum(F.when(F.col("sure"), F.col("nb")).otherwise(0)).alias("surely"), F.sum("nb").alias("at_most")
+        )
+        judged = points.join(bounds, "cell")
+        enough, short = F.col("surely") >= least, F.col("at_most") < least
+        kept = ["cell", "sub", "x", "w", "first"]
+        core = enough.alias("core")
+        marked = judged.filter(enough | short).select(*kept, core)
+        undecided = judged.filter(~enough & ~short).select(*kept, F.col("surely").alias("known"))
+
+        subs = materialize(_boxes(points, ["cell", "sub"], self.d))
+        open_pairs = materialize(near.filter("not sure"))
+        tally = self.by_boxes(undecided, open_pairs, subs).groupBy("cell", "x").agg(
+            F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0)).alias("inside"), F.sum("w").alias("around")
+        )
+        counted = undecided.join(tally, ["cell", "x"], "left").select(
+            *kept,
+            (F.col("known") + F.coalesce("inside", F.lit(0))).alias("surely"),
+            (F.col("known") + F.coalesce("around", F.lit(0))).alias("at_most"),
+        )
+        counted = materialize(counted)
+        marked = marked.unionByName(counted.filter(enough | short).select(*kept, core))
+        still = materialize(counted.filter(~enough & ~short))
+        if still.isEmpty():
+            return marked
+        cut = self.by_boxes(still, open_pairs, subs)
+        more = self.by_points(cut, points).groupBy("cell", "x").agg(F.sum("w").alias("more"))
+        settled = still.join(more, ["cell", "x"], "left").select(
+            *kept, (F.col("surely") + F.coalesce("more", F.lit(0)) >= least).alias("core")
+        )
+        return marked.unionByName(settled)
+
+    def connect(self, core: DataFrame, cells: DataFrame, subs: DataFrame) -> DataFrame:
+        """``first, cluster`` per core cell: cells are linked when core points in them are neighbours.
+
+        Two cells are linked without comparing points when all their points are neighbours, or when those
+        of the sub-cells that face each other are. Only cells that this leaves in different groups are
+        compared point by point.
+        """
+        near = materialize(self.near_cells(cells, cells).filter("fa > fb"))
+        sure = near.filter("sure").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        links = sure.unionByName(self._facing(near.filter("not sure"), cells, subs))
+        alone = cells.select(F.col("first").alias("node"), F.col("first").alias("component"))
+        linked = materialize(connected_components(links))
+        groups = materialize(linked.unionByName(alone.join(linked, "node", "left_anti")))
+        group_a = groups.select(F.col("node").alias("fa"), F.col("component").alias("ga"))
+        group_b = groups.select(F.col("node").alias("fb"), F.col("component").alias("gb"))
+        apart = near.filter("not sure").join(group_a, "fa").join(group_b, "fb").filter("ga <> gb")
+        apart = materialize(apart)
+        if apart.isEmpty():
+            return groups.select(F.col("node").alias("first"), F.col("component").alias("cluster"))
+        touching = self._reached(core, apart, subs, core, ["ga", "gb"])
+        bridges = touching.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+        merged = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        return groups.join(merged, "component", "left").select(
+            F.col("node").alias("first"), F.coalesce("joined", "component").alias("cluster")
+        )
+
+    def _facing(self, pairs: DataFrame, cells: DataFrame, subs: DataFrame) -> DataFrame:
+        """``a, b`` of the pairs whose sub-cells closest to the other cell lie wholly within the radius."""
+        boxes = cells.select("cell", F.col("low").alias("la"), F.col("high").alias("ha"))
+        both = counted_join(pairs.select("cell", "b", "lb", "hb", "fa", "fb"), boxes, ["cell"])
+        box = F.struct(F.col("low"), F.col("high"))
+
+        def closest(at: str, low: str, high: str, name: str) -> DataFrame:
+            own = subs.select(F.col("cell").alias(at), "low", "high")
+            met = counted_join(both, own, [at])
+            distance = self.gap(F.col("low"), F.col("high"), F.col(low), F.col(high))
+            return met.groupBy("fa", "fb").agg(F.min(F.struct(distance.alias("gap"), box.alias("box"))).alias(name))
+
+        facing = closest("cell", "lb", "hb", "p").join(closest("b", "la", "ha", "q"), ["fa", "fb"])
+        ends = [F.col(f"{side}.box.{end}") for side in ("p", "q") for end in ("low", "high")]
+        return facing.filter(self.span(*ends) <= self.far).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    def _reached(self, asking: DataFrame, near: DataFrame, subs: DataFrame, points: DataFrame, carry: list[str]) -> DataFrame:
+        boxes = self.by_boxes(asking, near, subs, carry)
+        wholly = boxes.filter("inside").select("cell", "x", *carry, "w")
+        return wholly.unionByName(self.by_points(boxes, points, carry))
+
+    def border(self, others: DataFrame, core: DataFrame, cells: DataFrame, subs: DataFrame) -> DataFrame:
+        """``cell, x, cluster`` of the points that are no core but within the radius of one."""
+        near = materialize(self.near_cells(_boxes(others, ["cell"], self.d), cells, "cluster"))
+        reached = self._reached(others, near, subs, core, ["cluster"])
+        return reached.groupBy("cell", "x").agg(F.min("cluster").alias("cluster"))

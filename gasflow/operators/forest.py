@@ -45,12 +45,11 @@ def isolation_forest(
     forest = _grow(rows, id, names, trees, sample, seed)
 
     @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            features = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-            yield pd.Series(_scores(features, forest, sample))
+            yield pd.Series(_scores(batch.to_numpy(dtype=float), forest, sample))
 
-    scored = materialize(rows.withColumn("score", score(*[F.col(c) for c in names])))
+    scored = materialize(rows.withColumn("score", score(F.struct(*names))))
     cut = scalar_quantiles(scored, "score", [contamination])[0]
     return scored.withColumn("is_anomaly", F.col("score") < cut)
 

@@ -93,7 +93,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, places: int = 3) -> DataFrame:
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: F.round(c, places) for c in doubles})
 
@@ -208,7 +208,7 @@ def _(spark, folder):
 @query(
     "impute_group_median",
     f"""WITH {DATED}, medians AS (SELECT pipeline_name, day_of_week, median(scheduled_quantity) AS m FROM dated GROUP BY ALL)
-    SELECT obs_id, ROUND(COALESCE(scheduled_quantity, m, (SELECT median(scheduled_quantity) FROM dated)), 3) AS scheduled_quantity,
+    SELECT obs_id, ROUND(COALESCE(scheduled_quantity, m, (SELECT median(scheduled_quantity) FROM dated)), 4) AS scheduled_quantity,
     scheduled_quantity IS NULL AS scheduled_quantity_missing
     FROM dated LEFT JOIN medians USING (pipeline_name, day_of_week)""",
 )
@@ -302,7 +302,7 @@ def _(spark, folder):
     f"""WITH {DATED}, kept AS (SELECT * FROM dated WHERE scheduled_quantity IS NOT NULL),
     {_BINNED.replace("dated", "kept")}, {_PLACED.replace("dated", "kept")}
     SELECT b.obs_id, b.pipeline_name, b.loc_name, COALESCE(b.connecting_entity, 'Unknown') AS connecting_entity, b.rec_del_sign,
-    b.category_short, b.country_name, b.state_abb, ROUND(b.latitude, 3) AS latitude, ROUND(b.longitude, 3) AS longitude,
+    b.category_short, b.country_name, b.state_abb, ROUND(b.latitude, 4) AS latitude, ROUND(b.longitude, 4) AS longitude,
     b.eff_gas_day, b.scheduled_quantity, b.connecting_entity IS NULL AS connecting_entity_missing, b.year, b.month, b.day_of_week,
     b.quarter, quantity_category, geographic_quadrant FROM binned b JOIN placed p USING (obs_id)""",
 )
@@ -384,10 +384,10 @@ for _how, _function in {"sum": "SUM", "mean": "AVG", "median": "median", "max":
 
 # Profiling
 
-_DESCRIBE = """SELECT '{c}' AS "column", COUNT({c}) AS count, ROUND(CAST(AVG({c}) AS DOUBLE), 3) AS mean, ROUND(stddev_samp({c}), 3) AS std,
-    ROUND(CAST(MIN({c}) AS DOUBLE), 3) AS min, ROUND(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 3) AS q25,
-    ROUND(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 3) AS q50, ROUND(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 3) AS q75,
-    ROUND(CAST(MAX({c}) AS DOUBLE), 3) AS max"""
+_DESCRIBE = """SELECT '{c}' AS "column", COUNT({c}) AS count, ROUND(CAST(AVG({c}) AS DOUBLE), 4) AS mean, ROUND(stddev_samp({c}), 4) AS std,
+    ROUND(CAST(MIN({c}) AS DOUBLE), 4) AS min, ROUND(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 4) AS q25,
+    ROUND(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 4) AS q50, ROUND(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 4) AS q75,
+    ROUND(CAST(MAX({c}) AS DOUBLE), 4) AS max"""
 
 
 @query("describe_numeric", f"WITH {DATED} " + each(DATED_NUMBERS, _DESCRIBE + " FROM dated"))
@@ -426,9 +426,9 @@ def _(spark, folder):
     return rounded(profiling.category_summary(gas_obs(spark, folder)), 6)
 
 
-_STATS = """SELECT {k}, ROUND(AVG(scheduled_quantity), 3) AS mean, ROUND(median(scheduled_quantity), 3) AS median,
+_STATS = """SELECT {k}, ROUND(AVG(scheduled_quantity), 4) AS mean, ROUND(median(scheduled_quantity), 4) AS median,
     {std} COUNT(scheduled_quantity) AS count FROM dated WHERE {k} IS NOT NULL GROUP BY {k}"""
-_STD = "ROUND(stddev_samp(scheduled_quantity), 3) AS std,"
+_STD = "ROUND(stddev_samp(scheduled_quantity), 4) AS std,"
 
 
 @query(
@@ -522,7 +522,7 @@ def _profile_sql():
         kind = _TYPES.get(c, "string")
         number = kind in ("bigint", "double")
         figures = (
-            f"ROUND(CAST(MIN({c}) AS DOUBLE), 3), ROUND(CAST(MAX({c}) AS DOUBLE), 3), ROUND(AVG({c}), 3), ROUND(stddev_samp({c}), 3), ROUND(CAST(median({c}) AS DOUBLE), 3)"
+            f"ROUND(CAST(MIN({c}) AS DOUBLE), 4), ROUND(CAST(MAX({c}) AS DOUBLE), 4), ROUND(AVG({c}), 4), ROUND(stddev_samp({c}), 4), ROUND(CAST(median({c}) AS DOUBLE), 4)"
             if number
             else "NULL, NULL, NULL, NULL, NULL"
         )
@@ -619,7 +619,7 @@ _FLAWED = """flawed AS (SELECT o_orderkey % 5000 AS k,
     FROM orders)"""
 _ISSUES = (
     _FLAWED
-    + """, copies AS (SELECT COUNT(*) AS n FROM flawed GROUP BY ALL),
+    + """, copies AS (SELECT COUNT(*) AS n FROM flawed GROUP BY k, category_short, sign, quantity),
   far AS (SELECT quantile_cont(quantity, 0.25) AS a, quantile_cont(quantity, 0.75) AS b FROM flawed),
   issues AS (
   SELECT 'missing' AS issue, 'quantity' AS "column", COUNT(*) - COUNT(quantity) AS count, (COUNT(*) - COUNT(quantity)) / COUNT(*) * 100 AS percentage FROM flawed
@@ -713,10 +713,10 @@ def _(spark, folder):
     return forest.isolation_forest(gas_obs(spark, folder), "obs_id", ["scheduled_quantity", "latitude", "longitude"])
 
 
-_FENCE = """SELECT '{c}' AS "column", COUNT({c}) AS non_null, ROUND(CAST(MAX(a - 1.5 * (b - a)) AS DOUBLE), 3) AS lower_bound,
-    ROUND(CAST(MAX(b + 1.5 * (b - a)) AS DOUBLE), 3) AS upper_bound,
+_FENCE = """SELECT '{c}' AS "column", COUNT({c}) AS non_null, ROUND(CAST(MAX(a - 1.5 * (b - a)) AS DOUBLE), 4) AS lower_bound,
+    ROUND(CAST(MAX(b + 1.5 * (b - a)) AS DOUBLE), 4) AS upper_bound,
     COUNT(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS count,
-    ROUND(COUNT(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / COUNT({c}) * 100, 3) AS percentage
+    ROUND(COUNT(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / COUNT({c}) * 100, 4) AS percentage
     FROM {t}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t})"""
 
 
@@ -744,10 +744,10 @@ def _(spark, folder):
     return analyses.detect_anomalies(gas_obs(spark, folder), "obs_id")["summary"]
 
 
-_PATTERN = """SELECT '{c}' AS "column", ROUND(AVG(v), 3) AS mean, ROUND(CAST(median(v) AS DOUBLE), 3) AS median, ROUND(stddev_samp(v), 3) AS std,
-    ROUND(AVG(POWER(v - m, 3)) / POWER(AVG((v - m) * (v - m)), 1.5), 3) AS skewness,
-    ROUND(AVG(POWER(v - m, 4)) / POWER(AVG((v - m) * (v - m)), 2) - 3, 3) AS kurtosis,
-    ROUND(COUNT(*) FILTER (ABS(v - m) > 2 * s) / COUNT(v) * 100, 3) AS outlier_percentage
+_PATTERN = """SELECT '{c}' AS "column", ROUND(AVG(v), 4) AS mean, ROUND(CAST(median(v) AS DOUBLE), 4) AS median, ROUND(stddev_samp(v), 4) AS std,
+    ROUND(AVG(POWER(v - m, 3)) / POWER(AVG((v - m) * (v - m)), 1.5), 4) AS skewness,
+    ROUND(AVG(POWER(v - m, 4)) / POWER(AVG((v - m) * (v - m)), 2) - 3, 4) AS kurtosis,
+    ROUND(COUNT(*) FILTER (ABS(v - m) > 2 * s) / COUNT(v) * 100, 4) AS outlier_percentage
     FROM (SELECT CAST({c} AS DOUBLE) AS v FROM dated), (SELECT AVG({c}) AS m, stddev_pop({c}) AS s FROM dated)"""
 _PATTERN_COLUMNS = ["scheduled_quantity", "latitude", "longitude", "month", "day_of_week"]
 
@@ -803,7 +803,7 @@ def _(spark, folder):
 
 
 _ANOVA = """SELECT '{a}' AS category, '{b}' AS variable, COUNT(*) AS groups, CAST(SUM(n) AS BIGINT) AS rows,
-    ROUND((SUM(n * (m - g) * (m - g)) / (COUNT(*) - 1)) / (SUM(n * v) / (SUM(n) - COUNT(*))), 3) AS f_statistic
+    ROUND((SUM(n * (m - g) * (m - g)) / (COUNT(*) - 1)) / (SUM(n * v) / (SUM(n) - COUNT(*))), 4) AS f_statistic
     FROM (SELECT COUNT({b}) AS n, AVG({b}) AS m, var_pop({b}) AS v FROM dated WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}),
     (SELECT AVG({b}) AS g FROM dated WHERE {a} IS NOT NULL)"""
 _ANOVA_CATEGORIES = ["pipeline_name", "loc_name", "connecting_entity"]
@@ -862,7 +862,7 @@ def _(spark, folder):
       UNION ALL SELECT cluster, 'loc_name', loc_name FROM labels JOIN gas_obs USING (obs_id)
       UNION ALL SELECT cluster, 'connecting_pipeline', connecting_pipeline FROM labels JOIN gas_obs USING (obs_id) WHERE connecting_pipeline IS NOT NULL),
     ranked AS (SELECT cluster, "column", value, COUNT(*) AS count,
-      CAST(row_number() OVER (PARTITION BY cluster, "column" ORDER BY COUNT(*) DESC, value) AS INT) AS position FROM long GROUP BY ALL)
+      CAST(row_number() OVER (PARTITION BY cluster, "column" ORDER BY COUNT(*) DESC, value) AS INT) AS position FROM long GROUP BY cluster, "column", value)
     SELECT cluster, size, percentage, "column", position, value, count FROM sizes JOIN ranked USING (cluster) WHERE position <= 5""",
 )
 def _(spark, folder):
@@ -874,29 +874,29 @@ def _(spark, folder):
 # Operations
 
 
-@query("infer_capacity", f"WITH {GAS}, {CAPACITY} SELECT pipeline_name, ROUND(capacity, 3) AS capacity FROM capacity")
+@query("infer_capacity", f"WITH {GAS}, {CAPACITY} SELECT pipeline_name, ROUND(capacity, 4) AS capacity FROM capacity")
 def _(spark, folder):
     return rounded(operations.infer_capacity(gas_obs(spark, folder)))
 
 
 @query(
     "capacity_summary",
-    f"""WITH {GAS}, {CAPACITY} SELECT COUNT(*) AS pipelines_analyzed, ROUND(AVG(capacity), 3) AS avg_capacity,
-    ROUND(MIN(capacity), 3) AS min_capacity, ROUND(MAX(capacity), 3) AS max_capacity FROM capacity""",
+    f"""WITH {GAS}, {CAPACITY} SELECT COUNT(*) AS pipelines_analyzed, ROUND(AVG(capacity), 4) AS avg_capacity,
+    ROUND(MIN(capacity), 4) AS min_capacity, ROUND(MAX(capacity), 4) AS max_capacity FROM capacity""",
 )
 def _(spark, folder):
     return rounded(operations.capacity_summary(operations.infer_capacity(gas_obs(spark, folder))))
 
 
-@query("utilization", f"WITH {GAS}, {USED} SELECT obs_id, ROUND(capacity, 3) AS capacity, ROUND(utilization, 3) AS utilization FROM used")
+@query("utilization", f"WITH {GAS}, {USED} SELECT obs_id, ROUND(capacity, 4) AS capacity, ROUND(utilization, 4) AS utilization FROM used")
 def _(spark, folder):
     return rounded(with_utilization(spark, folder).select("obs_id", "capacity", "utilization"))
 
 
 @query(
     "high_utilization",
-    f"""WITH {GAS}, {USED} SELECT obs_id, pipeline_name, loc_name, eff_gas_day, scheduled_quantity, ROUND(capacity, 3) AS capacity,
-    ROUND(utilization, 3) AS utilization FROM used WHERE utilization > 0.85""",
+    f"""WITH {GAS}, {USED} SELECT obs_id, pipeline_name, loc_name, eff_gas_day, scheduled_quantity, ROUND(capacity, 4) AS capacity,
+    ROUND(utilization, 4) AS utilization FROM used WHERE utilization > 0.85""",
 )
 def high_utilization(spark: SparkSession, folder: str) -> DataFrame:
     """Which pipelines run above 85 % of their inferred capacity, and when?"""
@@ -919,7 +919,7 @@ def _(spark, folder):
     return rolled.select("obs_id", "rolling_high_count")
 
 
-_BOTTLENECKS = """SELECT pipeline_name, loc_name, ROUND(MAX(utilization), 3) AS peak_utilization,
+_BOTTLENECKS = """SELECT pipeline_name, loc_name, ROUND(MAX(utilization), 4) AS peak_utilization,
     COUNT(*) FILTER (high_util) AS high_util_days, MIN(eff_gas_day) AS first_bottleneck_date, MAX(eff_gas_day) AS last_bottleneck_date
     FROM rolled WHERE rolling_high_count >= 10 GROUP BY 1, 2"""
 
@@ -940,7 +940,7 @@ def _(spark, folder):
     return operations.flow_direction_changes(gas_obs(spark, folder))
 
 
-@query("vessels_near_locations", f"WITH {GAS}, {VESSELS}, {NEAR} SELECT event_id, mmsi, loc_name, ROUND(loc_latitude, 3) AS loc_latitude, ROUND(loc_longitude, 3) AS loc_longitude FROM near")
+@query("vessels_near_locations", f"WITH {GAS}, {VESSELS}, {NEAR} SELECT event_id, mmsi, loc_name, ROUND(loc_latitude, 4) AS loc_latitude, ROUND(loc_longitude, 4) AS loc_longitude FROM near")
 def _(spark, folder):
     near = proximity.vessels_near_locations(vessels(spark, folder), proximity.locations_of(gas_obs(spark, folder)))
     return rounded(near.select("event_id", "mmsi", "loc_name", "loc_latitude", "loc_longitude"))
@@ -993,7 +993,7 @@ def stacked(sections: dict[str, DataFrame]) -> DataFrame:
         labels = [c for c in section.columns if c not in numbers]
         label = F.concat_ws("|", *[F.col(c).cast("string") for c in labels]) if labels else F.lit("")
         wide = section.select(label.alias("label"), *[F.col(c).cast("double").alias(c) for c in numbers])
-        parts.append(wide.unpivot(["label"], numbers, "measure", "value").select(F.lit(name).alias("section"), "label", "measure", F.round("value", 3).alias("value")))
+        parts.append(wide.unpivot(["label"], numbers, "measure", "value").select(F.lit(name).alias("section"), "label", "measure", F.round("value", 4).alias("value")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -1002,7 +1002,7 @@ def stacked(sections: dict[str, DataFrame]) -> DataFrame:
 
 def _long_sql(section, source, label, measures):
     return " UNION ALL ".join(
-        f"SELECT '{section}' AS section, {label} AS label, '{m}' AS measure, ROUND(CAST({m} AS DOUBLE), 3) AS value FROM ({source})" for m in measures
+        f"SELECT '{section}' AS section, {label} AS label, '{m}' AS measure, ROUND(CAST({m} AS DOUBLE), 4) AS value FROM ({source})" for m in measures
     )
 
 
