@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import melt
-from gasflow.functions.sizing import lookup_join, reads_little
+from gasflow.functions.sizing import lookup_join, reads_little, settle
 
 ACCURACY = 10_000
 SLOTS = 4096
@@ -61,8 +61,11 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Seque
 
 
 def scalar_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[Column]:
-    """Quantiles of a whole column as scalar subqueries, usable in any expression of another frame."""
-    found = quantiles(df, column, probabilities).select("q").scalar()
+    """Quantiles of a whole column as scalar subqueries, usable in any expression of another frame.
+
+    On a large input they are computed here, once, however often the expressions occur.
+    """
+    found = settle(quantiles(df, column, probabilities)).select("q").scalar()
     return [found[i] for i in range(len(probabilities))]
 
 

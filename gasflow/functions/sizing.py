@@ -50,6 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small result of a large input once, for plans that refer to it several times."""
+    return df if reads_little(df) else materialize(df)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path inside the checkpoint folder."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
