@@ -29,8 +29,9 @@ def _pairs(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     if len(columns) <= MOST_PAIRWISE:
         entries = []
         for (i, a), (j, b) in combinations(enumerate(columns), 2):
-            value = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-            entries.append((i, j, a, b, value))
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            # corr() raises on a constant column in ANSI mode
+            entries.append((i, j, a, b, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
         wide = df.agg(*[e[4].alias(f"r{n}") for n, e in enumerate(entries)])
         rows = [
             F.struct(
@@ -38,7 +39,7 @@ def _pairs(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
                 F.lit(j).alias("second"),
                 F.lit(a).alias("variable1"),
                 F.lit(b).alias("variable2"),
-                F.when(~F.isnan(f"r{n}"), F.col(f"r{n}")).alias(name),
+                F.col(f"r{n}").alias(name),
             )
             for n, (i, j, a, b, _) in enumerate(entries)
         ]
