@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import melt
-from gasflow.functions.sizing import BROADCAST_ROWS, materialize
+from gasflow.functions.sizing import BROADCAST_ROWS, materialize, spread_small
 
 STEPS = 10  # 2**STEPS ranges
 _SPLITS = 2**STEPS - 1
@@ -23,13 +23,11 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = melt(df, columns, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("held"))
     shares = F.array(*[F.lit((i + 1) / (_SPLITS + 1)) for i in range(_SPLITS)])
     splits = counts.groupBy("column").agg(F.percentile_approx("value", shares, F.lit(10_000)).alias("splits"))
-    halvings = F.array(*[F.lit(2**i) for i in reversed(range(STEPS))])
-    below = F.aggregate(
-        halvings,
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("splits"), at + step - 1) < F.col("value"), at + step).otherwise(at),
-    )
-    ranged = counts.join(F.broadcast(splits), "column").select("column", below.alias("range"), "value", "held")
+    ranged = counts.join(F.broadcast(splits), "column").withColumn("range", F.lit(0))
+    for step in (2**i for i in reversed(range(STEPS))):  # binary search for the last splitter below the value
+        beyond = F.get(F.col("splits"), F.col("range") + (step - 1)) < F.col("value")
+        ranged = ranged.withColumn("range", F.col("range") + F.when(beyond, step).otherwise(0))
+    ranged = ranged.select("column", "range", "value", "held")
     starts = (
         ranged.groupBy("column", "range")
         .agg(F.sum("held").alias("in_range"))
@@ -49,6 +47,7 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The ranks are computed once for all columns and written out; columns with few distinct values are
     then joined by broadcast, the others by a shuffle on the value.
     """
+    df = spread_small(df)
     ranks = materialize(average_ranks(df, columns))
     distinct = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
     ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])

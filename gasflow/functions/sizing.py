@@ -50,6 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small input often sits in one partition; give every core a share before heavy work on its rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if reads_little(df) else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small result of a large input once, for plans that refer to it several times."""
     return df if reads_little(df) else materialize(df)
