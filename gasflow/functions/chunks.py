@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gasflow.functions.sizing import lookup_join
+
 MAX_CHUNK_ROWS = 2_000_000
 NO_DAY = "9999-12-31"  # rows without a day come last
 CHUNK = ["_day", "_part"]
@@ -22,7 +24,6 @@ def into_chunks(df: DataFrame, key: str, day: str, id: str, max_rows: int = MAX_
     daily = df.withColumn("_day", F.coalesce(F.to_date(day), F.to_date(F.lit(NO_DAY))))
     if not isinstance(df.schema[id].dataType, T.IntegralType):
         return daily.withColumn("_part", F.lit(0).cast("long"))
-    # Rows / max_rows bounds the number of crowded days, so they may be broadcast.
     crowded = (
         daily.groupBy(key, "_day")
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(id).alias("_from"), F.max(id).alias("_to"))
@@ -30,7 +31,7 @@ def into_chunks(df: DataFrame, key: str, day: str, id: str, max_rows: int = MAX_
     )
     parts = F.ceil(F.col("_rows") / max_rows)
     part = F.floor((F.col(id) - F.col("_from")) / (F.col("_to") - F.col("_from") + 1) * parts)
-    joined = daily.join(F.broadcast(crowded), [key, "_day"], "left")
+    joined = lookup_join(daily, crowded, [key, "_day"])
     return joined.withColumn("_part", F.coalesce(part, F.lit(0)).cast("long")).drop("_rows", "_from", "_to")
 
 

@@ -854,6 +854,13 @@ def _(spark, folder):
     return kmeans.kmeans_labels(features, "obs_id", kmeans.kmeans_best(features, "obs_id", ks=[4]))
 
 
+@query("silhouette")
+def _(spark, folder):
+    features = _features(spark, folder)
+    halves = features.withColumn("cluster", F.when(F.col("scheduled_quantity") > 0, 1).otherwise(0))
+    return spark.createDataFrame([(kmeans.silhouette(halves, FEATURES),)], "silhouette double")
+
+
 @query(
     "cluster_profile",
     f"""WITH {GAS}, labels AS (SELECT obs_id, CAST(obs_id % 3 AS INT) AS cluster FROM gas_obs WHERE scheduled_quantity IS NOT NULL),
