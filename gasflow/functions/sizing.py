@@ -25,8 +25,8 @@ def _limit(spark: SparkSession) -> int:
 def reads_little(df: DataFrame) -> bool:
     """True when all relations the frame reads add up to a small number of bytes.
 
-    A frame without statistics (an RDD, a checkpoint) reports the largest possible size and is
-    therefore treated as large.
+    A frame without statistics, such as one made from local rows, reports the largest possible size
+    and is therefore treated as large.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
@@ -45,9 +45,13 @@ def _checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and read it from there."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the checkpoint folder as a table and read it from there.
+
+    Parquet keeps the columns apart and reports its size, so later plans prune and broadcast by it.
+    """
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread_small(df: DataFrame) -> DataFrame:
