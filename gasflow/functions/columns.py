@@ -42,6 +42,10 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, kinds)]
 
 
+def boolean_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:

@@ -51,7 +51,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Seque
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         wide = df.agg(
             *[
-                F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.percentile(c, probs).alias("q")).alias(f"s{i}")
+                F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.percentile(F.col(c).cast("double"), probs).alias("q")).alias(f"s{i}")
                 for i, c in enumerate(columns)
             ]
         )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gasflow.functions.columns import datetime_columns, melt, numeric_columns, require, text_columns
+from gasflow.functions.columns import boolean_columns, datetime_columns, melt, numeric_columns, require, text_columns
 from gasflow.functions.quantiles import column_quantiles, quantiles
 from gasflow.functions.sizing import reads_little
 
@@ -192,37 +192,44 @@ def _distinct_counts(df: DataFrame) -> Column:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column type, null and distinct counts, kind flags and, for numbers, range, mean, median, deviation."""
-    numeric, text, dates = set(numeric_columns(df)), set(text_columns(df)), set(datetime_columns(df))
+    """Per column type, null and distinct counts, kind flags and, for numbers, range, mean, median, deviation.
+
+    A boolean column without nulls counts as a number here.
+    """
+    numeric, flags = set(numeric_columns(df)), set(boolean_columns(df))
+    text, dates = set(text_columns(df)), set(datetime_columns(df))
     kinds = dict(df.dtypes)
     measures = [F.count(F.lit(1)).alias("rows"), *_distinct_counts(df)]
     for i, c in enumerate(df.columns):
         measures.append(F.count(F.col(c)).alias(f"n{i}"))
-        if c in numeric:
+        if c in numeric | flags:
             number = F.col(c).cast("double")
-            measures.append(
-                F.struct(F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std")).alias(f"m{i}")
-            )
+            figures = {"min": F.min(number), "max": F.max(number), "mean": F.avg(number), "std": F.stddev_samp(number)}
+            measures.append(F.struct(*[f.alias(n) for n, f in figures.items()]).alias(f"m{i}"))
     nothing = F.lit(None).cast("struct<min:double,max:double,mean:double,std:double>")
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(kinds[c]).alias("dtype"),
-            F.col(f"n{i}").alias("non_null_count"),
-            (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-            F.col(f"u{i}").alias("unique_count"),
-            F.lit(c in numeric).alias("is_numeric"),
-            F.lit(c in text).alias("is_categorical"),
-            F.lit(c in dates).alias("is_datetime"),
-            (F.col(f"m{i}") if c in numeric else nothing).alias("m"),
+    rows = []
+    for i, c in enumerate(df.columns):
+        whole = F.col(f"n{i}") == F.col("rows")
+        counts = whole if c in flags else F.lit(c in numeric)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(kinds[c]).alias("dtype"),
+                F.col(f"n{i}").alias("non_null_count"),
+                (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
+                F.col(f"u{i}").alias("unique_count"),
+                counts.alias("is_numeric"),
+                F.lit(c in text).alias("is_categorical"),
+                F.lit(c in dates).alias("is_datetime"),
+                (F.when(counts, F.col(f"m{i}")) if c in numeric | flags else nothing).alias("m"),
+            )
         )
-        for i, c in enumerate(df.columns)
-    ]
     base = df.agg(*measures).select(F.inline(F.array(*rows))).select("*", "m.*").drop("m")
-    if not numeric:
+    if not numeric | flags:
         return base.withColumn("median", F.lit(None).cast("double"))
-    middle = column_quantiles(df, sorted(numeric), [0.5]).select("column", F.col("q")[0].alias("median"))
-    return base.join(F.broadcast(middle), "column", "left")
+    middle = column_quantiles(df, sorted(numeric | flags), [0.5]).select("column", F.col("q")[0].alias("median"))
+    joined = base.join(F.broadcast(middle), "column", "left")
+    return joined.withColumn("median", F.when(F.col("is_numeric"), F.col("median")))
 
 
 def profile_values(df: DataFrame, most: int = 20, k: int = 10) -> DataFrame:
@@ -235,12 +242,12 @@ def profile_values(df: DataFrame, most: int = 20, k: int = 10) -> DataFrame:
 def infer_column_kind(df: DataFrame) -> DataFrame:
     """``column, kind`` with its counts; the first rule that applies decides.
 
-    empty, identifier (numbers, all distinct), numeric, datetime, date_string (more than half of the
+    empty, identifier (numbers, all distinct), numeric (booleans without nulls too), datetime, date_string (more than half of the
     values begin like a date), categorical (fewer distinct values than half of the values),
     coordinate (by name, some value is a number; ``unknown`` when none is), text. The date share is taken over all
     values: rows of a distributed table have no first hundred.
     """
-    numeric, dates = set(numeric_columns(df)), set(datetime_columns(df))
+    numeric, flags, dates = set(numeric_columns(df)), set(boolean_columns(df)), set(datetime_columns(df))
     like_date = "^(" + "|".join(DATE_PATTERNS) + ")"
     measures = [F.count(F.lit(1)).alias("rows"), *_distinct_counts(df)]
     for i, c in enumerate(df.columns):
@@ -257,6 +264,9 @@ def infer_column_kind(df: DataFrame) -> DataFrame:
             return rule.when(distinct == found, "identifier").otherwise("numeric")
         if c in dates:
             return rule.otherwise("datetime")
+        if c in flags:
+            whole = found == F.col("rows")
+            rule = rule.when(whole & (distinct == found), "identifier").when(whole, "numeric")
         rule = rule.when(F.col(f"d{i}") > 0.5, "date_string").when(distinct < found * 0.5, "categorical")
         if any(hint in c.lower() for hint in COORDINATE_HINTS):
             return rule.when(F.col(f"c{i}") > 0, "coordinate").otherwise("unknown")

@@ -138,6 +138,12 @@ def test_profiles(mixed):
     other = spark.createDataFrame([(i, "ABACB"[i], "x") for i in range(5)], "n long, t string, lon_label string")
     kinds = dict(rows(profiling.infer_column_kind(other.withColumn("lon_label", F.concat("lon_label", "n"))), "column", "kind"))
     assert kinds == {"n": "identifier", "t": "text", "lon_label": "unknown"}
+    flags = spark.createDataFrame([(True,), (False,), (True,)], "flag boolean")
+    assert rows(profiling.infer_column_kind(flags), "kind") == [("numeric",)]
+    figures = profiling.column_profile(flags).first()
+    assert (figures["is_numeric"], figures["min"], figures["max"], figures["median"]) == (True, 0.0, 1.0, 1.0)
+    gap = profiling.column_profile(mixed).filter("column = 'flag'").first()
+    assert (gap["is_numeric"], gap["mean"], gap["median"]) == (False, None, None)
     table = {r["state_abb"]: r.asDict() for r in profiling.crosstab(mixed, "state_abb", "flag").collect()}
     assert table["tx"] == {"state_abb": "tx", "false": 1, "true": 0}
     week = rows(profiling.weekly_pattern(spark.createDataFrame([(0,), (6,), (6,), (None,)], "day_of_week int")), "weekday", "count")
