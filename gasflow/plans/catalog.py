@@ -684,11 +684,6 @@ def _(spark, folder):
 
 # Outliers, association, clustering
 
-_Z = """SELECT '{c}' AS "column", COUNT({c}) AS non_null, COUNT(*) FILTER (ABS({c} - m) > s * 2.2) AS count,
-    ROUND(COUNT(*) FILTER (ABS({c} - m) > s * 2.2) / COUNT({c}) * 100, 6) AS percentage
-    FROM lineitem, (SELECT AVG({c}) AS m, stddev_pop({c}) AS s FROM lineitem)"""
-
-
 @query(
     "zscore_outliers",
     """SELECT 'value' AS "column", COUNT(value) AS non_null, COUNT(*) FILTER (ABS(value - m) > s * 3) AS count,
