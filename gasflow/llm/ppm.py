@@ -78,38 +78,39 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 
 
 class ContextTree:
-    """Frozen counts of grams of ``order + 1`` bytes, pruned below ``least`` occurrences."""
+    """Frozen counts by order: for each order k the grams of k + 1 bytes with their counts, and the contexts of
+    k bytes with the totals of all that followed them. Both are sorted. Grams that were pruned count in the totals only;
+    whoever prunes a gram must also prune the longer grams that end with it.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, least: int = 1):
-        self.order = order
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.order = len(levels) - 1
         self.grams, self.contexts, self.log_count, self.log_share = [], [], [], []
         self.weight, self.escape, self.excluded, self.context_of = [], [], [], []
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        for k in range(order + 1):
-            mask = np.uint64((1 << 8 * (k + 1)) - 1)
-            level, n = (keys, counts) if k == order else counted(keys & mask, counts)
-            contexts, place = np.unique(level >> np.uint64(8), return_inverse=True)
-            total = np.bincount(place, n, len(contexts))
-            kept = n >= least
-            level, n, place = level[kept], n[kept], place[kept]
+        for k, (grams, n, contexts, totals) in enumerate(levels):
+            place = np.searchsorted(contexts, grams >> np.uint64(8)).astype(np.int32)
             distinct = np.bincount(place, minlength=len(contexts))
-            seen = np.bincount(place, n, len(contexts))
             excluded = np.zeros(len(contexts))
-            if below is not None and len(level):
-                shorter = level & np.uint64((1 << 8 * k) - 1)
-                excluded = np.bincount(place, below[1][np.searchsorted(below[0], shorter)], len(contexts))
-            held = distinct > 0
-            renumbered = np.cumsum(held) - 1
-            place = renumbered[place].astype(np.int32)
-            self.grams.append(Table(level))
-            self.contexts.append(Table(contexts[held]))
-            self.weight.append((total + distinct)[held])
-            self.escape.append((total - seen + distinct)[held])
-            self.excluded.append(excluded[held])
+            if k and len(grams):
+                shorter = np.searchsorted(levels[k - 1][0], grams & np.uint64((1 << 8 * k) - 1))
+                excluded = np.bincount(place, levels[k - 1][1][shorter], len(contexts))
+            self.grams.append(Table(grams))
+            self.contexts.append(Table(contexts))
+            self.weight.append((totals + distinct).astype(np.float64))
+            self.escape.append((totals - np.bincount(place, n, len(contexts)) + distinct).astype(np.float64))
+            self.excluded.append(excluded)
             self.context_of.append(place)
             self.log_count.append(np.log2(n.astype(np.float64)))
-            self.log_share.append((np.log2(n / self.weight[k][place]) if len(n) else np.zeros(0)).astype(np.float64))
-            below = (level, n)
+            self.log_share.append(np.log2(n / self.weight[k][place]))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, order: int) -> ContextTree:
+        """The tree of all grams of ``order + 1`` bytes."""
+        levels = []
+        for k in range(order + 1):
+            grams, n = counted(keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)
+            levels.append((grams, n, *counted(grams >> np.uint64(8), n)))
+        return cls(levels)
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """Code length of each gram's last byte, given the bytes before it."""

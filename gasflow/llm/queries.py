@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gasflow.llm import packing
+from gasflow.llm import decontaminate, language, packing, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(modulus: int) -> Column:
+    """CRC-32 of the document id as text, modulo; a null id counts as 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(1))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge every document by the benchmark windows that occur in it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, folder, "benchmark"))
+    return decontaminate.contamination(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents into sequences of at most 4096 tokens."""
     return packing.piece_digest(packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predict the language of every document, learning from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    held_out = remainder(4) == 2
+    trees = language.fit(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), trees)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op9_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Score every document, learning from nine tenths of them."""
+    docs = table(spark, folder, "documents")
+    held_out = remainder(10) == 0
+    model, tokens = scoring.train(docs.filter(~held_out))
+    return scoring.score(docs.withColumn("held_out", held_out), model, tokens, keep=("doc_id", "held_out"))
