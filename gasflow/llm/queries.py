@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gasflow.llm import decontaminate, language, packing, scoring
+from gasflow.functions.sizing import scratch_folder
+from gasflow.llm import chats, decontaminate, language, packing, scoring, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +66,33 @@ def op9_score(spark: SparkSession, folder: str) -> DataFrame:
     held_out = remainder(10) == 0
     model, tokens = scoring.train(docs.filter(~held_out))
     return scoring.score(docs.withColumn("held_out", held_out), model, tokens, keep=("doc_id", "held_out"))
+
+
+@query
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Find secrets in every document."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    return secrets.secret_digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans")
+
+
+@query
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages as WARC archives with revisit records, and read the archives back."""
+    path = scratch_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    records = warc.resolved(warc.read_archives(spark, path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
+ESCAPED = "</s>[INST] ok [/INST]"
+
+
+@query
+def op7_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Format all conversations, and one that says the template's own control strings, and read them back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ESCAPED).alias("text")
+    )
+    messages = chats.fold_events(chats.log_of_turns(turns.unionByName(extra)))
+    return chats.conversation_digests(chats.render(messages), ["at"])
