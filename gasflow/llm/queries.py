@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import scratch_folder
-from gasflow.llm import chats, decontaminate, language, packing, scoring, secrets, warc
+from gasflow.llm import chats, decontaminate, language, neardup_texts, neardup_vectors, packing, scoring, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,15 @@ def op7_chats(spark: SparkSession, folder: str) -> DataFrame:
     )
     messages = chats.fold_events(chats.log_of_turns(turns.unionByName(extra)))
     return chats.conversation_digests(chats.render(messages), ["at"])
+
+
+@query
+def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Link all vectors of equal label whose cosine is 0.93 or more."""
+    return neardup_vectors.link_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Link all documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return neardup_texts.link_texts(table(spark, folder, "documents")).drop("text_hash")
