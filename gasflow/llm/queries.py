@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import scratch_folder
-from gasflow.llm import chats, decontaminate, language, neardup_texts, neardup_vectors, packing, scoring, secrets, warc
+from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, scoring, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,10 @@ def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Link all documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return neardup_texts.link_texts(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Find licence notices in all paragraphs of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs))
