@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,20 +78,20 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
-#: A paragraph without any of these words has no gram that speaks for a family (checked against the fitted weights).
 WORD = r"[a-z0-9]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def grams(words: Column, n: int) -> Column:
-    """Each run of ``n`` words as one string."""
-    last = F.greatest(F.size(words) - n + 1, F.lit(0))
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Each run of ``n`` words as one string, in time linear in the words."""
+    out = words
+    for k in range(2, n + 1):
+        # beyond the last run one side is null, and so is what it makes
+        out = F.zip_with(out, F.slice(words, k, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(out)
 
 
 def features(words: Column) -> Column:
@@ -114,19 +115,29 @@ def _labelled(spark: SparkSession) -> DataFrame:
 
 
 class LicenseModel:
-    """The fitted vocabulary, both regressions, and the words without which no family can win."""
+    """The fitted vocabulary, both regressions, and what each gram can add to a family."""
 
     def __init__(self, vocabulary: CountVectorizerModel, family: LogisticRegressionModel, known: LogisticRegressionModel):
         self.vocabulary, self.family = vocabulary, family
         self.slope, self.offset = float(known.coefficients[0]), float(known.intercept)
-        matrix = family.coefficientMatrix.toArray()
-        gain = (matrix[1:] - matrix[0]).max(axis=0)  # what a gram can add to a family over unknown
-        speaking = [g for g, w in zip(vocabulary.vocabulary, gain, strict=True) if w > 0]
-        # every gram that speaks for a family holds one of these words
-        single = {g for g in speaking if " " not in g}
-        self.anchors = sorted(single | {g.split(" ")[1] for g in speaking if " " in g and not set(g.split(" ")) & single})
-        start = family.interceptVector.toArray()
-        self.needs_anchor = bool((start[1:] < start[0]).all())
+        matrix, start = family.coefficientMatrix.toArray(), family.interceptVector.toArray()
+        self.gains = np.maximum(matrix[1:] - matrix[0], 0).T  # what a gram can add to each family over unknown
+        self.start = start[1:] - start[0]
+
+    def anchors(self, least: float) -> list[str] | None:
+        """Words of which a paragraph must have one to reach the probability ``least``; None if it needs none.
+
+        Grams of little gain are left out as long as all of them together, each counted once as in the features,
+        leave every family short. Of each other gram the rarer word stands for it.
+        """
+        need = (np.log(least / (1 - least)) - self.offset) / self.slope
+        if self.slope <= 0 or (self.start >= need).any():
+            return None
+        order = np.argsort(self.gains.max(axis=1))
+        weak = (np.cumsum(self.gains[order], axis=0) + self.start < need).all(axis=1)
+        grams = [self.vocabulary.vocabulary[i] for i in order[~weak]]
+        place = {g: i for i, g in enumerate(self.vocabulary.vocabulary)}  # the most frequent come first
+        return sorted({max(g.split(" "), key=lambda w: place.get(w, len(place))) for g in grams})
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = UNKNOWN_SAMPLE) -> LicenseModel:
@@ -175,8 +186,9 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text", least: float
     kept = [c for c in docs.columns if c not in (text, *new)]
     # the learners add columns of their own, so those of the documents travel in one struct
     lines = paragraphs(docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("_row"), text), text).withColumn("_words", words_of(F.col("paragraph")))
-    if model.needs_anchor:
-        lines = lines.filter(F.arrays_overlap("_words", F.array(*map(F.lit, model.anchors))) if model.anchors else F.lit(False))
+    anchors = model.anchors(least)
+    if anchors is not None:
+        lines = lines.filter(F.arrays_overlap("_words", F.array(*map(F.lit, anchors))) if anchors else F.lit(False))
     lines = lines.withColumn("grams", features(F.col("_words")))
     scored = model.family.transform(model.vocabulary.transform(lines)).withColumn("_raw", vector_to_array("rawPrediction"))
     best = F.slice("_raw", 2, len(FAMILIES) - 1)

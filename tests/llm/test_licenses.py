@@ -47,16 +47,13 @@ def test_every_template_is_its_own_family(spark, model):
     assert [(f,) for f, _ in texts] == [(g[2],) for g in got]
 
 
-def test_words_without_which_no_family_wins(spark, model):
+def test_words_without_which_no_family_wins(spark, model, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).collect()] + ["of the license", "mit"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     gated = licenses.scan(df, model).collect()
-    assert model.needs_anchor
-    model.needs_anchor = False
-    try:
-        assert sorted(map(str, licenses.scan(df, model).collect())) == sorted(map(str, gated))
-    finally:
-        model.needs_anchor = True
+    assert model.anchors(0.5) and len(model.anchors(0.5)) < 150
+    monkeypatch.setattr(licenses.LicenseModel, "anchors", lambda *_: None)
+    assert sorted(map(str, licenses.scan(df, model).collect())) == sorted(map(str, gated))
 
 
 def test_query_finds_the_planted_lines(spark):
