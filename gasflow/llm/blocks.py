@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Word bytes: digits, lower-case letters and every byte of a character beyond ASCII.
 WORD_BYTES = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])

@@ -19,7 +19,7 @@ from gasflow.llm.blocks import LOWER, Words, row_blocks
 
 LONGEST = 4096
 END_ID = 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 PIECE = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 _SPLIT = np.array([b not in (10, 32) for b in range(256)])
 
