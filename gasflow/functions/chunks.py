@@ -1,9 +1,9 @@
 """Row windows over long histories.
 
-A window function keeps one key in one task. Here a history is cut into chunks, one per key and day;
-days with very many rows are cut further by ranges of the row id. Each chunk is ordered on its own,
-and the last rows of the chunks before it are handed to it as a short array. The results are those of
-the plain window.
+A window function keeps one key in one task. Here a history is cut into chunks, one per key and day. A day with very
+many rows is cut further in the order of the window, time and then id: at quantiles of the time, and where one moment
+alone has too many rows, at quantiles of their ids. Each chunk is ordered on its own, and the last rows of the chunks
+before it are handed to it as a short array. The results are those of the plain window.
 """
 
 from __future__ import annotations
@@ -15,24 +15,45 @@ from pyspark.sql import types as T
 from gasflow.functions.sizing import lookup_join
 
 MAX_CHUNK_ROWS = 2_000_000
+SLICES = 256
+LAST_MOMENT = (1 << 63) - 1
 NO_DAY = "9999-12-31"  # rows without a day come last
 CHUNK = ["_day", "_part"]
 
 
 def into_chunks(df: DataFrame, key: str, day: str, id: str, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """Add the chunk columns ``_day`` and ``_part``; rows must have a key."""
-    daily = df.withColumn("_day", F.coalesce(F.to_date(day), F.to_date(F.lit(NO_DAY))))
-    if not isinstance(df.schema[id].dataType, T.IntegralType):
-        return daily.withColumn("_part", F.lit(0).cast("long"))
-    crowded = (
-        daily.groupBy(key, "_day")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(id).alias("_from"), F.max(id).alias("_to"))
+    """Add the chunk columns ``_day`` and ``_part``; rows must have a key.
+
+    Ids that are not integers cannot be cut by quantiles: rows of one moment then stay together.
+    """
+    moment = F.coalesce(F.unix_micros(F.col(day).cast("timestamp")), F.lit(LAST_MOMENT))
+    daily = df.withColumns({"_day": F.coalesce(F.to_date(day), F.to_date(F.lit(NO_DAY))), "_moment": moment})
+    whole = isinstance(df.schema[id].dataType, T.IntegralType)
+    number = F.col(id).cast("long") if whole else F.lit(0).cast("long")
+    counts = daily.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    crowded = lookup_join(daily, counts.filter(F.col("_rows") > max_rows), [key, "_day"], "inner").select(
+        key, "_day", "_moment", number.alias("_number")
+    )
+    at = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = crowded.groupBy(key, "_day").agg(F.percentile_approx("_moment", at).alias("_cuts"))
+    ties = (
+        crowded.groupBy(key, "_day", "_moment")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx("_number", at).alias("ids"))
         .filter(F.col("_rows") > max_rows)
+        .groupBy(key, "_day")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_moment").alias("moment"), "ids"))).alias("_ties"))
+    )
+    joined = lookup_join(daily, cuts.join(ties, [key, "_day"], "left"), [key, "_day"])
+    passed = lambda array, value: F.coalesce(F.size(F.filter(array, lambda c: c <= value)), F.lit(0))
+    earlier = F.coalesce(F.size(F.filter("_ties", lambda t: t["moment"] < F.col("_moment"))), F.lit(0))
+    tie = F.get(F.filter("_ties", lambda t: t["moment"] == F.col("_moment")), F.lit(0))
+    # runs between crowded moments have even places, the moments odd ones
+    part = F.struct(
+        (earlier * 2 + F.when(tie.isNotNull(), 1).otherwise(0)).alias("place"),
+        F.when(F.col("_cuts").isNull(), 0).otherwise(passed(F.col("_cuts"), F.col("_moment"))).alias("slice"),
+        F.when(tie.isNull(), 0).otherwise(passed(tie["ids"], number)).alias("among"),
     )
-    parts = F.ceil(F.col("_rows") / max_rows)
-    part = F.floor((F.col(id) - F.col("_from")) / (F.col("_to") - F.col("_from") + 1) * parts)
-    joined = lookup_join(daily, crowded, [key, "_day"])
-    return joined.withColumn("_part", F.coalesce(part, F.lit(0)).cast("long")).drop("_rows", "_from", "_to")
+    return joined.withColumn("_part", part).drop("_cuts", "_ties", "_moment")
 
 
 def with_trailing(chunked: DataFrame, key: str, day: str, id: str, payload: Column, n: int, name: str) -> DataFrame:

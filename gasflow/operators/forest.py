@@ -18,7 +18,6 @@ from gasflow.operators.relational import drop_incomplete
 
 TREES = 100
 SAMPLE = 256
-POOL = 32 * SAMPLE
 CONTAMINATION = 0.1
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 _HASH_RANGE = 2**31
@@ -37,12 +36,14 @@ def isolation_forest(
 
     Lower scores are stranger; the rows below the ``contamination`` quantile of the scores are flagged.
     Samples are drawn by a hash of the row id, so partitioning does not change the result. Each tree is
-    grown by one task from ``sample`` rows; the forest is small whatever the table, and each batch of
+    grown by one task from ``sample`` rows, or all when there are fewer; the forest is small whatever the table, and each batch of
     rows is scored against it where it lies. Scaling the features would not change the splits.
     """
     names = list(columns or [c for c in default_features(df) if c != id])
     rows = drop_incomplete(df.select(id, *[F.col(c).cast("double").alias(c) for c in names]), names)
-    forest = _grow(rows, id, names, trees, sample, seed)
+    total = rows.count()
+    sample = max(1, min(sample, total))
+    forest = _grow(rows, total, id, names, trees, sample, seed)
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -64,14 +65,13 @@ def isolation_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def _grow(rows: DataFrame, id: str, names: list[str], trees: int, sample: int, seed: int) -> list[pd.DataFrame]:
+def _grow(rows: DataFrame, total: int, id: str, names: list[str], trees: int, sample: int, seed: int) -> list[pd.DataFrame]:
     """The node tables of the trees: at most ``trees * 2 * sample`` nodes."""
-    total = rows.count()
-    share = min(1.0, max(POOL, 4 * sample) / max(total, 1))
-    drawn = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
-    pool = rows.filter(drawn) if share < 1.0 else rows
-    numbered = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), id, *names)
-    shuffled = numbered.withColumn("draw", F.xxhash64(F.col(id), F.col("tree"), F.lit(seed)))
+    # each tree draws from all rows: about twice its sample by a hash of row and tree, of which the first are kept
+    share = min(1.0, 2 * sample / max(total, 1) + 64 / max(total, 1))
+    draw = lambda tree: F.xxhash64(F.col(id), tree, F.lit(seed))
+    drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(draw(t), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE))
+    shuffled = rows.select(F.explode(drawing).alias("tree"), id, *names).withColumn("draw", draw(F.col("tree")))
     chosen = Window.partitionBy("tree").orderBy("draw", id)
     samples = shuffled.withColumn("nth", F.row_number().over(chosen)).filter(F.col("nth") <= sample)
 
@@ -135,5 +135,5 @@ def _scores(features: np.ndarray, forest: list[pd.DataFrame], sample: int) -> np
                 break
             at = following
         depth += nodes["depth"].to_numpy()[at]
-    expected = _average_depth(sample)
+    expected = max(_average_depth(sample), 1.0)
     return -np.power(2.0, -depth / max(len(forest), 1) / expected)

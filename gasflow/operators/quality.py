@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import datetime_columns, melt, numeric_columns, text_columns
@@ -108,30 +108,24 @@ def dataset_summary(df: DataFrame, day: str = "eff_gas_day") -> DataFrame:
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """``position, insight``: sentences on size, completeness, states, days and variability."""
+    """``position, rule, value``: size, missing cells, states, days and variability as text; rules that do not hold are left out."""
     names = df.columns
     measures = [F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(f"p{i}") for i, c in enumerate(names)]]
+    rules: list[tuple[str, Column]] = [("rows", F.col("rows")), ("columns", F.lit(len(names)))]
+    cells = F.col("rows") * len(names)
+    held = sum((F.col(f"p{i}") for i in range(len(names))), F.lit(0))
+    missing = F.try_divide(cells - held, cells) * 100
+    rules.append(("missing_percent", F.when((missing > 10) | (missing < 1), F.format_string("%.1f", missing))))
     if "state_abb" in names:
         measures.append(F.count_distinct("state_abb").alias("states"))
+        first = df.groupBy("state_abb").count().filter("state_abb is not null").agg(F.min(F.struct(-F.col("count"), "state_abb")).alias("top"))
+        rules += [("states", F.col("states")), ("largest_state", first.select("top.state_abb").scalar())]
     if "eff_gas_day" in names:
         measures.append(F.floor((F.unix_timestamp(F.max("eff_gas_day")) - F.unix_timestamp(F.min("eff_gas_day"))) / 86400).alias("days"))
+        rules.append(("days", F.col("days")))
     if "scheduled_quantity" in names:
         number = F.col("scheduled_quantity").cast("double")
         measures.append((F.try_divide(F.stddev_samp(number), F.avg(number))).alias("variation"))
-    held = sum((F.col(f"p{i}") for i in range(len(names))), F.lit(0))
-    missing = F.try_divide(F.col("rows") * len(names) - held, F.col("rows") * len(names)) * 100
-    says = [
-        F.concat(F.lit("Dataset contains "), F.format_number("rows", 0), F.lit(f" records with {len(names)} columns")),
-        F.when(missing > 10, F.concat(F.lit("Data has "), F.format_string("%.1f", missing), F.lit("% missing values - consider data cleaning")))
-        .when(missing < 1, "Data is very complete with minimal missing values"),
-    ]
-    if "state_abb" in names:
-        first = df.groupBy("state_abb").count().filter("state_abb is not null").agg(F.min(F.struct(-F.col("count"), "state_abb")).alias("top"))
-        top = first.select("top.state_abb").scalar()
-        says.append(F.concat(F.lit("Data covers "), F.col("states"), F.lit(" states, with "), top, F.lit(" being most represented")))
-    if "eff_gas_day" in names:
-        says.append(F.concat(F.lit("Data spans "), F.col("days"), F.lit(" days")))
-    if "scheduled_quantity" in names:
-        says.append(F.when(F.col("variation") > 1, "Scheduled quantities show high variability"))
-    lines = F.array(*[F.struct(F.lit(i + 1).alias("position"), s.cast("string").alias("insight")) for i, s in enumerate(says)])
-    return df.agg(*measures).select(F.inline(lines)).filter(F.col("insight").isNotNull())
+        rules.append(("quantity_varies", F.when(F.col("variation") > 1, "true")))
+    lines = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(r).alias("rule"), v.cast("string").alias("value")) for i, (r, v) in enumerate(rules)])
+    return df.agg(*measures).select(F.inline(lines)).filter(F.col("value").isNotNull())

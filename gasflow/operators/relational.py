@@ -96,7 +96,7 @@ AGGREGATIONS = ("count", "sum", "mean", "median", "max", "min")
 def aggregate(df: DataFrame, how: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One row of aggregates.
 
-    ``count`` gives ``total_count`` and a non-null count per listed column; the others give one
+    ``count`` gives ``total_count`` and a non-null count per listed column, or per column when none is; the others give one
     ``<column>_<how>`` per numeric column that is listed, or per numeric column when none is. An
     unknown aggregation gives an empty result, an unknown column an error.
     """
@@ -104,7 +104,7 @@ def aggregate(df: DataFrame, how: str, columns: Sequence[str] | None = None) ->
     require(df, *wanted)
     if how == "count":
         return df.agg(
-            F.count(F.lit(1)).alias("total_count"), *[F.count(c).alias(f"{c}_count") for c in wanted]
+            F.count(F.lit(1)).alias("total_count"), *[F.count(F.col(c)).alias(f"{c}_count") for c in wanted or df.columns]
         )
     numeric = [c for c in numeric_columns(df) if not wanted or c in wanted]
     if how not in AGGREGATIONS or not numeric:

@@ -267,12 +267,17 @@ def _(spark, folder):
     return cleaning.clean_column_names(odd)
 
 
+_OBS_TYPES = {"obs_id": "bigint", "latitude": "double", "longitude": "double", "eff_gas_day": "timestamp", "scheduled_quantity": "double"}
+
+
 @query(
     "validate_columns",
-    """SELECT * FROM (VALUES ('county_name', 'missing', CAST(NULL AS VARCHAR), true), ('obs_id', 'extra', NULL, true)
-    """
-    + "".join(f", ('{c}', 'present', NULL, true)" for c in OBS_COLUMNS if c != "obs_id")
-    + ') t("column", status, suggestion, is_valid)',
+    f"WITH {GAS} SELECT 'county_name' AS \"column\", 'missing' AS status, CAST(NULL AS VARCHAR) AS suggestion, "
+    "CAST(NULL AS VARCHAR) AS data_type, CAST(NULL AS BIGINT) AS non_null, true AS is_valid"
+    + "".join(
+        f" UNION ALL SELECT '{c}', '{'extra' if c == 'obs_id' else 'present'}', NULL, '{_OBS_TYPES.get(c, 'string')}', COUNT({c}), true FROM gas_obs"
+        for c in OBS_COLUMNS
+    ),
 )
 def _(spark, folder):
     return cleaning.validate_columns(gas_obs(spark, folder))
@@ -361,6 +366,14 @@ def _(spark, folder):
     return relational.top_k(gas_obs(spark, folder).select("obs_id", "pipeline_name", "scheduled_quantity"), "scheduled_quantity", "obs_id")
 
 
+@query(
+    "aggregate_count_all",
+    f"WITH {GAS} SELECT COUNT(*) AS total_count, " + ", ".join(f"COUNT({c}) AS {c}_count" for c in OBS_COLUMNS) + " FROM gas_obs",
+)
+def _(spark, folder):
+    return relational.aggregate(gas_obs(spark, folder), "count")
+
+
 @query(
     "aggregate_count",
     f"""WITH {GAS} SELECT COUNT(*) AS total_count, COUNT(connecting_entity) AS connecting_entity_count,
@@ -668,16 +681,17 @@ def _(spark, folder):
     return quality.dataset_summary(gas_obs(spark, folder))
 
 
-_INSIGHTS = f"""all_insights AS (SELECT 1 AS position, 'Dataset contains ' || format('{{:,}}', COUNT(*)) || ' records with 13 columns' AS insight FROM gas_obs
-    UNION ALL SELECT 2, CASE WHEN m > 10 THEN 'Data has ' || printf('%.1f', m) || '% missing values - consider data cleaning'
-      WHEN m < 1 THEN 'Data is very complete with minimal missing values' END FROM (SELECT ({_MISSING_CELLS}) / (COUNT(*) * 13) * 100 AS m FROM gas_obs)
-    UNION ALL SELECT 3, 'Data covers ' || (SELECT COUNT(DISTINCT state_abb) FROM gas_obs) || ' states, with ' || state_abb || ' being most represented'
-      FROM (SELECT state_abb FROM gas_obs GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
-    UNION ALL SELECT 4, 'Data spans ' || CAST(FLOOR(epoch(MAX(eff_gas_day) - MIN(eff_gas_day)) / 86400) AS BIGINT) || ' days' FROM gas_obs
-    UNION ALL SELECT 5, CASE WHEN stddev_samp(scheduled_quantity) / AVG(scheduled_quantity) > 1 THEN 'Scheduled quantities show high variability' END FROM gas_obs)"""
+_INSIGHTS = f"""all_insights AS (SELECT 1 AS position, 'rows' AS rule, CAST(COUNT(*) AS VARCHAR) AS value FROM gas_obs
+    UNION ALL SELECT 2, 'columns', '13'
+    UNION ALL SELECT 3, 'missing_percent', CASE WHEN m > 10 OR m < 1 THEN printf('%.1f', m) END
+      FROM (SELECT ({_MISSING_CELLS}) / (COUNT(*) * 13) * 100 AS m FROM gas_obs)
+    UNION ALL SELECT 4, 'states', CAST(COUNT(DISTINCT state_abb) AS VARCHAR) FROM gas_obs
+    UNION ALL SELECT 5, 'largest_state', (SELECT state_abb FROM gas_obs GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
+    UNION ALL SELECT 6, 'days', CAST(CAST(FLOOR(epoch(MAX(eff_gas_day) - MIN(eff_gas_day)) / 86400) AS BIGINT) AS VARCHAR) FROM gas_obs
+    UNION ALL SELECT 7, 'quantity_varies', CASE WHEN stddev_samp(scheduled_quantity) / AVG(scheduled_quantity) > 1 THEN 'true' END FROM gas_obs)"""
 
 
-@query("insights", f"WITH {GAS}, {_INSIGHTS} SELECT position, insight FROM all_insights WHERE insight IS NOT NULL")
+@query("insights", f"WITH {GAS}, {_INSIGHTS} SELECT position, rule, value FROM all_insights WHERE value IS NOT NULL")
 def _(spark, folder):
     return quality.insights(gas_obs(spark, folder))
 

@@ -75,8 +75,13 @@ def write_profile(sections: dict[str, DataFrame], path: str) -> None:
 
 
 def _refuse_html(spark: SparkSession, path: str) -> None:
-    """Raise when a text input holds an HTML page; the head of each file is a few lines of its first split."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    top = lines.filter(F.trim("value") != "").limit(1)
-    if not top.filter(starts_like_html(F.col("value"))).isEmpty():
-        raise ValueError(f"{path} holds an HTML page, not a data file; fetch the data file itself")
+    """Raise when one of the text files is an HTML page: looks at the first line with other than white space of each file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    told = lines.filter(F.col("value").rlike(r"\S"))
+    # blocks of a file are in no given order, lines of one block are
+    first = told.groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("value"))
+    pages = first.filter(starts_like_html(F.col("value"))).select("file").head(1)
+    if pages:
+        raise ValueError(f"{pages[0].file} is an HTML page, not a data file; fetch the data file itself")

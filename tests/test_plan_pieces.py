@@ -64,9 +64,11 @@ def test_average_ranks(spark):
     assert sorted(map(tuple, ranked.to_numpy())) == sorted(map(tuple, wanted.to_numpy()))
 
 
-def history(spark, rows=400):
+def history(spark, rows=400, days=12, intraday=False):
     rng = np.random.default_rng(8)
-    days = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 12, rows), unit="D")
+    days = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, days, rows), unit="D")
+    if intraday:
+        days = days + pd.to_timedelta(rng.choice([0, 5, 5, 5, *range(100)], rows), unit="m")
     frame = pd.DataFrame(
         {
             "obs_id": rng.permutation(rows),
@@ -84,9 +86,10 @@ def history(spark, rows=400):
     return spark.createDataFrame([(int(r[0]), *r[1:]) for r in rows], schema), rows
 
 
-@pytest.mark.parametrize("max_rows", [1, 7, 2_000_000])
-def test_chunked_windows_equal_plain_ones(spark, monkeypatch, max_rows):
-    table, rows = history(spark)
+@pytest.mark.parametrize("intraday", [False, True])
+@pytest.mark.parametrize("max_rows", [1, 20, 2_000_000])
+def test_chunked_windows_equal_plain_ones(spark, monkeypatch, max_rows, intraday):
+    table, rows = history(spark, days=2 if intraday else 12, intraday=intraday)
     monkeypatch.setattr(operations, "into_chunks", lambda *a: into_chunks(*a, max_rows=max_rows))
     wanted, changes = {}, {}
     for pipeline in ("hot", "cold"):
