@@ -1,8 +1,8 @@
 """Language-model scores: a byte context tree pretrained on the whole corpus, beside a smoothed unigram model.
 
 Both models are counted over all training documents in one pass. Each task counts distinct keys of its rows before
-anything is shuffled. The context tree keeps each gram that makes up at least a 2^-21 share of all bytes, so at most
-2^21 grams of each order however large the corpus is; rarer ones are left to the escape to shorter contexts. Token
+anything is shuffled. The context tree keeps each gram that makes up at least a 2^-20 share of all bytes, so at most
+2^20 grams of each order however large the corpus is; rarer ones are left to the escape to shorter contexts. Token
 counts have no such bound: frequent tokens (a bounded number) are shipped, all others meet their documents in a join.
 """
 
@@ -21,8 +21,8 @@ from gasflow.llm.blocks import TOKEN_BYTES, Words, row_blocks, sums_by_text
 from gasflow.llm.ppm import ContextTree, Table, adaptive_bits, counted, grams_of, text_bits
 
 ORDER = 4
-SHARE = 1 << 21
-SHIPPED_TOKENS = 1 << 20
+SHARE = 1 << 20
+SHIPPED_TOKENS = 1 << 18
 HELD_KEYS = 1 << 21
 END_TOKEN = np.uint64(0)
 ALPHA = 0.1
