@@ -119,6 +119,7 @@ class LicenseModel:
 
     def __init__(self, vocabulary: CountVectorizerModel, family: LogisticRegressionModel, known: LogisticRegressionModel):
         self.vocabulary, self.family = vocabulary, family
+        self.grams = list(vocabulary.vocabulary)  # each look at the property fetches all of it from the JVM
         self.slope, self.offset = float(known.coefficients[0]), float(known.intercept)
         matrix, start = family.coefficientMatrix.toArray(), family.interceptVector.toArray()
         self.gains = np.maximum(matrix[1:] - matrix[0], 0).T  # what a gram can add to each family over unknown
@@ -135,8 +136,8 @@ class LicenseModel:
             return None
         order = np.argsort(self.gains.max(axis=1))
         weak = (np.cumsum(self.gains[order], axis=0) + self.start < need).all(axis=1)
-        grams = [self.vocabulary.vocabulary[i] for i in order[~weak]]
-        place = {g: i for i, g in enumerate(self.vocabulary.vocabulary)}  # the most frequent come first
+        grams = [self.grams[i] for i in order[~weak]]
+        place = {g: i for i, g in enumerate(self.grams)}  # the most frequent come first
         return sorted({max(g.split(" "), key=lambda w: place.get(w, len(place))) for g in grams})
 
 
