@@ -7,6 +7,7 @@ whole table, and one pass over the table advances all k at once.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -58,6 +59,8 @@ def kmeans_best(
                 open_models.discard(k)
         if not open_models:
             break
+    else:
+        warnings.warn(f"no convergence within {MAX_PASSES} passes for k = {sorted(open_models)}", RuntimeWarning, stacklevel=2)
     final = _pass(rows, names, centers)
     silhouettes = _silhouettes(rows, names, centers, final)
     best = max(tried, key=lambda k: (silhouettes[k], -k))
