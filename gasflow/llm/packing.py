@@ -7,6 +7,7 @@ documents, no token is padding, and a batch takes its sequences from one bucket
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ from gasflow.llm.blocks import LOWER, Words, row_blocks
 
 LONGEST = 4096
 END_ID = 2
+#: Stretches that a worker keeps in each of two generations.
 KEPT_WORDS = 150_000
 PIECE = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 _SPLIT = np.array([b not in (10, 32) for b in range(256)])
+_MARK = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -33,8 +36,9 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
 class WordIds:
     """Token ids of whole texts for a tokenizer that lower-cases and never joins across white space.
 
-    Stretches between spaces are tokenized once and kept. All of a block that are new go to the tokenizer in one
-    call; those of letters only are told apart in its answer by the tokens that end a word.
+    Stretches between spaces are tokenized and kept. All of a block that are new go to the tokenizer in one
+    call; those of letters only are told apart in its answer by the tokens that end a word. What was not met since the
+    last generation began is forgotten when the next one does.
     """
 
     def __init__(self, path: str):
@@ -45,9 +49,11 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[list(ends)] = True
         self.kept: dict[bytes, np.ndarray] = {}
+        self.earlier: dict[bytes, np.ndarray] = {}
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # the fast call leaves out the places of tokens in the text
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, new: list[bytes]) -> None:
         letters = []
@@ -61,7 +67,8 @@ class WordIds:
             ids = self.plain(b" ".join(letters).decode("utf-8", "replace"))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(letters):
-                self.kept.update(zip(letters, np.split(ids, cuts[:-1]), strict=True))
+                ends = cuts.tolist()
+                self.kept.update((chunk, ids[a:b]) for chunk, a, b in zip(letters, [0, *ends], ends, strict=False))
             else:  # a letter that composes or lower-cases to something that is none
                 self.kept.update((chunk, self.plain(chunk.decode("utf-8", "replace"))) for chunk in letters)
 
@@ -73,7 +80,8 @@ class WordIds:
         _, first, place = np.unique(words.numbers, return_index=True, return_inverse=True)
         chunks = [words.buffer[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
         if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+            self.earlier, self.kept = self.kept, {}
+        self.kept.update((c, self.earlier[c].copy()) for c in chunks if c not in self.kept and c in self.earlier)
         self.learn([c for c in chunks if c not in self.kept])
         ids = [self.kept[c] for c in chunks]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -89,21 +97,7 @@ class WordIds:
 
 def _split_words(texts: list[bytes]) -> Words:
     """Stretches between spaces and line ends; a full stop or comma between a letter and a space stands alone."""
-    apart = []
-    for t in texts:
-        t = t.translate(LOWER)
-        for mark in (b", ", b". ", b".\n", b",\n"):
-            if mark in t:
-                t = _after_letters(t, mark)
-        apart.append(t)
-    return Words(apart, _SPLIT, lower=False)
-
-
-def _after_letters(text: bytes, mark: bytes) -> bytes:
-    """Put a space before each ``mark`` that follows an ASCII letter."""
-    data = np.frombuffer(text, np.uint8)
-    here = np.flatnonzero((data[1:-1] == mark[0]) & (data[2:] == mark[1]) & (data[:-2] >= 97) & (data[:-2] <= 122)) + 1
-    return np.insert(data, here, 32).tobytes() if len(here) else text
+    return Words([_MARK.sub(rb" \g<0>", t.translate(LOWER)) for t in texts], _SPLIT, lower=False)
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
