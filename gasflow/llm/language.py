@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.llm.blocks import row_blocks
-from gasflow.llm.ppm import ContextTree, counted, grams_of, text_bits
+from gasflow.llm.ppm import ContextTree, bits_by_tree, counted, grams_of
 
 ORDER = 4
 #: The labelled sample holds at most about this many bytes of text per language.
@@ -78,7 +78,7 @@ def identify(docs: DataFrame, trees: dict[str, ContextTree], text: str = "text")
                 lengths = np.fromiter(map(len, texts), np.int64, n) + 1
                 best, share, bits = np.zeros(n, int), np.zeros(n), np.zeros(n)
                 if names:
-                    all_bits = np.stack([text_bits(tree, texts) for tree in shipped.value.values()], 1)
+                    all_bits = bits_by_tree(list(shipped.value.values()), texts)
                     best = all_bits.argmin(1)
                     bits = all_bits[np.arange(n), best]
                     share = 1 / np.exp2(np.maximum(bits[:, None] - all_bits, -1000)).sum(1)

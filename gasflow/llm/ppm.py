@@ -150,6 +150,15 @@ def text_bits(tree: ContextTree, texts: list[bytes]) -> np.ndarray:
     return np.add.reduceat(tree.bits(keys), bounds[:-1]) if len(texts) else np.zeros(0)
 
 
+def bits_by_tree(trees: list[ContextTree], texts: list[bytes]) -> np.ndarray:
+    """``text_bits`` of each text (rows) under each of some trees of one order; each distinct gram is looked up once."""
+    keys, bounds = grams_of(texts, trees[0].order)
+    distinct, place = np.unique(keys, return_inverse=True)
+    if not len(texts):
+        return np.zeros((0, len(trees)))
+    return np.stack([np.add.reduceat(tree.bits(distinct)[place], bounds[:-1]) for tree in trees], 1)
+
+
 def adaptive_bits(text: bytes, order: int) -> float:
     """Code length of a text under counts learned from its own earlier bytes alone, with the same escapes.
 

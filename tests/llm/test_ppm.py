@@ -9,7 +9,7 @@ import pytest
 
 from gasflow.llm import language, scoring
 from gasflow.llm.blocks import TOKEN_BYTES, WORD_BYTES, Words
-from gasflow.llm.ppm import ContextTree, Table, adaptive_bits, counted, grams_of, text_bits
+from gasflow.llm.ppm import ContextTree, Table, adaptive_bits, bits_by_tree, counted, grams_of, text_bits
 from gasflow.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -162,3 +162,10 @@ def test_labelled_sample_keeps_to_its_limit(spark):
     sample = language.labelled_sample(docs, 1000).collect()
     for lang in "ab":
         assert 100 < sum(len(r.text) for r in sample if r.lang == lang) <= 1000
+
+
+def test_bits_by_tree_are_those_of_each_tree():
+    trees = [ContextTree.of(*counted(grams_of(part, 3)[0]), 3) for part in ([b"abab", b"ba"], [b"xyz" * 9])]
+    texts = [b"ab", b"", b"xyzab" * 20, b"\xc3\xa9"]
+    assert (bits_by_tree(trees, texts) == np.stack([text_bits(t, texts) for t in trees], 1)).all()
+    assert bits_by_tree(trees, []).shape == (0, 2)
