@@ -128,6 +128,27 @@ def test_score_with_pruning_and_nothing_shipped(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("order", [0, 4])
+def test_score_with_all_grams_of_which_few_are_shipped(spark, order):
+    texts = ["the cat the hat", "the the dog", None, "é été", "zzz"]
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [-plain_bits(raw[:4], t, order) * math.log10(2) for t in raw]
+    for shipped_grams in (0, 4):
+        model, tokens = scoring.train(docs.filter("doc_id < 4"), order, shipped_grams=shipped_grams)
+        got = {r.doc_id: r.score for r in scoring.score(docs, model, tokens).collect()}
+        assert np.allclose([got[i] for i in range(5)], want, atol=1e-9)
+
+
+def test_score_keeps_rare_grams_of_a_large_corpus(spark):
+    # a word seen once beside more than 2^20 bytes of other text
+    docs = spark.createDataFrame([(0, "ab " * 200_000), (1, "ab " * 200_000), (2, "xylophon")], "doc_id long, text string")
+    model, tokens = scoring.train(docs)
+    raw = [b"ab " * 200_000] * 2 + [b"xylophon"]
+    seen = {r.doc_id: r.score for r in scoring.score(docs, model, tokens).collect()}
+    assert abs(seen[2] + plain_bits(raw, raw[2], scoring.ORDER) * math.log10(2)) < 1e-9
+
+
 def test_score_of_empty_corpus_and_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model, tokens = scoring.train(empty)
