@@ -22,31 +22,36 @@ SAMPLE_BYTES = 1 << 20
 #: Texts that cost more bits per byte than this look like none of the languages.
 FOREIGN_BITS = 6.0
 LEVELS = 62
+#: A level is taken in this many parts.
+PARTS = 16
 
 
 def labelled_sample(labelled: DataFrame, limit: int = SAMPLE_BYTES, text: str = "text", lang: str = "lang") -> DataFrame:
-    """A bounded sample of whole texts per language: ``lang, text``.
+    """A bounded sample of whole distinct texts per language: ``lang, text``.
 
-    Each distinct row gets a level from a hash of its text, level n with probability 2^-(n+1). The lowest level is
-    chosen from which on a language's texts fit the limit; a language whose top level alone exceeds it gives that.
+    Each distinct text, however often it occurs, has a level n with probability 2^-(n+1) and one of ``PARTS`` parts of
+    it, both from a hash. Parts are taken from the highest level down as long as the chosen texts fit the limit; a
+    part that does not fit is left out, unless it is a language's first.
     """
-    zeros = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64(text).bitwiseAND((1 << LEVELS) - 1)), LEVELS, "0"), "^(0*)", 1))
+    bits = F.lpad(F.bin(F.xxhash64(text).bitwiseAND((1 << LEVELS) - 1)), LEVELS, "0")
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), zeros.alias("level")
-    )
-    sizes = rows.groupBy("lang", "level").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    lowest: dict[str, int] = {}
-    for name in {r.lang for r in sizes}:
-        total = 0
-        for r in sorted((r for r in sizes if r.lang == name), key=lambda r: -r.level):
-            total += r.bytes
-            if name in lowest and total > limit:
-                break
-            lowest[name] = r.level
-    if not lowest:
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.length(F.regexp_extract(bits, "^(0*)", 1)).alias("level"),
+        F.pmod(F.xxhash64(F.lit(1), F.col(text)), F.lit(PARTS)).cast("int").alias("part"),
+    )
+    # a text stands for its copies; 128 bits of hashes and the length tell texts apart
+    mark = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(2), F.col("text")).alias("g"), F.octet_length("text").alias("size")]
+    distinct = rows.select("lang", "level", "part", *mark).distinct()
+    sizes = distinct.groupBy("lang", "level", "part").agg(F.sum("size").alias("bytes")).collect()
+    held: dict[str, int] = {}
+    chosen = []
+    for r in sorted(sizes, key=lambda r: (-r.level, r.part)):
+        if r.lang not in held or held[r.lang] + r.bytes <= limit:
+            held[r.lang] = held.get(r.lang, 0) + r.bytes
+            chosen.append((r.lang, r.level, r.part))
+    if not chosen:
         return rows.select("lang", "text").limit(0)
-    chosen = labelled.sparkSession.createDataFrame(sorted(lowest.items()), "lang string, lowest int")
-    return rows.join(F.broadcast(chosen), "lang").filter("level >= lowest").select("lang", "text").distinct()
+    parts = labelled.sparkSession.createDataFrame(chosen, "lang string, level int, part int")
+    return rows.join(F.broadcast(parts), ["lang", "level", "part"]).select("lang", "text").distinct()
 
 
 def fit(labelled: DataFrame, order: int = ORDER, limit: int = SAMPLE_BYTES, text: str = "text", lang: str = "lang") -> dict[str, ContextTree]:

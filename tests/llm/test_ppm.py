@@ -185,6 +185,13 @@ def test_labelled_sample_keeps_to_its_limit(spark):
         assert 100 < sum(len(r.text) for r in sample if r.lang == lang) <= 1000
 
 
+def test_labelled_sample_counts_copies_once_and_takes_part_of_a_level(spark):
+    rows = spark.range(1000).selectExpr("concat('text ', id) as text", "'a' as lang", "if(id % 100 = 0, 5000, 1) as times")
+    docs = rows.selectExpr("text", "lang", "explode(sequence(1, times)) as copy")
+    assert language.labelled_sample(docs, 20_000).count() == 1000
+    assert 5000 < sum(len(r.text) for r in language.labelled_sample(docs, 6000).collect()) <= 6000
+
+
 def test_bits_by_tree_are_those_of_each_tree():
     trees = [ContextTree.of(*counted(grams_of(part, 3)[0]), 3) for part in ([b"abab", b"ba"], [b"xyz" * 9])]
     texts = [b"ab", b"", b"xyzab" * 20, b"\xc3\xa9"]
