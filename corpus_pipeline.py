@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: each stage reads what the one before it wrote.
 
-Language identification drops documents in no learned language; the similarity join keeps one document of each
+Language identification drops documents without a letter; the similarity join keeps one document of each
 near-duplicate group; decontamination drops documents that repeat benchmark windows; secrets are masked in the text; packing
 turns the rest into training sequences.
 """
@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language learned from the labelled ones; noise and texts without letters go."""
+    """Keep documents that get a language, learned from the labelled ones; texts without letters go."""
     trees = language.fit(docs.filter(remainder(4) != 2))
     return language.recognised(language.identify(docs, trees)).select(*COLUMNS)
 

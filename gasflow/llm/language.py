@@ -19,8 +19,6 @@ from gasflow.llm.ppm import ContextTree, bits_by_tree, counted, grams_of
 ORDER = 4
 #: The labelled sample holds at most about this many bytes of text per language.
 SAMPLE_BYTES = 1 << 20
-#: Texts that cost more bits per byte than this look like none of the languages.
-FOREIGN_BITS = 6.0
 LEVELS = 62
 #: A level is taken in this many parts.
 PARTS = 16
@@ -98,6 +96,9 @@ def identify(docs: DataFrame, trees: dict[str, ContextTree], text: str = "text")
     return frame.mapInArrow(score, f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
-def recognised(identified: DataFrame, most_bits: float = FOREIGN_BITS) -> DataFrame:
-    """Only the documents in one of the learned languages: not ``und`` and not as incompressible as noise."""
-    return identified.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= most_bits))
+def recognised(identified: DataFrame) -> DataFrame:
+    """Only the documents that have a language: not ``und``.
+
+    The code length is no reason to drop one, since short, upper-case or numeric clean texts cost as much as noise.
+    """
+    return identified.filter(F.col("lang_pred") != "und")

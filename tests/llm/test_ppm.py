@@ -178,6 +178,14 @@ def test_language_edges(spark):
     assert language.fit(docs.limit(0)) == {}
 
 
+def test_clean_documents_of_many_bits_are_recognised(spark):
+    trees = language.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    texts = ["the", "yes", "Hello", "THE OFFICE WILL BE CLOSED ON FRIDAY", "Total 12.99, 4 x 3.25, 13.00, 7.45, 118.60", None, "12 !?"]
+    found = language.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), trees)
+    assert all(r.bits_per_byte > 6 for r in found.filter("doc_id in (0, 3, 4)").collect())
+    assert {r.doc_id for r in language.recognised(found).collect()} == {0, 1, 2, 3, 4}
+
+
 def test_labelled_sample_keeps_to_its_limit(spark):
     docs = spark.range(2000).selectExpr("concat('text ', id) as text", "if(id % 2 = 0, 'a', 'b') as lang")
     sample = language.labelled_sample(docs, 1000).collect()
