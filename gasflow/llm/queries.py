@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import scratch_folder
-from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, scoring, secrets, warc
+from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, periodic, scoring, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +116,23 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Find licence notices in all paragraphs of all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.train(docs))
+
+
+def repeated_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by the CRC-32 of its id, repeats a stretch of its words from some place to its end."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    stretch = words[start : start + period]
+    return words[:start] + (stretch * ((n - start) // period + 1))[: n - start]
+
+
+@query
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Find the periodic runs of words in every document, a tenth of which repeat themselves."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.run_digest(periodic.find_runs(docs, rewrite=repeated_words))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
