@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import scratch_folder
-from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, periodic, scoring, secrets, warc
+from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, periodic, scoring, secrets, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,21 @@ def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = periodic.run_digest(periodic.find_runs(docs, rewrite=repeated_words))
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def shortened(doc_id: int | None, word: bytes) -> bytes:
+    """Of every 199th word of a document, by the CRC-32 of both, one code point is left out."""
+    h = zlib.crc32(b"%d:%s" % (doc_id, word)) if doc_id is not None else 1
+    if h % 199:
+        return word
+    points = word.decode()
+    at = h % len(points)
+    return (points[:at] + points[at + 1 :]).encode()
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Group the spelling variants of the words of all documents, some of which are misspelt."""
+    docs = table(spark, folder, "documents")
+    found = spelling.variants(spelling.count_words(docs, change=shortened))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
