@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import scratch_folder
-from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, periodic, scoring, secrets, spelling, warc
+from gasflow.llm import chats, decontaminate, language, licenses, neardup_texts, neardup_vectors, packing, periodic, quality, scoring, secrets, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,12 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = spelling.variants(spelling.count_words(docs, change=shortened))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Score the quality of every document, learning from labels of two thirds of them."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = remainder(3) == 1
+    trees = quality.train(docs, labels.filter(~held_out))
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), trees).drop("text")
