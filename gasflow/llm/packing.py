@@ -7,10 +7,11 @@ documents, no token is padding, and a batch takes its sequences from one bucket
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,10 +22,9 @@ from gasflow.llm.blocks import LOWER, Words, row_blocks
 LONGEST = 4096
 END_ID = 2
 #: Stretches that a worker keeps in each of two generations.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 _SPLIT = np.array([b not in (10, 32) for b in range(256)])
-_MARK = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -33,11 +33,45 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+class _Generation:
+    """Stretches and their ids, one behind the other in one array."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.sizes = np.zeros(1 << 14, np.int64)
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        have = len(self.place)
+        begin = int(self.ends[have - 1]) if have else 0
+        self.ids = _room(self.ids, begin + len(ids))
+        self.ends, self.sizes = _room(self.ends, have + len(chunks)), _room(self.sizes, have + len(chunks))
+        self.ids[begin : begin + len(ids)] = ids
+        self.sizes[have : have + len(chunks)] = sizes
+        self.ends[have : have + len(chunks)] = begin + np.cumsum(sizes)
+        self.place.update(zip(chunks, range(have, have + len(chunks)), strict=True))
+
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches at ``places``, and how many each has."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[places] - ends, sizes)
+        return self.ids[source], sizes
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    larger = np.zeros(1 << size.bit_length(), array.dtype)
+    larger[: len(array)] = array
+    return larger
+
+
 class WordIds:
     """Token ids of whole texts for a tokenizer that lower-cases and never joins across white space.
 
-    Stretches between spaces are tokenized and kept. All of a block that are new go to the tokenizer in one
-    call; those of letters only are told apart in its answer by the tokens that end a word. What was not met since the
+    Stretches between spaces are tokenized and kept. All of a block that are new go to the tokenizer in two
+    calls; those of letters only are told apart in its answer by the tokens that end a word. What was not met since the
     last generation began is forgotten when the next one does.
     """
 
@@ -48,56 +82,63 @@ class WordIds:
         ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[list(ends)] = True
-        self.kept: dict[bytes, np.ndarray] = {}
-        self.earlier: dict[bytes, np.ndarray] = {}
+        self.kept, self.earlier = _Generation(), _Generation()
 
     def plain(self, text: str) -> np.ndarray:
         # the fast call leaves out the places of tokens in the text
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, new: list[bytes]) -> None:
-        letters = []
-        for chunk in new:
-            text = chunk.decode("utf-8", "replace")
-            if text.isalpha():
-                letters.append(chunk)
-            else:
-                self.kept[chunk] = self.plain(text)
+        """Tokenize stretches and keep their ids."""
+        texts = [chunk.decode("utf-8", "replace") for chunk in new]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
         if letters:
-            ids = self.plain(b" ".join(letters).decode("utf-8", "replace"))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(letters):
-                ends = cuts.tolist()
-                self.kept.update((chunk, ids[a:b]) for chunk, a, b in zip(letters, [0, *ends], ends, strict=False))
+            ids = self.plain(" ".join([texts[i] for i in letters]))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(letters):
+                self.kept.add([new[i] for i in letters], ids, np.diff(ends, prepend=0))
             else:  # a letter that composes or lower-cases to something that is none
-                self.kept.update((chunk, self.plain(chunk.decode("utf-8", "replace"))) for chunk in letters)
+                letters = []
+        told = set(letters)
+        others = [i for i in range(len(new)) if i not in told]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.kept.add([new[i] for i in others], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def of_texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizer gives them for the whole text."""
         odd = {i for i, t in enumerate(texts) if b"<|" in t}  # may hold a special token, which is told by case
         usual = [b"" if i in odd else t for i, t in enumerate(texts)]
         words = _split_words(usual)
-        _, first, place = np.unique(words.numbers, return_index=True, return_inverse=True)
+        place, different = pd.factorize(words.numbers)
+        first = np.empty(len(different), np.int64)
+        first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
         chunks = [words.buffer[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        if len(self.kept) > KEPT_WORDS:
-            self.earlier, self.kept = self.kept, {}
-        self.kept.update((c, self.earlier[c].copy()) for c in chunks if c not in self.kept and c in self.earlier)
-        self.learn([c for c in chunks if c not in self.kept])
-        ids = [self.kept[c] for c in chunks]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[place]
-        ends = np.cumsum(each)
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[place] - (ends - each), each)
-        tokens = flat[source]
-        bounds = np.concatenate(([0], ends))[words.bounds]
+        if len(self.kept.place) > KEPT_WORDS:
+            self.earlier, self.kept = self.kept, _Generation()
+        new = [c for c in chunks if c not in self.kept.place]
+        again = [c for c in new if c in self.earlier.place]
+        if again:
+            self.kept.add(again, *self.earlier.get(np.array([self.earlier.place[c] for c in again], np.int64)))
+            new = [c for c in new if c not in self.earlier.place]
+        if new:
+            self.learn(new)
+        kept = np.fromiter(map(self.kept.place.__getitem__, chunks), np.int64, len(chunks))
+        tokens, sizes = self.kept.get(kept[place])
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[words.bounds]
         return [self.plain(texts[i].decode("utf-8", "replace")) if i in odd else tokens[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
 def _split_words(texts: list[bytes]) -> Words:
     """Stretches between spaces and line ends; a full stop or comma between a letter and a space stands alone."""
-    return Words([_MARK.sub(rb" \g<0>", t.translate(LOWER)) for t in texts], _SPLIT, lower=False)
+    data = np.frombuffer(b" ".join(texts).translate(LOWER), np.uint8)
+    before, mark, after = data[:-2], data[1:-1], data[2:]
+    alone = np.flatnonzero(((mark == 44) | (mark == 46)) & (before >= 97) & (before <= 122) & ((after == 32) | (after == 10))) + 1
+    words = Words([np.insert(data, alone, 32).tobytes()], _SPLIT, lower=False)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    bounds = np.searchsorted(words.starts, starts + np.searchsorted(alone, starts))
+    words.bounds = np.concatenate((bounds, [len(words.starts)]))
+    return words
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
