@@ -25,6 +25,8 @@ END_ID = 2
 KEPT_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 _SPLIT = np.array([b not in (10, 32) for b in range(256)])
+#: ASCII marks but for the apostrophe, which may open an ending such as 's.
+_MARKS = np.array([33 <= b <= 126 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -130,10 +132,13 @@ class WordIds:
 
 
 def _split_words(texts: list[bytes]) -> Words:
-    """Stretches between spaces and line ends; a full stop or comma between a letter and a space stands alone."""
+    """Stretches between spaces and line ends; marks between a letter and a space stand alone, as for the tokenizer."""
     data = np.frombuffer(b" ".join(texts).translate(LOWER), np.uint8)
-    before, mark, after = data[:-2], data[1:-1], data[2:]
-    alone = np.flatnonzero(((mark == 44) | (mark == 46)) & (before >= 97) & (before <= 122) & ((after == 32) | (after == 10))) + 1
+    edges = np.flatnonzero(np.diff(_MARKS[data], prepend=False, append=False))
+    first, end = edges[0::2], edges[1::2]
+    inner = (first > 0) & (end < len(data))
+    first, end = first[inner], end[inner]
+    alone = first[(data[first - 1] >= 97) & (data[first - 1] <= 122) & ~_SPLIT[data[end]]]
     words = Words([np.insert(data, alone, 32).tobytes()], _SPLIT, lower=False)
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
     bounds = np.searchsorted(words.starts, starts + np.searchsorted(alone, starts))

@@ -12,6 +12,7 @@ from gasflow.llm import packing
 from gasflow.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
+IDS = packing.WordIds(PATH)
 TEXTS = [
     "The cat's hat, isn't it? AND!! 12,345.67 x=1;",
     "",
@@ -64,15 +65,22 @@ def test_empty_table_null_id_and_buckets(spark, tmp_path):
         packing.pack(df, PATH, longest=3000)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aBé,. \n'1\tİ<|>é", max_size=40), max_size=5))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="aBé,. \n'1\tİ!$-<|>é", max_size=40), max_size=5))
 def test_ids_equal_the_tokenizer(texts):
-    ids = packing.WordIds(PATH)
-    got = ids.of_texts([t.encode() for t in texts])
-    assert [g.tolist() for g in got] == [ids.plain(t).tolist() for t in texts]
+    IDS.kept, IDS.earlier = packing._Generation(), IDS.kept
+    got = IDS.of_texts([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [IDS.plain(t).tolist() for t in texts]
 
 
 @given(st.integers(1, 100_000))
 def test_piece_lengths(n):
     lengths = packing.piece_lengths(n)
     assert sum(lengths) == n and lengths == sorted(lengths, reverse=True)
+
+
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 4)
+    ids = packing.WordIds(PATH)
+    for text in ("one two three four five six!!", "one seven", "two! eight nine, ten eleven", "one two eight", "", "seven six!! twelve"):
+        assert ids.of_texts([text.encode()])[0].tolist() == ids.plain(text).tolist()
