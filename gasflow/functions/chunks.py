@@ -1,59 +1,38 @@
 """Row windows over long histories.
 
-A window function keeps one key in one task. Here a history is cut into chunks, one per key and day. A day with very
-many rows is cut further in the order of the window, time and then id: at quantiles of the time, and where one moment
-alone has too many rows, at quantiles of their ids. Each chunk is ordered on its own, and the last rows of the chunks
-before it are handed to it as a short array. The results are those of the plain window.
+A window function keeps one key in one task. Here the rows are cut into ranges of (key, time, id), whatever their types, at
+rows drawn from all of them; a chunk is what a range holds of one key. Each chunk is ordered on its own. Where a key goes on
+into the next range, its last rows there are carried over as a short array. The results are those of the plain window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gasflow.functions.sizing import lookup_join
+#: Rows drawn for each range; more of them make the ranges more even.
+DRAWN = 20
+CHUNK = ["_range"]
 
-MAX_CHUNK_ROWS = 2_000_000
-SLICES = 256
-LAST_MOMENT = (1 << 63) - 1
-NO_DAY = "9999-12-31"  # rows without a day come last
-CHUNK = ["_day", "_part"]
 
+def into_chunks(df: DataFrame, key: str, day: str, id: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, and the flags ``_opens`` and ``_goes_on``: the key has rows in the range before, in the range after.
 
-def into_chunks(df: DataFrame, key: str, day: str, id: str, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """Add the chunk columns ``_day`` and ``_part``; rows must have a key.
-
-    Ids that are not integers cannot be cut by quantiles: rows of one moment then stay together.
+    Rows must have a key; rows without a day come last. There are as many ranges as shuffle partitions unless told
+    otherwise. The cuts are rows themselves, chosen by a hash, and depend on nothing but the rows.
     """
-    moment = F.coalesce(F.unix_micros(F.col(day).cast("timestamp")), F.lit(LAST_MOMENT))
-    daily = df.withColumns({"_day": F.coalesce(F.to_date(day), F.to_date(F.lit(NO_DAY))), "_moment": moment})
-    whole = isinstance(df.schema[id].dataType, T.IntegralType)
-    number = F.col(id).cast("long") if whole else F.lit(0).cast("long")
-    counts = daily.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_rows"))
-    crowded = lookup_join(daily, counts.filter(F.col("_rows") > max_rows), [key, "_day"], "inner").select(
-        key, "_day", "_moment", number.alias("_number")
-    )
-    at = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = crowded.groupBy(key, "_day").agg(F.percentile_approx("_moment", at).alias("_cuts"))
-    ties = (
-        crowded.groupBy(key, "_day", "_moment")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx("_number", at).alias("ids"))
-        .filter(F.col("_rows") > max_rows)
-        .groupBy(key, "_day")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_moment").alias("moment"), "ids"))).alias("_ties"))
-    )
-    joined = lookup_join(daily, cuts.join(ties, [key, "_day"], "left"), [key, "_day"])
-    passed = lambda array, value: F.coalesce(F.size(F.filter(array, lambda c: c <= value)), F.lit(0))
-    earlier = F.coalesce(F.size(F.filter("_ties", lambda t: t["moment"] < F.col("_moment"))), F.lit(0))
-    tie = F.get(F.filter("_ties", lambda t: t["moment"] == F.col("_moment")), F.lit(0))
-    # runs between crowded moments have even places, the moments odd ones
-    part = F.struct(
-        (earlier * 2 + F.when(tie.isNotNull(), 1).otherwise(0)).alias("place"),
-        F.when(F.col("_cuts").isNull(), 0).otherwise(passed(F.col("_cuts"), F.col("_moment"))).alias("slice"),
-        F.when(tie.isNull(), 0).otherwise(passed(tie["ids"], number)).alias("among"),
-    )
-    return joined.withColumn("_part", part).drop("_cuts", "_ties", "_moment")
+    n = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = F.struct(F.col(key).alias("key"), F.col(day).isNull().alias("open"), F.col(day).alias("day"), F.col(id).alias("id"))
+    drawn = df.select(row.alias("row")).orderBy(F.xxhash64("row"), "row").limit(DRAWN * n)
+    held = drawn.agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("rows", F.floor(i * F.size("rows") / n).cast("int")))
+    cuts = held.select(F.array_distinct(F.filter(at, lambda r: r.isNotNull())).alias("cuts")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    # how many cuts are not above the row, bit by bit
+    passed = F.aggregate(steps, F.lit(0), lambda got, step: got + F.when(F.get("_cuts", got + step - 1) <= F.col("_row"), step).otherwise(0))
+    placed = df.withColumns({"_cuts": cuts, "_row": row}).withColumn("_range", passed)
+    same = lambda place: F.coalesce(F.get("_cuts", place)["key"] == F.col(key), F.lit(False))
+    return placed.withColumns({"_opens": same(F.col("_range") - 1), "_goes_on": same(F.col("_range"))}).drop("_cuts", "_row")
 
 
 def with_trailing(chunked: DataFrame, key: str, day: str, id: str, payload: Column, n: int, name: str) -> DataFrame:
@@ -61,16 +40,18 @@ def with_trailing(chunked: DataFrame, key: str, day: str, id: str, payload: Colu
     group = [key, *CHUNK]
     latest_first = Window.partitionBy(*group).orderBy(F.col(day).desc_nulls_first(), F.col(id).desc())
     tails = (
-        chunked.select(*group, day, id, payload.alias("payload"))
+        chunked.filter("_goes_on")
+        .select(*group, day, id, payload.alias("payload"))
         .withColumn("back", F.row_number().over(latest_first))
         .filter(F.col("back") <= n)
         .groupBy(*group)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "payload"))).alias("tail"))
-    )
-    earlier = Window.partitionBy(key).orderBy(*CHUNK).rowsBetween(-n, -1)
-    gathered = F.flatten(F.collect_list(F.col("tail.payload")).over(earlier))
-    carried = tails.withColumn("before", gathered).select(*group, last_of(F.col("before"), F.lit(n)).alias(name))
-    return chunked.join(carried, group)
+    )  # at most one row per range
+    upto = Window.partitionBy(key).orderBy(*CHUNK).rowsBetween(1 - n, 0)
+    gathered = F.flatten(F.collect_list(F.col("tail.payload")).over(upto))
+    carried = tails.select(key, (F.col("_range") + 1).alias("_range"), last_of(gathered, F.lit(n)).alias(name), F.lit(True).alias("_opens"))
+    joined = chunked.join(carried, [*group, "_opens"], "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(carried.schema[name].dataType))).drop("_opens", "_goes_on")
 
 
 def last_of(array: Column, n: Column) -> Column:

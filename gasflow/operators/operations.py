@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gasflow.functions.chunks import CHUNK, into_chunks, last_of, with_trailing
 from gasflow.functions.columns import holds, require
 from gasflow.functions.quantiles import quantiles
-from gasflow.functions.sizing import lookup_join, reads_little
+from gasflow.functions.sizing import lookup_join, materialize, reads_little
 
 CAPACITY_QUANTILE = 0.95
 HIGH_UTILIZATION = 0.85
@@ -76,7 +76,7 @@ def rolling_high_util(
 
     The count covers the last ``window`` rows of the pipeline, ordered by day and then by the unique
     ``id``; with ``calendar_days`` it covers all rows of the last ``window`` days instead. Rows
-    without a pipeline have no count.
+    without a pipeline have no count. Rows with one are written out once, as their window reads them three times.
     """
     require(df, "utilization", pipeline, day, id)
     flagged = df.withColumn("high_util", holds(F.col("utilization") > threshold))
@@ -87,7 +87,7 @@ def rolling_high_util(
         span = Window.partitionBy(pipeline).orderBy("_epoch").rangeBetween(1 - window, 0)
         counts = per_day.select(pipeline, "_epoch", F.sum("_high").over(span).alias("rolling_high_count"))
         return lookup_join(daily, counts, [pipeline, "_epoch"]).select(*flagged.columns, "rolling_high_count")
-    known = into_chunks(flagged.filter(F.col(pipeline).isNotNull()), pipeline, day, id)
+    known = into_chunks(materialize(flagged.filter(F.col(pipeline).isNotNull())), pipeline, day, id)
     carried = with_trailing(known, pipeline, day, id, F.col("high_util").cast("int"), window - 1, "_before")
     chunk = Window.partitionBy(pipeline, *CHUNK).orderBy(F.col(day).asc_nulls_last(), id)
     at = F.row_number().over(chunk)
@@ -138,7 +138,7 @@ def flow_direction_changes(
     change unless ``count_first`` is off. Pipelines without changes are left out.
     """
     require(df, direction, pipeline, day, id)
-    known = df.select(pipeline, day, id, direction).filter(F.col(pipeline).isNotNull())
+    known = materialize(df.select(pipeline, day, id, direction).filter(F.col(pipeline).isNotNull()))
     in_order = [F.col(day).asc_nulls_last(), F.col(id)]
     chunked = into_chunks(known, pipeline, day, id)
     carried = with_trailing(chunked, pipeline, day, id, F.col(direction), 1, "_before")

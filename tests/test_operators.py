@@ -268,7 +268,7 @@ def test_composites(spark, small):
     with pytest.raises(ValueError, match="complete rows"):
         analyses.detect_anomalies(small.withColumn("id", F.monotonically_increasing_id()), "id")
     sections = analyses.simple_query(small, {"state_abb": "TX"}, aggregation="count")
-    assert rows(sections["size"]) == [(1, 8)] and rows(sections["aggregation"]) == [(1,)]
+    assert rows(sections["size"]) == [(1, 8)] and rows(sections["aggregation"]) == [(1,) * 9]
     factors = analyses.factor_analysis(cleaning.date_parts(small))
     assert rows(factors["quantity_by_state"])[0] == ("LA", 2000.0, 2000.0, None, 1)
     general = analyses.general_analysis(small, "pipeline_name")

@@ -87,10 +87,14 @@ def history(spark, rows=400, days=12, intraday=False):
 
 
 @pytest.mark.parametrize("intraday", [False, True])
-@pytest.mark.parametrize("max_rows", [1, 20, 2_000_000])
-def test_chunked_windows_equal_plain_ones(spark, monkeypatch, max_rows, intraday):
+@pytest.mark.parametrize("ranges", [2, 11, 120])
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_chunked_windows_equal_plain_ones(spark, monkeypatch, ranges, intraday, text_ids):
     table, rows = history(spark, days=2 if intraday else 12, intraday=intraday)
-    monkeypatch.setattr(operations, "into_chunks", lambda *a: into_chunks(*a, max_rows=max_rows))
+    monkeypatch.setattr(operations, "into_chunks", lambda *a: into_chunks(*a, ranges=ranges))
+    if text_ids:
+        table = table.withColumn("obs_id", F.concat(F.lit("n"), F.lpad("obs_id", 6, "0")))
+        rows = [(f"n{r[0]:06d}", *r[1:]) for r in rows]
     wanted, changes = {}, {}
     for pipeline in ("hot", "cold"):
         own = sorted((r for r in rows if r[1] == pipeline), key=lambda r: (r[3] is None, r[3] or 0, r[0]))
@@ -111,6 +115,13 @@ def test_chunked_windows_equal_plain_ones(spark, monkeypatch, max_rows, intraday
     assert dict(operations.flow_direction_changes(table, count_first=False).collect()) == without_first
 
 
+def test_one_hot_key_is_cut_into_even_ranges(spark):
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit("2024-01-01").cast("timestamp").alias("day"), F.md5(F.col("id").cast("string")).alias("id"))
+    sizes = [r["count"] for r in into_chunks(rows, "k", "day", "id", ranges=16).groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 16
+    assert into_chunks(rows.limit(0), "k", "day", "id").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
