@@ -15,14 +15,13 @@ DRAWN = 20
 CHUNK = ["_range"]
 
 
-def into_chunks(df: DataFrame, key: str, day: str, id: str, ranges: int | None = None) -> DataFrame:
-    """Add ``_range``, and the flags ``_opens`` and ``_goes_on``: the key has rows in the range before, in the range after.
+def in_ranges(df: DataFrame, row: Column, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, which of some even ranges of ``row`` a row is in, and ``_cuts``, the least rows of all ranges but the first.
 
-    Rows must have a key; rows without a day come last. There are as many ranges as shuffle partitions unless told
-    otherwise. The cuts are rows themselves, chosen by a hash, and depend on nothing but the rows.
+    There are as many ranges as shuffle partitions unless told otherwise. The cuts are rows themselves, drawn by a hash from
+    all of them, so they depend on nothing but the rows. Equal rows are in one range.
     """
     n = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    row = F.struct(F.col(key).alias("key"), F.col(day).isNull().alias("open"), F.col(day).alias("day"), F.col(id).alias("id"))
     drawn = df.select(row.alias("row")).orderBy(F.xxhash64("row"), "row").limit(DRAWN * n)
     held = drawn.agg(F.sort_array(F.collect_list("row")).alias("rows"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("rows", F.floor(i * F.size("rows") / n).cast("int")))
@@ -30,9 +29,18 @@ def into_chunks(df: DataFrame, key: str, day: str, id: str, ranges: int | None =
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
     # how many cuts are not above the row, bit by bit
     passed = F.aggregate(steps, F.lit(0), lambda got, step: got + F.when(F.get("_cuts", got + step - 1) <= F.col("_row"), step).otherwise(0))
-    placed = df.withColumns({"_cuts": cuts, "_row": row}).withColumn("_range", passed)
+    return df.withColumns({"_cuts": cuts, "_row": row}).withColumn("_range", passed).drop("_row")
+
+
+def into_chunks(df: DataFrame, key: str, day: str, id: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, and the flags ``_opens`` and ``_goes_on``: the key has rows in the range before, in the range after.
+
+    Rows must have a key; rows without a day come last.
+    """
+    row = F.struct(F.col(key).alias("key"), F.col(day).isNull().alias("open"), F.col(day).alias("day"), F.col(id).alias("id"))
     same = lambda place: F.coalesce(F.get("_cuts", place)["key"] == F.col(key), F.lit(False))
-    return placed.withColumns({"_opens": same(F.col("_range") - 1), "_goes_on": same(F.col("_range"))}).drop("_cuts", "_row")
+    placed = in_ranges(df, row, ranges)
+    return placed.withColumns({"_opens": same(F.col("_range") - 1), "_goes_on": same(F.col("_range"))}).drop("_cuts")
 
 
 def with_trailing(chunked: DataFrame, key: str, day: str, id: str, payload: Column, n: int, name: str) -> DataFrame:

@@ -1,15 +1,8 @@
 """Exact quantiles with linear interpolation, also for groups that fit no single task.
 
-The built-in ``percentile`` keeps all distinct values of a group in one task. Large inputs use three
-narrowing steps instead, none of which gathers a group:
-
-1. one bounded sketch per group brackets every wanted rank;
-2. values below a bracket collapse into one count, values above it are dropped;
-3. the values inside are counted in ``SLOTS`` equal-width slots, and only the slot that holds the
-   wanted rank is ordered.
-
-A group of up to ``4 * ACCURACY`` rows is bracketed by its minimum and maximum. A bracket that misses
-its rank would raise an error, never give a wrong value.
+The built-in ``percentile`` keeps all distinct values of a group in one task. Here rows are cut into even ranges of key and
+value, at rows drawn from all of them. Counts per range show which ranges hold a wanted rank; only their values are counted and
+ordered, each range by itself. There is one plan for every size, and no rank can be missed, as the counts are exact.
 """
 
 from __future__ import annotations
@@ -19,11 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gasflow.functions.chunks import in_ranges
 from gasflow.functions.columns import melt
-from gasflow.functions.sizing import lookup_join, reads_little, settle
-
-ACCURACY = 10_000
-SLOTS = 4096
+from gasflow.functions.sizing import materialize
 
 
 def quantiles(
@@ -35,113 +26,55 @@ def quantiles(
 ) -> DataFrame:
     """``keys, n, q``: non-null count and one interpolated quantile per probability, as an array.
 
-    ``few_keys`` says that the number of key values does not grow with the data (column names, say).
-    Groups without any value have no row; without keys there is always one row.
+    ``few_keys`` says that the number of key values does not grow with the data (column names, say): the wanted ranges are
+    then handed to all tasks, else they are joined. Groups without any value have no row; a null is a key value like
+    others; without keys there is always one row.
     """
-    long = df.select(*keys, F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    if reads_little(df):
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        return long.groupBy(*keys).agg(F.count("value").alias("n"), F.percentile("value", probs).alias("q"))
-    return _narrowed(long, list(keys), [float(p) for p in probabilities], few_keys)
+    probs = [float(p) for p in probabilities]
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    long = df.select(key.alias("key"), F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    ranged = in_ranges(long, F.struct("key", "value")).drop("_cuts")
+    totals = ranged.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("held"))
+    of_key = Window.partitionBy("key")
+    in_order = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumns({"before": F.sum("held").over(in_order) - F.col("held"), "n": F.sum("held").over(of_key)})
+    ranks = []
+    for i, p in enumerate(probs):  # the two values that a quantile lies between
+        low = F.floor((F.col("n") - 1) * F.lit(p))
+        ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.alias("rank")) for side, rank in ((0, low), (1, F.least(low + 1, F.col("n") - 1)))]
+    held = lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("held"))
+    wanted = totals.select("key", "_range", "before", "n", F.filter(F.array(*ranks), held).alias("wanted")).filter(F.size("wanted") > 0)
+    if few_keys or not keys:
+        some = ranged.join(F.broadcast(wanted), ["key", "_range"])  # at most two ranges per key and probability
+        counts = some.groupBy("key", "_range", "before", "n", "wanted", "value").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        counts = ranged.groupBy("key", "_range", "value").agg(F.count(F.lit(1)).alias("count")).join(wanted, ["key", "_range"])
+    by_value = Window.partitionBy("key", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.col("before") + F.sum("count").over(by_value))
+    inside = lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("count"))
+    met = upto.select("key", "n", "value", F.explode(F.filter("wanted", inside)).alias("w"))
+    value_at = lambda i, side: F.max(F.when((F.col("w.i") == i) & (F.col("w.side") == side), F.col("value")))
+    pairs = [F.struct(value_at(i, 0).alias("low"), value_at(i, 1).alias("high")).alias(f"q{i}") for i in range(len(probs))]
+    found = (met.groupBy("key") if keys else met).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *pairs)
+
+    def between(i: int, p: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(p)
+        low, high = F.col(f"q{i}.low"), F.col(f"q{i}.high")
+        return F.when(low == high, low).otherwise((F.floor(at) + 1 - at) * low + (at - F.floor(at)) * high)
+
+    q = F.array(*[between(i, p) for i, p in enumerate(probs)])
+    return found.select(*[F.col("key")[k].alias(k) for k in keys], "n", F.when(F.col("n") > 0, q).alias("q"))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """``column, n, q`` for several columns of one table in one pass."""
-    if reads_little(df):
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        wide = df.agg(
-            *[
-                F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.percentile(F.col(c).cast("double"), probs).alias("q")).alias(f"s{i}")
-                for i, c in enumerate(columns)
-            ]
-        )
-        rows = wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
-        return rows.filter("n > 0")
     return quantiles(melt(df, columns, "double"), "value", probabilities, ["column"], few_keys=True)
 
 
 def scalar_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[Column]:
     """Quantiles of a whole column as scalar subqueries, usable in any expression of another frame.
 
-    On a large input they are computed here, once, however often the expressions occur.
+    They are computed here, once, however often the expressions occur.
     """
-    found = settle(quantiles(df, column, probabilities)).select("q").scalar()
+    found = materialize(quantiles(df, column, probabilities)).select("q").scalar()
     return [found[i] for i in range(len(probabilities))]
-
-
-def _narrowed(long: DataFrame, keys: list[str], probs: list[float], few_keys: bool) -> DataFrame:
-    margin = 4.0 / ACCURACY
-    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("edges"),
-    )
-    small = F.col("n") <= 4 * ACCURACY
-
-    def bracket(i: int, p: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(p)
-        return F.struct(
-            F.lit(i).alias("i"),
-            F.when(small, F.col("least")).otherwise(F.col("edges")[2 * i]).alias("lo"),
-            F.when(small, F.col("most")).otherwise(F.col("edges")[2 * i + 1]).alias("hi"),
-            F.floor(at).alias("rank"),
-            at.alias("at"),
-            F.col("n").alias("n"),
-        )
-
-    wanted = sketch.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("wanted"))
-    if not keys:
-        rows = long.withColumn("wanted", wanted.select("wanted").scalar())
-    elif few_keys:
-        rows = long.join(F.broadcast(wanted), keys)
-    else:
-        rows = lookup_join(long, wanted, keys, "inner")
-
-    group = [*keys, "i", "rank", "at", "n"]
-    inside = F.col("value") >= F.col("lo")
-    width = F.col("hi") - F.col("lo")
-    slot = F.when(~inside, -1).when(width > 0, F.floor((F.col("value") - F.col("lo")) / width * SLOTS)).otherwise(0)
-    counts = (
-        rows.select(*keys, "value", F.inline("wanted"))
-        .filter(F.col("value") <= F.col("hi"))
-        .select(*group, slot.alias("slot"), F.when(inside, F.col("value")).alias("value"))
-        .groupBy(*group, "slot", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    in_order = Window.partitionBy(*group).orderBy("slot")
-    slots = (
-        counts.groupBy(*group, "slot")
-        .agg(F.sum("count").alias("held"))
-        .withColumn("before", F.sum("held").over(in_order) - F.col("held"))
-        .withColumn("upper", F.least(F.col("rank") + 1, F.col("n") - 1))
-        .filter((F.col("before") <= F.col("upper")) & (F.col("before") + F.col("held") > F.col("rank")))
-        .withColumn(
-            "before",
-            F.when(F.col("slot") >= 0, F.col("before")).otherwise(F.raise_error(F.lit("quantile bracket missed its rank"))),
-        )
-        .select(*group, "slot", "before", "upper")
-    )
-    by_value = Window.partitionBy(*group, "slot").orderBy("value")
-    upto = F.col("before") + F.sum("count").over(by_value)
-    picked = (
-        counts.join(slots, [*group, "slot"])
-        .withColumn("upto", upto)
-        .groupBy(*group)
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("low"),
-            F.min(F.when(F.col("upto") > F.col("upper"), F.col("value"))).alias("high"),
-        )
-    )
-    between = (F.col("rank") + 1 - F.col("at")) * F.col("low") + (F.col("at") - F.col("rank")) * F.col("high")
-    value_at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
-    exact = F.coalesce(value_at, F.raise_error(F.lit("quantile not found")))
-    found = picked.select(*keys, "i", "n", exact.alias("exact"))
-    gathered = found.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "exact"))).alias("pairs")
-    )
-    result = gathered.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.col("pairs.exact").alias("q"))
-    if keys:
-        return result
-    return result.withColumn("q", F.when(F.size("q") > 0, F.col("q")))

@@ -7,52 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gasflow.functions.chunks import in_ranges
 from gasflow.functions.columns import melt
-from gasflow.functions.sizing import BROADCAST_ROWS, materialize, spread_small
-
-STEPS = 10  # 2**STEPS ranges
-_SPLITS = 2**STEPS - 1
+from gasflow.functions.sizing import materialize
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, rank`` for each distinct non-null value; equal values share their mean rank.
 
-    Distinct values are counted first, so a hot value is one row. Approximate splitters cut the values
-    of a column into ranges; ranges only steer the work, ranks stay exact.
+    Distinct values are counted first, so a hot value is one row. They are cut into even ranges of column and value; a rank
+    is a value's place in its range and what all ranges before it hold.
     """
     counts = melt(df, columns, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("held"))
-    shares = F.array(*[F.lit((i + 1) / (_SPLITS + 1)) for i in range(_SPLITS)])
-    splits = counts.groupBy("column").agg(F.percentile_approx("value", shares, F.lit(10_000)).alias("splits"))
-    ranged = counts.join(F.broadcast(splits), "column").withColumn("range", F.lit(0))
-    for step in (2**i for i in reversed(range(STEPS))):  # binary search for the last splitter below the value
-        beyond = F.get(F.col("splits"), F.col("range") + (step - 1)) < F.col("value")
-        ranged = ranged.withColumn("range", F.col("range") + F.when(beyond, step).otherwise(0))
-    ranged = ranged.select("column", "range", "value", "held")
+    ranged = in_ranges(materialize(counts), F.struct("column", "value")).drop("_cuts")
+    in_order = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     starts = (
-        ranged.groupBy("column", "range")
+        ranged.groupBy("column", "_range")
         .agg(F.sum("held").alias("in_range"))
-        .withColumn("before", F.sum("in_range").over(Window.partitionBy("column").orderBy("range")) - F.col("in_range"))
-        .select("column", "range", "before")
-    )  # at most 2**STEPS rows per column
-    within = Window.partitionBy("column", "range").orderBy("value")
+        .withColumn("before", F.sum("in_range").over(in_order) - F.col("in_range"))
+        .select("column", "_range", "before")
+    )  # a row per column and range
+    within = Window.partitionBy("column", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("held").over(within)
-    return ranged.join(F.broadcast(starts), ["column", "range"]).select(
-        "column", "value", (upto - (F.col("held") - 1) / 2).alias("rank")
-    )
+    return ranged.join(starts, ["column", "_range"]).select("column", "value", (upto - (F.col("held") - 1) / 2).alias("rank"))
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank over the table; rows must be complete.
 
-    The ranks are computed once for all columns and written out; columns with few distinct values are
-    then joined by broadcast, the others by a shuffle on the value.
+    The rows are written once with a number. Whatever the number of columns, there is one join, of all values in long form
+    to their ranks, and one regrouping by row.
     """
-    df = spread_small(df)
-    ranks = materialize(average_ranks(df, columns))
-    distinct = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
-    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        own = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias("_rank"))
-        few = distinct.get(c, 0) <= BROADCAST_ROWS
-        ranked = ranked.join(F.broadcast(own) if few else own, c).drop(c).withColumnRenamed("_rank", c)
-    return ranked.select(*columns)
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).cast("double").alias(c) for c in columns])
+    numbered = materialize(numbered)
+    ranks = materialize(average_ranks(numbered, columns))
+    long = numbered.select("row", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
+    ranked = long.join(ranks, ["column", "value"]).groupBy("row")
+    return ranked.agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]).select(*columns)

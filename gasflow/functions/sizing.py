@@ -1,9 +1,4 @@
-"""Size checks that choose between two exact plans for the same result.
-
-``reads_little`` looks at the file sizes behind a frame, which costs no job. Small inputs take the
-plan with the fewest stages, large ones the plan that splits hot groups. Setting
-``gasflow.smallInputBytes`` to 0 in the session forces the second, which is how the tests compare both.
-"""
+"""Intermediate tables in the checkpoint folder, and joins that are planned by their sizes."""
 
 from __future__ import annotations
 
@@ -12,25 +7,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-BROADCAST_ROWS = 500_000
-
-
-def _limit(spark: SparkSession) -> int:
-    return int(spark.conf.get("gasflow.smallInputBytes", str(SMALL_INPUT_BYTES)))
-
-
-def reads_little(df: DataFrame) -> bool:
-    """True when all relations the frame reads add up to a small number of bytes.
-
-    A frame without statistics, such as one made from local rows, reports the largest possible size
-    and is therefore treated as large.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return total <= _limit(df.sparkSession)
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
@@ -54,14 +30,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A small input often sits in one partition; give every core a share before heavy work on its rows."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if reads_little(df) else df
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a small result of a large input once, for plans that refer to it several times."""
-    return df if reads_little(df) else materialize(df)
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before heavy work on them, when the files they come from would fill fewer partitions than there are cores."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    held = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    cores = spark.sparkContext.defaultParallelism
+    a_partition = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if held < cores * a_partition else df
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -70,19 +46,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Join a table to a lookup with unique keys.
+    """Join a table to a lookup that is written out first, so that the planner knows its bytes.
 
-    The lookup is broadcast only when its size is known: it reads little, or it has been counted
-    and has at most ``BROADCAST_ROWS`` rows. Beyond that the join shuffles, and adaptive execution
-    splits the partitions of hot keys.
+    Up to ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the table stays where it is; beyond that the join
+    shuffles, and adaptive execution splits the partitions of hot keys.
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    if reads_little(lookup):
-        return df.join(F.broadcast(lookup), keys, how)
-    return counted_join(df, materialize(lookup), keys, how)
-
-
-def counted_join(df: DataFrame, written: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join to a frame that has been written out, which is counted first and broadcast only if it is small."""
-    small = written.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(written) if small else written, list(on), how)
+    return df.join(materialize(lookup), [on] if isinstance(on, str) else list(on), how)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.functions.components import connected_components
-from gasflow.functions.sizing import counted_join, materialize
+from gasflow.functions.sizing import materialize
 
 EPS = 0.5
 MIN_SHARE = 0.01
@@ -63,12 +63,12 @@ def dbscan(
     own = by_cell.select("cell", "cluster")
     mixed = marked.groupBy("cell").agg(F.bool_and("core").alias("whole"))
     whole = materialize(mixed.filter("whole").join(own, "cell").select("cell", F.col("cluster").alias("cell_cluster")))
-    placed = counted_join(rows, whole, ["cell"], "left")
+    placed = rows.join(whole, "cell", "left")
     settled = placed.filter("cell_cluster is not null").select("id", F.col("cell_cluster").alias("cluster"))
     split = mixed.filter("not whole").select("cell")
     in_split = core.join(split, "cell", "left_semi").join(own, "cell").select("cell", "x", "cluster")
     labels = materialize(in_split.unionByName(border.select("cell", "x", "cluster")))
-    rest = counted_join(placed.filter("cell_cluster is null"), labels, ["cell", "x"], "left")
+    rest = placed.filter("cell_cluster is null").join(labels, ["cell", "x"], "left")
     found = settled.unionByName(rest.select("id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")))
     return found.withColumnRenamed("id", id)
 
@@ -152,21 +152,21 @@ class _Grid:
         x = F.col("x")
         kept = ["cell", "x", *carry, "b"]
         spread = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met = counted_join(asking.select("cell", "x").repartition(spread, "x"), near, ["cell"])
+        met = asking.select("cell", "x").repartition(spread, "x").join(near, "cell")
         cell = [x, x, F.col("lb"), F.col("hb")]
         met = met.filter(self.gap(*cell) <= self.far).withColumn("inside", self.span(*cell) <= self.far)
         nowhere = F.lit(None).cast("array<bigint>").alias("sub")
         by_cell = met.filter("inside").select(*kept, nowhere, F.col("nb").alias("w"), "inside")
         parts = subs.select(F.col("cell").alias("b"), "sub", F.col("low").alias("ls"), F.col("high").alias("hs"), F.col("n").alias("w"))
         sub = [x, x, F.col("ls"), F.col("hs")]
-        cut = counted_join(met.filter("not inside").select(*kept), parts, ["b"]).filter(self.gap(*sub) <= self.far)
+        cut = met.filter("not inside").select(*kept).join(parts, "b").filter(self.gap(*sub) <= self.far)
         return by_cell.unionByName(cut.select(*kept, "sub", "w", (self.span(*sub) <= self.far).alias("inside")))
 
     def by_points(self, boxes: DataFrame, points: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         """``cell, x, <carry>, w`` for the points within the radius in the sub-cells that it cuts."""
         others = points.select(F.col("cell").alias("b"), "sub", F.col("x").alias("y"), "w")
         cut = boxes.filter("not inside").select("cell", "x", *carry, "b", "sub")
-        compared = counted_join(cut, others, ["b", "sub"])
+        compared = cut.join(others, ["b", "sub"])
         near = self._squares(lambda i: F.col("x")[i] - F.col("y")[i]) <= self.far
         return compared.filter(near).select("cell", "x", *carry, "w")
 
@@ -238,12 +238,12 @@ class _Grid:
     def _facing(self, pairs: DataFrame, cells: DataFrame, subs: DataFrame) -> DataFrame:
         """``a, b`` of the pairs whose sub-cells closest to the other cell lie wholly within the radius."""
         boxes = cells.select("cell", F.col("low").alias("la"), F.col("high").alias("ha"))
-        both = counted_join(pairs.select("cell", "b", "lb", "hb", "fa", "fb"), boxes, ["cell"])
+        both = pairs.select("cell", "b", "lb", "hb", "fa", "fb").join(boxes, "cell")
         box = F.struct(F.col("low"), F.col("high"))
 
         def closest(at: str, low: str, high: str, name: str) -> DataFrame:
             own = subs.select(F.col("cell").alias(at), "low", "high")
-            met = counted_join(both, own, [at])
+            met = both.join(own, at)
             distance = self.gap(F.col("low"), F.col("high"), F.col(low), F.col(high))
             return met.groupBy("fa", "fb").agg(F.min(F.struct(distance.alias("gap"), box.alias("box"))).alias(name))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gasflow.functions.quantiles import scalar_quantiles
-from gasflow.functions.sizing import materialize, spread_small
+from gasflow.functions.sizing import materialize, spread_out
 from gasflow.operators.outliers import default_features
 from gasflow.operators.relational import drop_incomplete
 
@@ -50,7 +50,7 @@ def isolation_forest(
         for batch in batches:
             yield pd.Series(_scores(batch.to_numpy(dtype=float), forest, sample))
 
-    scored = materialize(spread_small(rows).withColumn("score", score(F.struct(*names))))
+    scored = materialize(spread_out(rows).withColumn("score", score(F.struct(*names))))
     cut = scalar_quantiles(scored, "score", [contamination])[0]
     return scored.withColumn("is_anomaly", F.col("score") < cut)
 

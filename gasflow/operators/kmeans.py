@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import text_columns
-from gasflow.functions.sizing import materialize, spread_small
+from gasflow.functions.sizing import materialize, spread_out
 
 MAX_K = 10
 RESTARTS = 10
@@ -42,7 +42,7 @@ def kmeans_best(
     or to half the number of rows if that is less.
     """
     names = [c for c in (columns or features.columns) if c != id]
-    rows = materialize(spread_small(features.select(id, *names)))
+    rows = materialize(spread_out(features.select(id, *names)))
     total = rows.count()
     tried = list(ks or range(2, min(MAX_K, total // 2) + 1))
     if not tried:

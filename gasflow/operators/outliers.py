@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gasflow.functions.columns import COORDINATES, holds, numeric_columns, require
 from gasflow.functions.quantiles import column_quantiles
-from gasflow.functions.sizing import settle
+from gasflow.functions.sizing import materialize
 from gasflow.operators.profiling import per_column
 
 Z_LIMIT = 3.0
@@ -43,7 +43,7 @@ def _far(spread: Column, column: str, limit: float) -> Column:
 
 def _fences(df: DataFrame, columns: Sequence[str], k: float) -> dict[str, tuple[Column, Column]]:
     """Lower and upper bound of each column; all of them come from one scalar subquery."""
-    found = settle(column_quantiles(df, columns, [0.25, 0.75]))
+    found = materialize(column_quantiles(df, columns, [0.25, 0.75]))
     quartiles = found.agg(F.map_from_entries(F.collect_list(F.struct("column", "q")))).scalar()
     bounds = {}
     for c in columns:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gasflow.functions.columns import numeric_columns, require
 from gasflow.functions.quantiles import column_quantiles
-from gasflow.functions.sizing import reads_little
 
 
 def _equals(column: Column, value: Any) -> Column:
@@ -109,10 +108,10 @@ def aggregate(df: DataFrame, how: str, columns: Sequence[str] | None = None) ->
     numeric = [c for c in numeric_columns(df) if not wanted or c in wanted]
     if how not in AGGREGATIONS or not numeric:
         return df.sparkSession.createDataFrame([], "nothing string")
-    if how == "median" and not reads_little(df):
+    if how == "median":
         rows = column_quantiles(df, numeric, [0.5])
         return rows.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"{c}_median") for c in numeric])
-    plain = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
+    plain = {"mean": F.avg, "max": F.max, "min": F.min}
     if how == "sum":
         return df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_sum") for c in numeric])
     return df.agg(*[plain[how](c).alias(f"{c}_{how}") for c in numeric])

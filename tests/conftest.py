@@ -16,12 +16,3 @@ def spark():
     session = local_session("8", "gasflow-tests")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["small", "large"])
-def both_plans(request, spark):
-    """Runs a test once with the plans for small inputs and once with those for large ones."""
-    if request.param == "large":
-        spark.conf.set("gasflow.smallInputBytes", "0")
-    yield request.param
-    spark.conf.unset("gasflow.smallInputBytes")

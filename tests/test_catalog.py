@@ -10,24 +10,6 @@ import pytest
 import __spark_entry__ as driver
 
 FOLDER = os.environ.get("GASFLOW_TEST_FOLDER", "/root/testdata/sf0.001")
-SPLITTING = [
-    "impute_group_median",
-    "quantity_bins",
-    "geo_quadrant",
-    "aggregate_median",
-    "describe_numeric",
-    "group_stats_by_state",
-    "column_profile",
-    "iqr_outliers",
-    "infer_capacity",
-    "utilization",
-    "rolling_high_util",
-    "rolling_high_util_days",
-    "detect_bottlenecks",
-    "flow_direction_changes",
-    "vessels_near_locations",
-    "pipeline_operations",
-]
 
 
 @pytest.fixture(scope="module")
@@ -45,15 +27,6 @@ def test_same_as_sql(spark, duck, name):
     check(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", SPLITTING)
-def test_same_as_sql_with_plans_for_large_inputs(spark, duck, name):
-    spark.conf.set("gasflow.smallInputBytes", "0")
-    try:
-        check(spark, duck, name)
-    finally:
-        spark.conf.unset("gasflow.smallInputBytes")
-
-
 @pytest.mark.parametrize("name", sorted(set(driver.queries()) - set(driver.oracle_sql())))
 def test_without_sql_gives_rows(spark, name):
     assert driver.queries()[name](spark, FOLDER).count() > 0

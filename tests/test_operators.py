@@ -47,7 +47,7 @@ def mixed(spark):
     return spark.createDataFrame(data, "id long, state_abb string, b double, c double, flag boolean")
 
 
-def test_small_example(small, both_plans):
+def test_small_example(small):
     found = analyses.clean(small).orderBy("pipeline_name")
     assert rows(found, "quantity_category") == [("Low",), ("Very High",), ("Medium",)]
     assert rows(found, "geographic_quadrant") == [("SE",), ("NE",), ("NW",)]
@@ -65,7 +65,7 @@ def test_sparse_columns_go_at_the_threshold(spark):
     assert cleaning.drop_sparse_columns(table, 0.61).columns == ["a", "b", "c"]
 
 
-def test_imputation_rules(spark, both_plans):
+def test_imputation_rules(spark):
     monday, tuesday = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
     data = [
         ("p", monday, 1.0), ("p", monday, 3.0), ("p", monday, None), ("p", tuesday, None), (None, monday, None), ("q", tuesday, 10.0),
@@ -84,7 +84,7 @@ def test_imputation_rules(spark, both_plans):
     assert cleaning.impute_connecting(full).columns == ["connecting_pipeline", "connecting_pipeline_missing"]
 
 
-def test_equal_quartiles_and_nulls(spark, both_plans):
+def test_equal_quartiles_and_nulls(spark):
     table = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, 5.0, 5.0, 5.0, 9.0, None])], "obs_id long, scheduled_quantity double")
     got = rows(cleaning.quantity_bins(table).orderBy("obs_id"), "quantity_category")
     assert got == [("Low",)] * 4 + [("Very High",), (None,)]
@@ -120,7 +120,7 @@ def test_filter_precedence_and_nulls(mixed):
     assert relational.apply_filters(mixed, None).count() == 5
 
 
-def test_aggregates(mixed, both_plans):
+def test_aggregates(mixed):
     assert rows(relational.aggregate(mixed, "sum", ["c"])) == [(18.0,)]
     assert rows(relational.aggregate(mixed.filter("id < 3"), "sum", ["c"])) == [(0.0,)]
     assert relational.aggregate(mixed, "median").columns == ["id_median", "b_median", "c_median"]
@@ -150,7 +150,7 @@ def test_profiles(mixed):
     assert week[0] == ("Monday", 1) and week[6] == ("Sunday", 2) and week[3] == ("Thursday", 0)
 
 
-def test_quality(mixed, both_plans):
+def test_quality(mixed):
     issues = {(r["issue"], r["column"]): r["count"] for r in quality.quality_issues(mixed).collect()}
     assert issues == {
         ("missing", "state_abb"): 2, ("missing", "b"): 1, ("missing", "c"): 3, ("missing", "flag"): 1,
@@ -165,7 +165,7 @@ def test_quality(mixed, both_plans):
     assert quality.quality_issues(tab).first()["issue"] == "outer_spaces"
 
 
-def test_outliers(spark, both_plans):
+def test_outliers(spark):
     values = [0.0] * 20 + [100.0]
     table = spark.createDataFrame([(i, v, 3.0) for i, v in enumerate(values)], "id long, v double, constant double")
     z = {r["column"]: r["count"] for r in outliers.zscore_outliers(table, ["v", "constant"]).collect()}
@@ -198,7 +198,7 @@ def test_beta_share():
     assert abs(association.beta_share(0.3, 2.0, 5.0) - 0.579825) < 1e-9
 
 
-def test_utilization_edges(spark, both_plans):
+def test_utilization_edges(spark):
     data = [(i, "p", 100.0) for i in range(3)] + [(3, "zero", 0.0), (4, "none", None), (5, None, 5.0)]
     table = spark.createDataFrame(data, "obs_id long, pipeline_name string, scheduled_quantity double")
     capacity = operations.infer_capacity(table)
@@ -209,7 +209,7 @@ def test_utilization_edges(spark, both_plans):
     assert rows(nothing) == [(0, 0.0, 0.0, 0.0)]
 
 
-def test_bottleneck_edges(spark, both_plans):
+def test_bottleneck_edges(spark):
     """Nine high rows are too few, ten are enough; rows that are not high extend the dates; one pipeline works."""
     start = dt.datetime(2024, 1, 1)
 
@@ -228,7 +228,7 @@ def test_bottleneck_edges(spark, both_plans):
     assert max(r["rolling_high_count"] for r in by_day.collect()) == 3
 
 
-def test_near_locations(spark, both_plans):
+def test_near_locations(spark):
     radius = 20 / 111
     places = spark.createDataFrame(
         [("a", 30.0, -90.0), ("a", 30.0, -90.0), ("b", 30.0 + radius * 1.5, -90.0), ("c", None, -90.0)],

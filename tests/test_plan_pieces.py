@@ -11,14 +11,13 @@ from gasflow.functions.chunks import into_chunks
 from gasflow.functions.components import connected_components
 from gasflow.functions.quantiles import column_quantiles, quantiles, scalar_quantiles
 from gasflow.functions.ranks import with_average_ranks
-from gasflow.functions.sizing import reads_little
 from gasflow.operators import operations
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
 
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "skewed", "one value"])
-def test_quantiles_of_many_values(spark, both_plans, shape):
+def test_quantiles_of_many_values(spark, shape):
     values = {
         "spread": "randn(3) * 1000",
         "ties": "floor(rand(3) * 7)",
@@ -35,7 +34,7 @@ def test_quantiles_of_many_values(spark, both_plans, shape):
         assert np.allclose(keyed[hot], part["v"].quantile(PROBS), rtol=1e-12)
 
 
-def test_quantiles_of_few_or_no_values(spark, both_plans):
+def test_quantiles_of_few_or_no_values(spark):
     table = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), ("c", 5.0)], "k string, v double")
     got = {r["k"]: (r["n"], r["q"]) for r in quantiles(table, "v", [0.5], ["k"]).collect()}
     assert got.pop("a") == (2, [1.5]) and got.pop("c") == (1, [5.0])
@@ -46,15 +45,6 @@ def test_quantiles_of_few_or_no_values(spark, both_plans):
     assert [tuple(r) for r in column_quantiles(table, ["v"], [0.5]).collect()] == [("v", 3, [2.0])]
 
 
-def test_size_check(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    table = spark.read.parquet(str(tmp_path / "t"))
-    assert reads_little(table) and reads_little(table.crossJoin(table.withColumnRenamed("id", "b")))
-    spark.conf.set("gasflow.smallInputBytes", "1")
-    assert not reads_little(table)
-    spark.conf.unset("gasflow.smallInputBytes")
-
-
 def test_average_ranks(spark):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame({"a": rng.integers(0, 40, 3000).astype(float), "b": rng.normal(size=3000)})
