@@ -26,10 +26,11 @@ def in_ranges(df: DataFrame, row: Column, ranges: int | None = None) -> DataFram
     held = drawn.agg(F.sort_array(F.collect_list("row")).alias("rows"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("rows", F.floor(i * F.size("rows") / n).cast("int")))
     cuts = held.select(F.array_distinct(F.filter(at, lambda r: r.isNotNull())).alias("cuts")).scalar()
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
-    # how many cuts are not above the row, bit by bit
-    passed = F.aggregate(steps, F.lit(0), lambda got, step: got + F.when(F.get("_cuts", got + step - 1) <= F.col("_row"), step).otherwise(0))
-    return df.withColumns({"_cuts": cuts, "_row": row}).withColumn("_range", passed).drop("_row")
+    ranged = df.withColumns({"_cuts": cuts, "_row": row, "_range": F.lit(0)})
+    for step in (1 << i for i in reversed(range(n.bit_length()))):  # how many cuts are not above the row, bit by bit
+        passed = F.get("_cuts", F.col("_range") + F.lit(step - 1)) <= F.col("_row")
+        ranged = ranged.withColumn("_range", F.col("_range") + F.when(passed, step).otherwise(0))
+    return ranged.drop("_row")
 
 
 def into_chunks(df: DataFrame, key: str, day: str, id: str, ranges: int | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The built-in ``percentile`` keeps all distinct values of a group in one task. Here rows are cut into even ranges of key and
 value, at rows drawn from all of them. Counts per range show which ranges hold a wanted rank; only their values are counted and
-ordered, each range by itself. There is one plan for every size, and no rank can be missed, as the counts are exact.
+ordered, each range by itself. There is one plan for every size, and no rank can be missed, as the counts are exact. Keys and values
+are written to the checkpoint folder once and read three times.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gasflow.functions.chunks import in_ranges
 from gasflow.functions.columns import melt
-from gasflow.functions.sizing import materialize
+from gasflow.functions.sizing import materialize, spread_out
 
 
 def quantiles(
@@ -33,6 +34,7 @@ def quantiles(
     probs = [float(p) for p in probabilities]
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     long = df.select(key.alias("key"), F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    long = materialize(spread_out(long))
     ranged = in_ranges(long, F.struct("key", "value")).drop("_cuts")
     totals = ranged.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("held"))
     of_key = Window.partitionBy("key")
