@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import COORDINATES, holds, numeric_columns, require
@@ -87,6 +87,25 @@ def iqr_outlier_rows(df: DataFrame, column: str, id: str, k: float = QUARTILE_RA
     return rows if n is None else rows.orderBy(id).limit(n)
 
 
+def first_zscore_rows(df: DataFrame, id: str, columns: Sequence[str], limit: float = Z_LIMIT, n: int = 10) -> DataFrame:
+    """``column, <id>, value``: the first ``n`` values far from the mean of each column, in the order of ``id``."""
+    spread = _spread(df, columns)
+    return _first(df, id, {c: _far(spread, c, limit) for c in columns}, n)
+
+
+def first_iqr_rows(df: DataFrame, id: str, columns: Sequence[str], k: float = QUARTILE_RANGE, n: int = 10) -> DataFrame:
+    """``column, <id>, value``: the first ``n`` values outside the fences of each column, in the order of ``id``."""
+    outside = {c: holds((F.col(c) < low) | (F.col(c) > high)) for c, (low, high) in _fences(df, columns, k).items()}
+    return _first(df, id, outside, n)
+
+
+def _first(df: DataFrame, id: str, flags: dict[str, Column], n: int) -> DataFrame:
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"), flag.alias("flagged")) for c, flag in flags.items()]
+    found = df.select(id, F.inline(F.array(*each))).filter("flagged")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(id))
+    return found.withColumn("place", place).filter(F.col("place") <= n).select("column", id, "value")
+
+
 def numeric_patterns(df: DataFrame, columns: Sequence[str] | None = None, first: int = 5) -> DataFrame:
     """Mean, median, sample deviation, skewness, kurtosis and share of values beyond two deviations."""
     names = list(columns or numeric_columns(df)[:first])

@@ -16,7 +16,7 @@ from gasflow.functions.sizing import scratch_folder
 from gasflow.operators import association, cleaning, dbscan as density, forest, kmeans, matching, operations
 from gasflow.operators import outliers, profiling, proximity, quality, relational
 from gasflow.plans import analyses
-from gasflow.sources.files import html_payload_rows, read_table
+from gasflow.sources.files import html_payload_rows, read_profile, read_table, rejected_lines, write_profile
 from gasflow.sources.views import gas_obs, load, vessel_messages, vessels
 from gasflow.streaming.vessels import collect_vessels, decode_vessels, tag_vessels
 
@@ -129,6 +129,43 @@ def _(spark, folder):
     return html_payload_rows(load(spark, folder, "pages"), "html").select("page_id", "is_html")
 
 
+def _orders_as_csv(spark: SparkSession, folder: str) -> str:
+    """The orders as CSV lines without quotes; every 97th has a field too many and every 89th of the others ends early."""
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string").alias("price"))
+    key, line = F.col("o_orderkey"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "price")
+    cut = F.concat_ws(",", key.cast("string"), "o_orderstatus")
+    path = scratch_folder(spark, "orders") + ".csv"
+    orders.select(F.when(key % 97 == 0, F.concat(line, F.lit(",surplus"))).when(key % 89 == 0, cut).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+_ORDER_LINES = T.StructType([T.StructField("key", T.LongType()), T.StructField("status", T.StringType()), T.StructField("price", T.DoubleType())])
+
+
+@query(
+    "read_table_csv",
+    """SELECT o_orderkey AS key, o_orderstatus AS status, CASE WHEN o_orderkey % 89 <> 0 THEN ROUND(CAST(o_totalprice AS DOUBLE), 4) END AS price
+    FROM orders WHERE o_orderkey % 97 <> 0""",
+)
+def _(spark, folder):
+    table = read_table(spark, _orders_as_csv(spark, folder), _ORDER_LINES, malformed="leave", header=False)
+    return table.withColumn("price", F.round("price", 4))
+
+
+@query("rejected_lines", "SELECT o_orderkey AS key, 4 AS fields FROM orders WHERE o_orderkey % 97 = 0")
+def _(spark, folder):
+    fields = F.split("line", ",")
+    return rejected_lines(spark, _orders_as_csv(spark, folder), _ORDER_LINES, header=False).select(fields[0].cast("long").alias("key"), F.size(fields).alias("fields"))
+
+
+@query("write_profile", "SELECT 'orders' AS section, COUNT(*) AS row_count FROM orders UNION ALL SELECT 'customers', COUNT(*) FROM customer")
+def _(spark, folder):
+    path = scratch_folder(spark, "profile")
+    write_profile({"orders": load(spark, folder, "orders"), "customers": load(spark, folder, "customer")}, path)
+    counted = [s.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("section"), "row_count") for name, s in read_profile(spark, path).items()]
+    return counted[0].unionByName(counted[1])
+
+
 # Cleaning
 
 _TYPES = {"obs_id": "bigint", "latitude": "double", "longitude": "double", "eff_gas_day": "timestamp", "scheduled_quantity": "double"}
@@ -477,10 +514,10 @@ for _part in ("year", "month", "day_of_week"):
     f"""WITH {DATED}, week(day_number, weekday) AS (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'),
     (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday'))
     SELECT day_number, weekday, COUNT(obs_id) AS count FROM week
-    LEFT JOIN (SELECT * FROM dated WHERE day_of_week < 5) ON day_of_week = day_number GROUP BY ALL""",
+    LEFT JOIN dated ON day_of_week = day_number GROUP BY ALL""",
 )
 def _(spark, folder):
-    return profiling.weekly_pattern(dated(spark, folder).filter("day_of_week < 5"))
+    return profiling.weekly_pattern(dated(spark, folder))
 
 
 _SPAN = """SELECT strftime(MIN(eff_gas_day), '%Y-%m-%d') AS start, strftime(MAX(eff_gas_day), '%Y-%m-%d') AS "end",
@@ -608,12 +645,11 @@ def _(spark, folder):
 
 @query(
     "duplicate_rows",
-    """WITH g AS (SELECT COUNT(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber)
-    SELECT CAST(SUM(copies) AS BIGINT) AS total_rows, CAST(SUM(copies - 1) AS BIGINT) AS duplicate_rows,
-    ROUND(SUM(copies - 1) / SUM(copies) * 100, 6) AS duplicate_percentage FROM g""",
+    """WITH g AS (SELECT (SELECT COUNT(*) FROM lineitem) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS kinds)
+    SELECT n AS total_rows, n - kinds AS duplicate_rows, ROUND((n - kinds) / n * 100, 6) AS duplicate_percentage FROM g""",
 )
 def _(spark, folder):
-    return rounded(quality.duplicate_rows(load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")), 6)
+    return rounded(quality.duplicate_rows(load(spark, folder, "lineitem")), 6)
 
 
 @query(
@@ -753,6 +789,27 @@ def _(spark, folder):
     return analyses.detect_anomalies(gas_obs(spark, folder), "obs_id")["summary"]
 
 
+_FIRST_ROWS = """SELECT * FROM (SELECT '{section}' AS section, '{c}' AS "column", event_id, {c} AS value FROM (
+    SELECT *, {flag} AS flagged FROM kept) WHERE flagged ORDER BY event_id LIMIT 10)"""
+_FIRST_ROWS_SQL = " UNION ALL ".join(
+    _FIRST_ROWS.replace("{section}", section).replace("{flag}", flag).replace("{c}", c)
+    for section, flag in (
+        ("z_score", "ABS({c} - AVG({c}) OVER ()) > 3 * stddev_pop({c}) OVER ()"),
+        ("iqr", """{c} < (SELECT 2.5 * quantile_cont({c}, 0.25) - 1.5 * quantile_cont({c}, 0.75) FROM kept)
+          OR {c} > (SELECT 2.5 * quantile_cont({c}, 0.75) - 1.5 * quantile_cont({c}, 0.25) FROM kept)"""),
+    )
+    for c in ("value", "square")
+)
+
+
+@query("anomaly_rows", f"WITH kept AS (SELECT event_id, value, value * value AS square FROM events WHERE value IS NOT NULL) {_FIRST_ROWS_SQL}")
+def _(spark, folder):
+    events = load(spark, folder, "events").select("event_id", "value", (F.col("value") * F.col("value")).alias("square")).filter("value IS NOT NULL")
+    found = [("z_score", outliers.first_zscore_rows), ("iqr", outliers.first_iqr_rows)]
+    one, other = [first(events, "event_id", ["value", "square"]).select(F.lit(name).alias("section"), "*") for name, first in found]
+    return one.unionByName(other)
+
+
 _PATTERN = """SELECT '{c}' AS "column", ROUND(AVG(v), 4) AS mean, ROUND(CAST(median(v) AS DOUBLE), 4) AS median, ROUND(stddev_samp(v), 4) AS std,
     ROUND(AVG(POWER(v - m, 3)) / POWER(AVG((v - m) * (v - m)), 1.5), 4) AS skewness,
     ROUND(AVG(POWER(v - m, 4)) / POWER(AVG((v - m) * (v - m)), 2) - 3, 4) AS kurtosis,
@@ -1033,13 +1090,18 @@ def _counted_sql(section, key, measure_key=False):
     + _long_sql("size", "SELECT COUNT(*) AS row_count, 3 AS column_count FROM kept", "''", ["row_count", "column_count"])
     + " UNION ALL " + _long_sql("aggregation", "SELECT AVG(scheduled_quantity) AS scheduled_quantity_mean FROM kept", "''", ["scheduled_quantity_mean"])
     + " UNION ALL "
-    + _long_sql("numeric", each(["scheduled_quantity"], _DESCRIBE) + " FROM kept", '"column"', ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
+    + _long_sql("numeric", each(["scheduled_quantity"], _DESCRIBE) + " FROM kept", '"column"', ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    + " UNION ALL "
+    + _long_sql("categorical", each(["state_abb", "category_short"], _CATEGORY.replace("gas_obs", "kept")), "\"column\" || '|' || value",
+                ["unique_count", "missing_count", "diversity_index", "position", "count"])
+    + " UNION ALL "
+    + _long_sql("sample", "SELECT * FROM kept ORDER BY state_abb, category_short, scheduled_quantity NULLS FIRST LIMIT 20", "state_abb || '|' || category_short", ["scheduled_quantity"]),
 )
 def _(spark, folder):
     sections = analyses.simple_query(
         dated(spark, folder), {"year": {"between": [1996, 1998]}}, ["state_abb", "category_short", "scheduled_quantity"], "mean"
     )
-    return stacked({name: sections[name] for name in ("size", "aggregation", "numeric")})
+    return stacked(sections)
 
 
 @query(
@@ -1139,9 +1201,7 @@ def _(spark, folder):
 
 @query("general_analysis")
 def _(spark, folder):
-    sections = analyses.general_analysis(gas_obs(spark, folder), "obs_id")
-    sections.pop("rows")
-    return stacked(sections)
+    return stacked(analyses.general_analysis(gas_obs(spark, folder), "obs_id"))
 
 
 @query("cluster")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gasflow.operators import association, cleaning, outliers, profiling, proximity, quality, relational
 from gasflow.operators import operations
 from gasflow.plans import analyses
-from gasflow.sources.files import html_payload_scan, read_table, write_profile
+from gasflow.sources.files import html_payload_scan, read_profile, read_table, rejected_lines, write_profile
 
 
 def rows(df, *columns):
@@ -260,8 +260,35 @@ def test_sources(spark, tmp_path):
     found = {r["path"].rsplit("/", 1)[1]: r["is_html"] for r in html_payload_scan(spark, str(tmp_path)).collect()}
     assert found == {"t.csv": False, "t.csv.gz": False, "page.csv": True, "t.xyz": False}
     nans = spark.createDataFrame([(1, float("nan"))], "a int, b double")
-    write_profile({"first": nans}, str(tmp_path / "profile"))
-    assert rows(read_table(spark, str(tmp_path / "profile" / "first"))) == [(1, None)]
+    profile = str(tmp_path / "profile")
+    write_profile({"first": nans, "second": nans.select("a")}, profile)
+    broken = nans.select(F.raise_error(F.lit("broken")).cast("string").alias("b"))
+    with pytest.raises(Exception, match="broken"):
+        write_profile({"first": nans.limit(0), "second": broken}, profile)
+    assert {n: s.count() for n, s in read_profile(spark, profile).items()} == {"first": 1, "second": 1}
+    write_profile({"third": nans}, profile)
+    assert list(read_profile(spark, profile)) == ["third"]
+
+
+def test_lines_of_too_many_fields(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text('a,b,_line\n1,x,p\n2\n3,"y,z",q,9\n4,w,r,\n5,"v,v",s\n')
+    good = [(1, "x", "p"), (2, None, None), (4, "w", "r"), (5, "v,v", "s")]
+    table = read_table(spark, path, malformed="leave")
+    assert table.columns == ["a", "b", "_line"] and rows(table) == good and table.count() == 4
+    assert [r.line for r in rejected_lines(spark, path).collect()] == ['3,"y,z",q,9']
+    for read in (lambda t: t.count(), lambda t: t.select("b").collect()):
+        with pytest.raises(Exception, match="too many fields"):
+            read(read_table(spark, path))
+    with pytest.raises(ValueError):
+        read_table(spark, path, malformed="ignore")
+
+
+def test_first_bytes_of_long_files(spark, tmp_path):
+    (tmp_path / "long page").write_bytes(b"\n<html>" + b"x" * 70_000_000)
+    (tmp_path / "empty").write_bytes(b"")
+    found = {r["path"].rsplit("/", 1)[1]: (r["length"], r["is_html"]) for r in html_payload_scan(spark, str(tmp_path)).collect()}
+    assert found == {"long page": (70_000_007, True)}  # Spark lists no empty files
 
 
 def test_composites(spark, small):
@@ -273,4 +300,3 @@ def test_composites(spark, small):
     assert rows(factors["quantity_by_state"])[0] == ("LA", 2000.0, 2000.0, None, 1)
     general = analyses.general_analysis(small, "pipeline_name")
     assert "anomalies" not in general and general["insights"].count() > 0
-    general["rows"].unpersist()
