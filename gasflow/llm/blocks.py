@@ -50,6 +50,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column bears it."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
+
+
 class Kept(dict):
     """A cache of one process that is shipped empty."""
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gasflow.llm.blocks import WORD_BYTES, Words, row_blocks, runs
 
@@ -121,10 +122,12 @@ def find_items(
     set is one more narrow pass over the same rows, which needs no shuffle. Null texts have no words. Repeated items count
     once, an item without id marks words but is not listed, an item without words never occurs. Each row of
     ``docs`` gives one row, so repeated rows stay; its other columns are kept. Columns that bear the new names are replaced.
+    Ids may be of any type with an order. Texts of any length are searched whole, and an empty table gives no rows.
     """
     new = ("n_words", "hit_words", "items")
+    ids = T.ArrayType(benchmark.schema[item_id].dataType)
     out = docs.drop(*new).withColumns(
-        {"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<long>"), "items": F.array().cast("array<long>")}
+        {"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<long>"), "items": F.array().cast(ids)}
     )
     context = docs.sparkSession.sparkContext
     sets = 0
@@ -163,7 +166,7 @@ def _with_hits(rows: pa.RecordBatch, words: Words, places: np.ndarray, items: di
         mine = places[cuts[i] : cuts[i + 1]] - words.bounds[i]
         hits.append(np.union1d(old_hits[i], mine).astype(np.int64) if old_hits[i] else mine)
         listed.append(sorted({*old_items[i], *(x for x in items.get(i, ()) if x is not None)}))
-    columns = {"n_words": pa.array(np.diff(words.bounds)), "hit_words": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(listed, pa.list_(pa.int64()))}
+    columns = {"n_words": pa.array(np.diff(words.bounds)), "hit_words": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(listed, rows.schema.field("items").type)}
     return pa.RecordBatch.from_arrays([columns.get(n, rows.column(i)) for i, n in enumerate(names)], names=names)
 
 

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gasflow.llm.blocks import row_blocks
+from gasflow.llm.blocks import fresh, row_blocks
 from gasflow.llm.ppm import ContextTree, bits_by_tree, counted, grams_of
 
 ORDER = 4
@@ -65,12 +66,14 @@ def identify(docs: DataFrame, trees: dict[str, ContextTree], text: str = "text")
 
     Whole texts are scored. ``lang_pred`` is ``und`` and the score 0 when a text is null or has no letter, or
     when no language was learned. Equal code lengths go to the first language by name. Each row gives one row; other
-    columns are kept, those that bear the new names are replaced.
+    columns are kept, those that bear the new names are replaced. A text of any length is scored whole, in memory that
+    grows with the longest one. An empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
-    flag = "_has_letter"
+    flag = fresh("has_letter", docs.columns)
     frame = docs.drop("lang_pred", "score", "bits_per_byte").withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != flag)
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    schema = T.StructType([*(f for f in frame.schema if f.name != flag), *new])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(shipped.value)
@@ -93,7 +96,7 @@ def identify(docs: DataFrame, trees: dict[str, ContextTree], text: str = "text")
                     names=[*(f for _, f in kept), "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return frame.mapInArrow(score, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return frame.mapInArrow(score, schema)
 
 
 def recognised(identified: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gasflow.functions.components import connected_components
 from gasflow.functions.sizing import materialize
 
-FOUND = "key binary, links long, root binary"
+FOUND = "key long, links long, root long"
 
 
 def wide_hash(*columns: str | Column) -> Column:
@@ -24,6 +24,11 @@ def wide_hash(*columns: str | Column) -> Column:
     return F.unhex(F.concat(*halves))
 
 
+def numbered(classes: DataFrame) -> DataFrame:
+    """Write the classes out with a ``number`` each; links and components run on numbers instead of wide keys."""
+    return materialize(classes.withColumn("number", F.monotonically_increasing_id()))
+
+
 def in_tile_pairs(rows: DataFrame, size: str, member: str, tile_rows: int) -> DataFrame:
     """Each row of a group of ``size`` rows once for each pair of tiles that its own tile is in: adds ``tile``, ``left``, ``right``."""
     tiles = F.greatest(F.ceil(F.col(size) / tile_rows), F.lit(1)).cast("int")
@@ -50,7 +55,7 @@ def stars(adjacent: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         left, right = new_left, new_right
 
 
-def found_rows(keys: list[bytes], copies: np.ndarray, tile: np.ndarray, left: int, right: int, adjacent: np.ndarray) -> pa.Table:
+def found_rows(keys: list[int], copies: np.ndarray, tile: np.ndarray, left: int, right: int, adjacent: np.ndarray) -> pa.Table:
     """Links and roots of the rows of two tiles. ``adjacent`` has the rows of tile ``left`` by those of tile ``right``; where
     both are one tile its diagonal is ignored."""
     a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
@@ -62,20 +67,21 @@ def found_rows(keys: list[bytes], copies: np.ndarray, tile: np.ndarray, left: in
     if left != right:
         rows += zip(b, (copies[a] @ adjacent).tolist(), order[root_b], strict=True)
     rows = [(keys[i], int(n), keys[r]) for i, n, r in rows if n]
-    types = (pa.binary(), pa.int64(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64())
     columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "links", "root"])
 
 
 def joined_up(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, n_links, class_id`` for classes ``key, first_id, copies``: direct links of each member, own copies included, and
-    the smallest id that links reach."""
+    """``key, n_links, class_id`` for numbered classes ``key, first_id, copies``: direct links of each member, own copies
+    included, and the smallest id that links reach. Other columns of the classes are kept."""
     found = materialize(found)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "key", "left").join(parts.select(F.col("node").alias("key"), "component"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key"))
     least = named.filter("links > 0").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    kept = [c for c in classes.columns if c not in ("first_id", "copies")]
     return named.join(least, "component", "left").select(
-        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("class_id")
+        *kept, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("class_id")
     )

@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from gasflow.functions.components import connected_components
 from gasflow.functions.sizing import materialize
 from gasflow.llm.blocks import WORD_BYTES, Words, mixed, row_blocks, runs
-from gasflow.llm.links import FOUND, found_rows, in_tile_pairs, joined_up, stars
+from gasflow.llm.links import FOUND, found_rows, in_tile_pairs, joined_up, numbered, stars
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 24
 FULL_DEPTH = 8
 RECALL = 0.99999
-#: A pair at the threshold agrees in this share of its sketch, or more, but for about one in a million.
-SCREEN = 0.6
+#: A pair at the threshold agrees in this share of its sketch, or more, but for one in ninety million.
+SCREEN = 0.55
 SKETCH_TILE, SET_TILE = 1024, 256
 NO_ID = -(1 << 63)
 
@@ -78,18 +78,18 @@ def link_texts(
     linked directly, ``class_id`` is the smallest id that links reach, and ``kept`` marks the row that has it. Texts
     without words (null, empty, punctuation) link with nothing. Documents with equal sets are one class that is compared once.
     Of repeated rows with one id all are marked alike. A null id names a class only if all its ids are null. Empty tables give
-    no rows. A pair of classes at the threshold is missed with a probability of at most about ``1 - recall``; pairs that
-    share a cluster are all verified.
+    no rows. A pair of classes at the threshold is missed by the forest or by the screen of its sketch with a probability of
+    at most about ``1 - recall``, 3.3e-6 with the parameters given; pairs that share a cluster are all verified.
     """
     rows, classes = _classes(docs, threshold, width, id, text, trees, recall)
     found = _verify(docs, classes, _clusters(classes, threshold), threshold, width, id, text)
-    results = joined_up(classes.select("key", F.col("rep.id").alias("first_id"), "copies"), found)
+    results = joined_up(classes.select(F.col("number").alias("key"), F.col("key").alias("wide"), F.col("rep.id").alias("first_id"), "copies"), found)
     named = F.when(F.col("class_id") != NO_ID, F.col("class_id"))
-    return rows.select("id", "key", "hash").join(results, "key", "left").select(
+    return rows.select("id", F.col("key").alias("wide"), "hash").join(results, "wide", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id),
-        F.when(F.col("key").isNull(), F.when(F.col("id") != NO_ID, F.col("id"))).otherwise(named).alias("class_id"),
+        F.when(F.col("wide").isNull(), F.when(F.col("id") != NO_ID, F.col("id"))).otherwise(named).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("key").isNull() | (F.col("id") == F.col("class_id"))).alias("kept"),
+        (F.col("wide").isNull() | (F.col("id") == F.col("class_id"))).alias("kept"),
         F.col("hash").alias("text_hash"),
     )
 
@@ -125,19 +125,19 @@ def _classes(docs: DataFrame, threshold: float, width: int, id: str, text: str,
         F.min(F.struct("id", "hash")).alias("rep"), F.count(F.lit(1)).alias("copies"),
         *(F.any_value(c).alias(c) for c in ("shingles", "prefixes", "sketch")),
     )
-    return rows, materialize(classes)
+    return rows, numbered(classes)
 
 
 def _clusters(classes: DataFrame, threshold: float) -> DataFrame:
-    """``key, cluster, size`` of the classes that meet others in a tree and pass the screen."""
-    nodes = classes.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
+    """``number, cluster, size`` of the classes that meet others in a tree and pass the screen."""
+    nodes = classes.select("number", F.posexplode("prefixes").alias("tree", "prefix"))
     buckets = nodes.groupBy("tree", "prefix").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("mark"), F.sum(F.hash("key").cast("long")).alias("sum")
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("number")).alias("mark"), F.sum(F.hash("number").cast("long")).alias("sum")
     )
     # texts that meet in several trees in the same company are compared in one of them
     distinct = buckets.filter("size > 1").groupBy("size", "mark", "sum").agg(F.min(F.struct("tree", "prefix")).alias("b"))
     wanted = materialize(distinct.select(F.col("b.tree").alias("tree"), F.col("b.prefix").alias("prefix"), "size"))
-    members = nodes.join(wanted, ["tree", "prefix"]).join(classes.select("key", "shingles", "sketch"), "key")
+    members = nodes.join(wanted, ["tree", "prefix"]).join(classes.select("number", "shingles", "sketch"), "number")
 
     def screen(table: pa.Table) -> pa.Table:
         tile = table["tile"].to_numpy()
@@ -157,12 +157,12 @@ def _clusters(classes: DataFrame, threshold: float) -> DataFrame:
         moved = [(i, order[r]) for i, r in zip(a, root_a, strict=True) if i != order[r]]
         if left != right:
             moved += [(i, order[r]) for i, r in zip(b, root_b, strict=True) if i != order[r]]
-        keys = table["key"].to_pylist()
-        return pa.table({"a": pa.array([keys[i] for i, _ in moved], pa.binary()), "b": pa.array([keys[r] for _, r in moved], pa.binary())})
+        numbers = table["number"].to_numpy()
+        return pa.table({"a": pa.array([numbers[i] for i, _ in moved], pa.int64()), "b": pa.array([numbers[r] for _, r in moved], pa.int64())})
 
-    cut = in_tile_pairs(members, "size", "key", SKETCH_TILE)
-    edges = cut.groupBy("tree", "prefix", "left", "right").applyInArrow(screen, "a binary, b binary")
-    clusters = materialize(connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster")))
+    cut = in_tile_pairs(members, "size", "number", SKETCH_TILE)
+    edges = cut.groupBy("tree", "prefix", "left", "right").applyInArrow(screen, "a long, b long")
+    clusters = materialize(connected_components(edges).select(F.col("node").alias("number"), F.col("component").alias("cluster")))
     return clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
 
 
@@ -190,36 +190,37 @@ def similar_sets(sets: list[np.ndarray], others: list[np.ndarray], threshold: fl
 
 def _verify(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float, width: int, id: str, text: str) -> DataFrame:
     """Links between the classes of each cluster."""
-    wanted = clusters.join(classes.select("key", "copies", "rep"), "key").select("key", "cluster", "size", "copies", "rep.id", "rep.hash")
+    wanted = clusters.join(classes.select("number", "key", "copies", "rep"), "number").select("number", "key", "cluster", "size", "copies", "rep.id", "rep.hash")
     texts = _ids(docs, id, text).join(wanted, ["id", "hash"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in row_blocks(batch):
-                columns = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "text"]
+                kept = ["number", "cluster", "size", "copies"]
+                columns = [part.column(part.schema.get_field_index(n)) for n in kept]
                 sets = shingle_sets(raw, width)
-                whole = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cluster", "size", "copies", "shingles"])
+                whole = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "shingles"])
                 # another row may have the id and hash of this class, but not its set
-                yield whole.filter(pa.array([k == set_key(s) for k, s in zip(part.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
+                yield whole.filter(pa.array([k == set_key(s) for k, s in zip(part.column(part.schema.get_field_index("key")).to_pylist(), sets, strict=True)], pa.bool_()))
 
-    sets = texts.select("key", "cluster", "size", "copies", "text").mapInArrow(sets_of, "key binary, cluster binary, size long, copies long, shingles binary")
+    sets = texts.select("number", "key", "cluster", "size", "copies", "text").mapInArrow(sets_of, "number long, cluster long, size long, copies long, shingles binary")
 
     def compare(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_pylist()
-        first = np.sort(np.unique(np.array([k.hex() for k in keys]), return_index=True)[1])  # repeated rows of a representative
+        first = np.sort(np.unique(table["number"].to_numpy(), return_index=True)[1])  # repeated rows of a representative
         table = table.take(first)
-        keys, tile = table["key"].to_pylist(), table["tile"].to_numpy()
+        keys, tile = table["number"].to_pylist(), table["tile"].to_numpy()
         left, right = table["left"][0].as_py(), table["right"][0].as_py()
         sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
         adjacent = similar_sets([s for s, t in zip(sets, tile, strict=True) if t == left], [s for s, t in zip(sets, tile, strict=True) if t == right], threshold)
         return found_rows(keys, table["copies"].to_numpy(), tile, left, right, adjacent)
 
-    cut = in_tile_pairs(sets, "size", "key", SET_TILE)
+    cut = in_tile_pairs(sets, "size", "number", SET_TILE)
     return cut.groupBy("cluster", "left", "right").applyInArrow(compare, FOUND)
 
 
 def one_of_each(docs: DataFrame, linked: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that ``link_texts`` keeps: one of each class, and all that link with nothing."""
     kept = linked.filter("kept").select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    # the columns of the documents travel in one struct, so none can clash with the names used here
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.struct("*").alias("_row"))
+    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import materialize
-from gasflow.llm.links import FOUND, found_rows, joined_up, wide_hash
+from gasflow.llm.links import FOUND, found_rows, joined_up, numbered, wide_hash
 
 THRESHOLD = 0.93
 TILE_ROWS = 1024
@@ -68,18 +68,18 @@ def link_vectors(
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one number
     rows = rows.withColumn("key", F.when(usable, wide_hash("label", F.transform("v", lambda x: x + 0.0))))
-    classes = materialize(
+    classes = numbered(
         rows.filter("key is not null").groupBy("key", "label").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v"))
     )
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     scaled = classes.withColumn("v", F.transform("v", lambda x: x / top))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    units = scaled.select("key", "label", "copies", F.transform("v", lambda x: x / norm).alias("unit"), F.size("v").alias("dims"))
+    units = scaled.select(F.col("number").alias("key"), "label", "copies", F.transform("v", lambda x: x / norm).alias("unit"), F.size("v").alias("dims"))
     bases = {r.dims: _basis(units, r.dims) for r in units.select("dims").distinct().collect()}
     tiles = materialize(_cut(units, bases, tile_rows))
     found = _compare(tiles, threshold)
-    results = joined_up(classes.select("key", "first_id", "copies"), found)
-    return rows.select("id", "key").join(results, "key", "left").select(
+    results = joined_up(classes.select(F.col("number").alias("key"), F.col("key").alias("wide"), "first_id", "copies"), found)
+    return rows.select("id", F.col("key").alias("wide")).join(results, "wide", "left").select(
         F.col("id").alias(id),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_id", "id").alias("component_id"),
@@ -101,7 +101,7 @@ def _cut(units: DataFrame, bases: dict[int, np.ndarray], tile_rows: int) -> Data
                 names=["key", "label", "copies", "dims", "first", "unit"],
             )
 
-    turned = units.mapInArrow(turn, f"key binary, label {label}, copies long, dims int, first double, unit binary")
+    turned = units.mapInArrow(turn, f"key long, label {label}, copies long, dims int, first double, unit binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = turned.repartitionByRange(parts, "label", "dims", "first", "key").sortWithinPartitions("label", "dims", "first", "key")
 
@@ -116,7 +116,7 @@ def _cut(units: DataFrame, bases: dict[int, np.ndarray], tile_rows: int) -> Data
                 numbers.append(tile)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "tile"])
 
-    return in_order.mapInArrow(cut, f"key binary, label {label}, copies long, dims int, first double, unit binary, tile long")
+    return in_order.mapInArrow(cut, f"key long, label {label}, copies long, dims int, first double, unit binary, tile long")
 
 
 def _compare(tiles: DataFrame, threshold: float) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gasflow.functions.sizing import materialize
 from gasflow.llm.blocks import TOKEN_BYTES, Words, row_blocks, sums_by_text
@@ -196,19 +197,22 @@ def train(
     return Model(part, grams, contexts, total, distinct, grams.filter("k = 0").count()), tokens
 
 
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score(docs: DataFrame, model: Model, tokens: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document with the columns ``keep`` and
 
     ``n_tokens``, ``n_known`` (tokens that occur in training), ``train_tokens``, ``base_score`` (log10 probability under
     the smoothed unigram model) and ``score`` (log10 probability of the text and its end under the context tree).
 
-    Texts are read whole; a null text is empty. Repeated rows are scored each for itself, a null id stays null. Tokens
+    Names in ``keep`` that results bear are left out. Texts are read whole; a null text is empty. Repeated rows are scored each for itself, a null id stays null. Tokens
     and grams too rare to be shipped, and those not in training, are looked up by a join on the distinct ones of each text.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model.shipped)
-    frame = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text")
+    kept = [c for c in keep if c not in RESULTS] or [F.lit(None).alias("_nothing")]
+    frame = docs.select(F.struct(*kept).alias("_kept"), F.col(text).cast("string").alias("_text"))
     extra = ["_row", "n_tokens", "n_known", "base", "bits", "rare", "times", "grams", "gram_times"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ def score(docs: DataFrame, model: Model, tokens: DataFrame, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], *extra])
 
     types = "_row long, n_tokens long, n_known long, base double, bits double, rare array<long>, times array<long>, grams array<long>, gram_times array<long>"
-    table = materialize(frame.mapInArrow(scored, f"{own}, {types}" if own else types))
+    table = materialize(frame.mapInArrow(scored, T.StructType([frame.schema["_kept"], *T.StructType.fromDDL(types).fields])))
 
     def apart(keys: str, times: str) -> DataFrame:
         each = table.select("_row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t"))
@@ -254,7 +258,7 @@ def score(docs: DataFrame, model: Model, tokens: DataFrame, text: str = "text",
     end_count = tokens.filter(F.col("key") == int(END_TOKEN)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = float(np.log10(model.total + ALPHA * (model.distinct + 1)))
     return table.drop("rare", "times", "grams", "gram_times").join(rest, "_row", "left").select(
-        *keep,
+        *(F.col("_kept")[c].alias(c) for c in kept if isinstance(c, str)),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if end_count else 0)).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),

@@ -63,3 +63,10 @@ def test_other_columns_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x")], "doc_id long, text string, n_words int, extra string")
     row = d.find_items(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).select("extra", "n_words", F.size("hit_words")).first()
     assert tuple(row) == ("x", 3, 2)
+
+
+def test_items_named_by_strings(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x"), (2, None, "y")], "doc_id long, text string, items string")
+    items = spark.createDataFrame([("q/2", "b c"), ("q/10", "d"), (None, "a")], "item_id string, text string")
+    got = d.find_items(docs, items).orderBy("doc_id").collect()
+    assert (got[0]["items"], got[0].hit_words, got[1]["items"]) == (["q/10", "q/2"], [0, 1, 2, 3], [])

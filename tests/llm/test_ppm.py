@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gasflow.llm import language, scoring
 from gasflow.llm.blocks import TOKEN_BYTES, WORD_BYTES, Words
@@ -205,3 +206,16 @@ def test_bits_by_tree_are_those_of_each_tree():
     texts = [b"ab", b"", b"xyzab" * 20, b"\xc3\xa9"]
     assert (bits_by_tree(trees, texts) == np.stack([text_bits(t, texts) for t in trees], 1)).all()
     assert bits_by_tree(trees, []).shape == (0, 2)
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "the cat sat", 7, "p"), (2, None, 8, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, has_letter int, bits string")
+    trees = language.fit(docs.withColumn("lang", F.lit("en")))
+    got = language.identify(docs, trees).orderBy("doc_id").collect()
+    assert [(r.has_letter, r.bits, r.lang_pred) for r in got] == [(7, "p", "en"), (8, "q", "und")]
+    model, tokens = scoring.train(docs)
+    kept = ("doc_id", "has_letter", "bits", "base", "score")
+    frame = docs.withColumns({"base": F.lit(1), "score": F.lit("mine")})
+    scored = scoring.score(frame, model, tokens, keep=kept).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.has_letter, r.bits, r.base) for r in scored] == [(1, 7, "p", 1), (2, 8, "q", 1)] and scored[0].score < 0
