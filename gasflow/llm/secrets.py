@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Without one of these, in lower case, a text has no assignment and no candidate.
 SENSITIVE = ("passw", "secret", "token", "apikey", "api_key", "api-key", "private", "credential", "bearer", "pwd", "auth")
 CANDIDATE = re.compile(
-    r"""(?<![A-Za-z])(?:passw(?:or)?d|secret|token|api[_-]?key|private[_-]?key|credentials?|bearer|pwd|auth(?:orization)?)(?:[_-][A-Za-z0-9_-]{0,24})?["']?\x20{0,4}(?:[:=]|=>|is|Bearer|Basic)?[\x20:>=]{0,4}["']?(?P<value>[A-Za-z0-9+/_.=~-]{16,})""",
+    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:passw(?:or)?d|secret|token|api[_-]?key|private[_-]?key|credentials?|bearer|pwd|auth(?:orization)?)(?:[_-][A-Za-z0-9_-]{0,64})?["']?\x20{0,4}(?:[:=]|=>|is|Bearer|Basic)?[\x20:>=]{0,4}["']?(?P<value>[A-Za-z0-9+/_.=~-]{16,})""",
     re.I | re.A,
 )
 NEAR = 256

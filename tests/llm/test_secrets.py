@@ -60,3 +60,10 @@ def test_query_against_plain_version(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == plain(docs[r.doc_id])
+
+
+def test_names_in_camel_case_and_long_names():
+    novelty = secrets.Novelty()
+    for text in ("clientCredential = Qz8xV3kLm9Tr2WpY7b", "secret_of_the_billing_service_in_the_old_region: Qz8xV3kLm9Tr2WpY7b"):
+        assert [(text[a:b]) for a, _, b in secrets.novel_spans(text, text.lower(), novelty)] == ["Qz8xV3kLm9Tr2WpY7b"]
+    assert secrets.novel_spans("subtoken Qz8xV3kLm9Tr2WpY7b", "subtoken qz8xv3klm9tr2wpy7b", novelty) == []
