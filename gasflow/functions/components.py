@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from gasflow.functions.sizing import materialize
 
-#: A node with more than one in so many of all neighbours is a hub; there are at most as many hubs.
-HUB_SHARE = 10_000
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for edges ``a, b`` of integers; a component is named by its smallest node.
 
-    Each round is written to the checkpoint folder. The number of rounds grows with the logarithm of
-    the longest path. The neighbours of a hub are not gathered: its minimum goes to where they are.
+    Each step is written to the checkpoint folder. The number of rounds grows with the logarithm of
+    the longest path.
     """
     current = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(current)
     while mark[0]:
-        current = materialize(_small_star(_large_star(current, mark[0]), mark[0]))
+        current = materialize(_small_star(materialize(_large_star(current))))
         following = _mark(current)
         if following == mark:
             break
@@ -35,24 +32,22 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
 
 
-def _with_least(neighbours: DataFrame, edges: int) -> DataFrame:
-    """Rows ``a, b`` with ``m``, the smallest ``b`` of their ``a``. Hubs, at most ``2 * HUB_SHARE`` rows of two
-    numbers, are broadcast; all other nodes are joined, none with more than its share of the rows."""
-    least = neighbours.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("held"))
-    hub = F.col("held") > edges // HUB_SHARE
-    hubs = least.filter(hub).select("a", F.col("m").alias("of_hub"))
-    told = neighbours.join(F.broadcast(hubs), "a", "left")
-    others = told.filter("of_hub is null").select("a", "b").join(least.filter(~hub).select("a", "m"), "a")
-    return told.filter("of_hub is not null").select("a", "b", F.col("of_hub").alias("m")).unionByName(others)
+def _with_least(neighbours: DataFrame) -> DataFrame:
+    """Rows ``a, b`` with ``m``, the smallest ``b`` of their ``a``.
+
+    The minima are written first: then both sides of the join come straight from a shuffle or a file, so that adaptive
+    execution can split the many neighbours of a hub among tasks, or broadcast few minima by their known size.
+    """
+    return neighbours.join(materialize(neighbours.groupBy("a").agg(F.min("b").alias("m"))), "a")
 
 
-def _large_star(edges: DataFrame, count: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link the larger neighbours of each node to its smallest neighbour (or itself)."""
-    both = _with_least(edges.union(edges.select("b", "a")), 2 * count)
+    both = _with_least(edges.union(edges.select("b", "a")))
     return both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, count: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
-    told = _with_least(edges, count)
+    told = _with_least(edges)
     return told.select("a", F.col("m").alias("b")).union(told.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
