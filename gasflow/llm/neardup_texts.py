@@ -1,9 +1,11 @@
 """Similarity join of texts on five-word shingles: MinHash LSH forest, then exact verification.
 
-A signature is laid out in trees; each tree is a trie over the signature's first values, and texts meet where their prefixes
-agree. The prefixes start at full depth and are shortened until a pair at the threshold is met in some tree with the
-target recall. Texts that meet are screened by their sketches and gathered into clusters; inside a cluster every pair is
-verified by the Jaccard similarity of the whole shingle sets.
+A signature is laid out in trees. Each tree is a trie kept as sorted rows: texts of one prefix are neighbours. A text is
+compared with the first one that shares its longest prefix, and while the two differ too much its prefix is shortened,
+down to the depth at which a pair at the threshold meets in some tree with the target recall. Texts that agree by their
+sketches are gathered into clusters, so a dense branch of copies is settled at long prefixes in one walk over its rows; only
+branches that hold several clusters at the last depth are compared row by row, and only between clusters. Inside a cluster
+every pair is verified by the Jaccard similarity of the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from gasflow.llm.links import FOUND, found_rows, in_tile_pairs, joined_up, numbe
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 24
-FULL_DEPTH = 8
+FULL_DEPTH = 6
 RECALL = 0.99999
 #: A pair at the threshold agrees in this share of its sketch, or more, but for one in ninety million.
 SCREEN = 0.55
@@ -33,7 +35,7 @@ NO_ID = -(1 << 63)
 
 
 def prefix_depth(threshold: float, trees: int = TREES, full: int = FULL_DEPTH, recall: float = RECALL) -> int:
-    """Shorten prefixes from ``full`` until a pair at the threshold meets in one of the trees with probability ``recall``."""
+    """The last depth: shorten prefixes from ``full`` until a pair at the threshold meets in one of the trees with probability ``recall``."""
     depth = full
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -82,7 +84,7 @@ def link_texts(
     at most about ``1 - recall``, 3.3e-6 with the parameters given; pairs that share a cluster are all verified.
     """
     rows, classes = _classes(docs, threshold, width, id, text, trees, recall)
-    found = _verify(docs, classes, _clusters(classes, threshold), threshold, width, id, text)
+    found = _verify(docs, classes, _clusters(classes, threshold, trees), threshold, width, id, text)
     results = joined_up(classes.select(F.col("number").alias("key"), F.col("key").alias("wide"), F.col("rep.id").alias("first_id"), "copies"), found)
     named = F.when(F.col("class_id") != NO_ID, F.col("class_id"))
     return rows.select("id", F.col("key").alias("wide"), "hash").join(results, "wide", "left").select(
@@ -100,72 +102,131 @@ def _ids(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame, threshold: float, width: int, id: str, text: str, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their shingle set, and one row per set with its prefixes and sketch."""
+    """Rows with the key of their shingle set, and one row per set with its label in each tree and its sketch.
+
+    A label is the prefix of the last depth as one number, and what each greater depth adds (``longer``, tree by tree).
+    """
     depth = prefix_depth(threshold, trees, recall=recall)
-    seeds = _seeds(trees * depth)
+    seeds = _seeds(trees * FULL_DEPTH)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in row_blocks(batch):
                 sets = shingle_sets(texts, width)
-                keys, sizes, prefixes, sketches = [], [], [], []
+                keys, sizes, prefixes, longer, sketches = [], [], [], [], []
                 for s in sets:
                     keys.append(set_key(s) if len(s) else None)
                     sizes.append(len(s))
-                    sig = signature(s, seeds)
-                    prefixes.append(runs(sig, depth)[::depth].view(np.int64) if len(s) else None)
-                    sketches.append((mixed(sig) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else None)
+                    sig = signature(s, seeds).reshape(trees, FULL_DEPTH)
+                    prefixes.append(runs(sig[:, :depth].ravel(), depth)[::depth].view(np.int64) if len(s) else None)
+                    longer.append((mixed(sig[:, depth:]) >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel() if len(s) else None)
+                    sketches.append((mixed(sig[:, :depth]) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "hash", "key", "shingles", "prefixes", "sketch"],
+                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())]
+                    + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(longer, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                    names=["id", "hash", "key", "shingles", "prefixes", "longer", "sketch"],
                 )
 
-    rows = materialize(_ids(docs, id, text).mapInArrow(sign, "id long, hash long, key binary, shingles int, prefixes array<long>, sketch binary"))
+    rows = materialize(_ids(docs, id, text).mapInArrow(sign, "id long, hash long, key binary, shingles int, prefixes array<long>, longer array<int>, sketch binary"))
     classes = rows.filter("key is not null").groupBy("key").agg(
         F.min(F.struct("id", "hash")).alias("rep"), F.count(F.lit(1)).alias("copies"),
-        *(F.any_value(c).alias(c) for c in ("shingles", "prefixes", "sketch")),
+        *(F.any_value(c).alias(c) for c in ("shingles", "prefixes", "longer", "sketch")),
     )
     return rows, numbered(classes)
 
 
-def _clusters(classes: DataFrame, threshold: float) -> DataFrame:
+def alike(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches, and sizes of the sets, agree as those of a pair at the threshold do; arrays are matched by broadcasting."""
+    close = np.minimum(left_sizes, right_sizes) >= threshold * np.maximum(left_sizes, right_sizes) - 1e-9
+    return close & ((left == right).sum(-1, dtype=np.int32) >= SCREEN * left.shape[-1])
+
+
+def walk_tries(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Walk rows sorted by ``tree, prefix, longer``; link each to the first row of the deepest branch that is alike.
+
+    From batch to batch the first rows of the open branches are carried, one for each depth.
+    """
+    carried: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks()
+        n = table.num_rows
+        longer = np.array(table["longer"].to_pylist(), np.int64).reshape(n, -1)
+        label = np.column_stack([table["tree"].to_numpy(), table["prefix"].to_numpy(), longer]).astype(np.int64)
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, -1)
+        sizes, numbers = table["shingles"].to_numpy(), table["number"].to_numpy()
+        differs = np.ones((n, label.shape[1]), bool)
+        differs[1:] = np.logical_or.accumulate(label[1:] != label[:-1], axis=1)
+        # the first row of each row's branch, by depth; column 0 tells trees apart
+        firsts = np.maximum.accumulate(np.where(differs, np.arange(n)[:, None], 0), axis=0)[:, 1:]
+        met = np.arange(n)
+        for depth in range(firsts.shape[1] - 1, -1, -1):
+            open_rows = np.flatnonzero((met == np.arange(n)) & (firsts[:, depth] != np.arange(n)))
+            to = firsts[open_rows, depth]
+            agree = alike(sketches[open_rows], sketches[to], sizes[open_rows], sizes[to], threshold)
+            met[open_rows[agree]] = to[agree]
+        linked = np.flatnonzero(met != np.arange(n))
+        linked = linked[linked >= n - batch.num_rows]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[linked], pa.int64()), pa.array(numbers[met[linked]], pa.int64())], names=["a", "b"])
+        carried = table.take(np.unique(firsts[-1])).combine_chunks().to_batches()[0]
+
+
+def _clusters(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
     """``number, cluster, size`` of the classes that meet others in a tree and pass the screen."""
-    nodes = classes.select("number", F.posexplode("prefixes").alias("tree", "prefix"))
+    nodes = classes.select("number", "longer", F.posexplode("prefixes").alias("tree", "prefix"))
+    added = (F.size("longer") / trees).cast("int")
+    nodes = nodes.select("number", "tree", "prefix", F.slice("longer", F.col("tree") * added + 1, added).alias("longer"))
     buckets = nodes.groupBy("tree", "prefix").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("number")).alias("mark"), F.sum(F.hash("number").cast("long")).alias("sum")
     )
     # texts that meet in several trees in the same company are compared in one of them
     distinct = buckets.filter("size > 1").groupBy("size", "mark", "sum").agg(F.min(F.struct("tree", "prefix")).alias("b"))
-    wanted = materialize(distinct.select(F.col("b.tree").alias("tree"), F.col("b.prefix").alias("prefix"), "size"))
-    members = nodes.join(wanted, ["tree", "prefix"]).join(classes.select("number", "shingles", "sketch"), "number")
+    wanted = materialize(distinct.select(F.col("b.tree").alias("tree"), F.col("b.prefix").alias("prefix")))
+    members = materialize(nodes.join(wanted, ["tree", "prefix"]).join(classes.select("number", "shingles", "sketch"), "number"))
+
+    order = ["tree", "prefix", "longer", "number"]
+    walked = members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: walk_tries(batches, threshold), "a long, b long")
+    settled = _components(walked).withColumnRenamed("cluster", "walked")
+    told = materialize(members.drop("longer").join(settled, "number", "left").withColumn("walked", F.coalesce("walked", "number")))
+    several = told.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("walked").alias("low"), F.max("walked").alias("high"))
+    unsettled = told.join(several.filter("low <> high").select("tree", "prefix", "size"), ["tree", "prefix"])
 
     def screen(table: pa.Table) -> pa.Table:
         tile = table["tile"].to_numpy()
         left, right = table["left"][0].as_py(), table["right"][0].as_py()
-        sketches = np.stack([np.frombuffer(s, np.uint8) for s in table["sketch"].to_pylist()])
-        sizes = table["shingles"].to_numpy()
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(tile), -1)
+        sizes, walked = table["shingles"].to_numpy(), table["walked"].to_numpy()
         a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
         adjacent = np.zeros((len(a), len(b)), bool)
         step = max(1, (1 << 23) // max(1, sketches.shape[1] * len(b)))
         for at in range(0, len(a), step):
             some = a[at : at + step]
-            agree = (sketches[some][:, None, :] == sketches[b][None, :, :]).sum(2, dtype=np.int32)
-            ratio = np.minimum(sizes[some][:, None], sizes[b][None, :]) >= threshold * np.maximum(sizes[some][:, None], sizes[b][None, :]) - 1e-9
-            adjacent[at : at + step] = ratio & (agree >= SCREEN * sketches.shape[1])
+            others = np.flatnonzero((walked[b][None, :] != walked[some][:, None]).any(0))  # rows of one cluster are verified anyway
+            met = alike(sketches[some][:, None, :], sketches[b[others]][None, :, :], sizes[some][:, None], sizes[b[others]][None, :], threshold)
+            adjacent[at : at + step, others] = met
+        adjacent &= walked[a][:, None] != walked[b][None, :]
         root_a, root_b = stars(adjacent, left == right)
         order = a if left == right else np.concatenate((a, b))
         moved = [(i, order[r]) for i, r in zip(a, root_a, strict=True) if i != order[r]]
         if left != right:
             moved += [(i, order[r]) for i, r in zip(b, root_b, strict=True) if i != order[r]]
-        numbers = table["number"].to_numpy()
-        return pa.table({"a": pa.array([numbers[i] for i, _ in moved], pa.int64()), "b": pa.array([numbers[r] for _, r in moved], pa.int64())})
-
-    cut = in_tile_pairs(members, "size", "number", SKETCH_TILE)
-    edges = cut.groupBy("tree", "prefix", "left", "right").applyInArrow(screen, "a long, b long")
-    clusters = materialize(connected_components(edges).select(F.col("node").alias("number"), F.col("component").alias("cluster")))
+        return pa.table({"a": pa.array([walked[i] for i, _ in moved], pa.int64()), "b": pa.array([walked[r] for _, r in moved], pa.int64())})
+
+    cut = in_tile_pairs(unsettled, "size", "number", SKETCH_TILE)
+    joined = _components(cut.groupBy("tree", "prefix", "left", "right").applyInArrow(screen, "a long, b long")).withColumnRenamed("number", "walked")
+    # a cluster of the walk that the screen joins to others, be it of one class, takes the name of their whole
+    alone = joined.select(F.col("walked").alias("number"), "walked").join(settled, "number", "left_anti")
+    clusters = materialize(
+        settled.unionByName(alone).join(joined, "walked", "left").select("number", F.coalesce("cluster", "walked").alias("cluster"))
+    )
     return clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    return materialize(connected_components(edges).select(F.col("node").alias("number"), F.col("component").alias("cluster")))
+
+
 def similar_sets(sets: list[np.ndarray], others: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of ``threshold`` or more; sets are sorted and distinct."""
     sizes = [np.array([len(s) for s in side]) for side in (sets, others)]

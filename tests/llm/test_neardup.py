@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gasflow.llm import links, neardup_texts as t, neardup_vectors as v
@@ -160,3 +161,42 @@ def test_stars():
         whole[:n, (0 if same else n) :] = a
         want = [r for _, r in closed(size, whole | whole.T)]
         assert [*left, *([] if same else right)] == want
+
+
+def trie_rows(labels, sketches, sizes):
+    return pa.record_batch(
+        {
+            "number": pa.array(range(len(labels)), pa.int64()),
+            "tree": pa.array([x[0] for x in labels], pa.int32()),
+            "prefix": pa.array([x[1] for x in labels], pa.int64()),
+            "longer": pa.array([list(x[2:]) for x in labels], pa.list_(pa.int32())),
+            "shingles": pa.array(sizes, pa.int32()),
+            "sketch": pa.array([s.tobytes() for s in sketches], pa.binary()),
+        }
+    )
+
+
+@pytest.mark.parametrize("batch_rows", [1, 3, 1000])
+def test_walk_links_to_the_deepest_branch_that_is_alike(batch_rows):
+    rng = np.random.default_rng(4)
+    labels = sorted((int(a), int(b), int(c), int(d)) for a, b, c, d in rng.integers(0, 3, (120, 4)))
+    kinds = rng.integers(0, 256, (3, 96)).astype(np.uint8)
+    kind = rng.integers(0, 3, 120)
+    rows = trie_rows(labels, kinds[kind], [10] * 120)
+    want = {}
+    for i, label in enumerate(labels):
+        for depth in (4, 3, 2):
+            first = min(j for j in range(120) if labels[j][:depth] == label[:depth])
+            if first != i and kind[first] == kind[i]:
+                want[i] = first
+                break
+    parts = [rows.slice(at, batch_rows) for at in range(0, 120, batch_rows)]
+    got = [(r["a"], r["b"]) for part in t.walk_tries(iter([rows.slice(0, 0), *parts]), 0.8) for r in part.to_pylist()]
+    assert len(got) == len(set(got)) and dict(got) == want
+    assert list(t.walk_tries(iter([]), 0.8)) == []
+
+
+def test_walk_minds_the_sizes_of_sets():
+    same = np.zeros((2, 96), np.uint8)
+    assert [p.num_rows for p in t.walk_tries(iter([trie_rows([(0, 1)] * 2, same, [10, 20])]), 0.8)] == [0]
+    assert [p.num_rows for p in t.walk_tries(iter([trie_rows([(0, 1)] * 2, same, [10, 11])]), 0.8)] == [1]
