@@ -67,3 +67,34 @@ def test_names_in_camel_case_and_long_names():
     for text in ("clientCredential = Qz8xV3kLm9Tr2WpY7b", "secret_of_the_billing_service_in_the_old_region: Qz8xV3kLm9Tr2WpY7b"):
         assert [(text[a:b]) for a, _, b in secrets.novel_spans(text, text.lower(), novelty)] == ["Qz8xV3kLm9Tr2WpY7b"]
     assert secrets.novel_spans("subtoken Qz8xV3kLm9Tr2WpY7b", "subtoken qz8xv3klm9tr2wpy7b", novelty) == []
+
+
+def test_values_of_letters_only():
+    novelty = secrets.Novelty()
+    values = lambda text: [text[a:b] for a, _, b in secrets.novel_spans(text, text.lower(), novelty)]
+    about = "The service reads its configuration at the start and sends the requests of all users to the nearest region. "
+    for value in ("QwErTyUiOpAsDfGhJkLzXcVb", "qzxvkjwpbymfhgtrcndl"):
+        for sign in ("Authorization: Bearer ", "private_key=", "clientCredential = '", "auth => "):
+            assert values(f"{about}{sign}{value} {about}") == [value]
+            assert values(f"{sign}{value}") == [value]
+        assert values(f"{about} the secret {value} {about}") == []
+        assert values(f"{about}{value} private_key={value}") == []
+    for known in ("auth = get_user_token_value", "pwd: default_password_path", "the bearer internationalization of", "private_key = xxxxxxxxxxxxxxxxxxxxxxxx"):
+        assert values(about + known) == []
+
+
+def test_novel_spans_of_the_query_against_plain_version(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    novelty = secrets.Novelty()
+    for r in QUERIES["op8_secrets"](spark, FOLDER).collect():
+        text = docs[r.doc_id]
+        base = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s and not s.startswith("novel")]
+        want = set()
+        for m in secrets.CANDIDATE.finditer(text):
+            start, end = m.span("value")
+            around = [x.encode() for x in (text[max(0, start - 256) : start], m["value"], text[end : end + 256])]
+            words = not re.search(r"\d", m["value"]) and (m["value"].isalpha() or m["value"] in (m["value"].lower(), m["value"].upper()))
+            judged = novelty.bits(*around) >= 3 and (not words or (m["sign"] and novelty.bits_inside(*around) >= 6.5))
+            if judged and not any(a <= start and end <= b for a, b in base):
+                want.add(f"novel:{start}:{end}")
+        assert {s for s in r.spans.split(",") if s.startswith("novel")} == want
