@@ -2,7 +2,8 @@
 
 A document of n tokens is cut into as many pieces of the longest length as it holds, then into pieces of the
 binary digits of the rest, longest first. Each piece is a sequence of its own length: a sequence never crosses
-documents, no token is padding, and a batch takes its sequences from one bucket of equal lengths.
+documents, no token is padding, and a batch takes its sequences from one bucket of equal lengths. A sequence's number
+names its bucket, the task that filled it, and its place there.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gasflow.llm.blocks import LOWER, Words, row_blocks
@@ -23,6 +24,8 @@ LONGEST = 4096
 END_ID = 2
 #: Stretches that a worker keeps in each of two generations.
 KEPT_WORDS = 200_000
+#: Where the bucket and the task begin in a sequence's number: 2^22 tasks of 2^36 sequences a bucket.
+BUCKET_BITS, PLACE_BITS = 58, 36
 PIECE = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 _SPLIT = np.array([b not in (10, 32) for b in range(256)])
 #: ASCII marks but for the apostrophe, which may open an ending such as 's.
@@ -150,8 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
     """One row per piece: its document, where it starts there, its tokens (little-endian unsigned 32-bit ids,
     binary), the document's number of tokens, and its sequence.
 
-    ``longest`` must be a power of two. ``sequence_id`` counts within a task, so it is unique in one run of a plan
-    and needs no shuffle; ``offset`` is 0, since each piece is a sequence. A null or empty text is the end token
+    ``longest`` must be a power of two. ``sequence_id`` starts with the bucket, the binary logarithm of the length, and counts
+    within a task's share of it: it is unique in one run of a plan and needs no shuffle, and a range of numbers is a
+    run of equal lengths. ``offset`` is 0, since each piece is a sequence. A null or empty text is the end token
     alone; a null id stays null; repeated rows are packed each for itself. Other columns are not read. An empty table
     gives no rows.
     """
@@ -159,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
         raise ValueError("longest must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, made = WordIds(tokenizer), TaskContext.get().partitionId() << 40, 0
+        ids, task = WordIds(tokenizer), TaskContext.get().partitionId()
+        following = {1 << k: (k << BUCKET_BITS) + (task << PLACE_BITS) for k in range(longest.bit_length())}
         for batch in batches:
             for rows, texts in row_blocks(batch, "_text"):
                 out: list[tuple] = []
@@ -167,8 +172,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
                     data = np.append(tokens, np.uint32(end_id)).astype("<u4").tobytes()
                     n, start = len(data) // 4, 0
                     for length in piece_lengths(n, longest):
-                        out.append((doc, start, length, data[4 * start : 4 * (start + length)], n, task + made, 0))
-                        start, made = start + length, made + 1
+                        out.append((doc, start, length, data[4 * start : 4 * (start + length)], n, following[length], 0))
+                        start, following[length] = start + length, following[length] + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
     return docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).mapInArrow(pieces, PIECE)
@@ -178,6 +183,16 @@ _NAMES = [c.split()[0] for c in PIECE.split(", ")]
 _TYPES = [pa.binary() if c.endswith("binary") else pa.int64() for c in PIECE.split(", ")]
 
 
+def bucket_of(sequence_id: str = "sequence_id") -> Column:
+    """The length of the sequences in a sequence's bucket, from its number alone."""
+    return F.expr(f"shiftleft(1L, cast(shiftright({sequence_id}, {BUCKET_BITS}) as int))")
+
+
+def bucket_sizes(pieces: DataFrame) -> DataFrame:
+    """``length, sequences, tokens`` of each bucket, for a loader that draws batches by its budget of tokens."""
+    return pieces.groupBy(bucket_of().alias("length")).agg(F.count(F.lit(1)).alias("sequences"), F.sum("length").alias("tokens"))
+
+
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Write the pieces in one folder per length; a loader draws each batch from one folder."""
     pieces.write.partitionBy("length").parquet(path)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gasflow.llm import packing
-from gasflow.llm.queries import tokenizer_path
+from gasflow.llm.queries import QUERIES, tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
 IDS = packing.WordIds(PATH)
@@ -84,3 +84,31 @@ def test_words_are_forgotten_and_learned_again(monkeypatch):
     ids = packing.WordIds(PATH)
     for text in ("one two three four five six!!", "one seven", "two! eight nine, ten eleven", "one two eight", "", "seven six!! twelve"):
         assert ids.of_texts([text.encode()])[0].tolist() == ids.plain(text).tolist()
+
+
+def test_sequences_are_numbered_by_bucket(spark):
+    pieces = packing.pack(frame(spark, TEXTS * 20).repartition(5), PATH).cache()
+    rows = pieces.withColumn("bucket", packing.bucket_of()).collect()
+    assert all(r.bucket == r.length for r in rows) and all(r.sequence_id >= 0 for r in rows)
+    in_order = [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
+    assert in_order == sorted(in_order)
+    sizes = {r.length: (r.sequences, r.tokens) for r in packing.bucket_sizes(pieces).collect()}
+    assert sizes == {n: (in_order.count(n), n * in_order.count(n)) for n in set(in_order)}
+
+
+def test_query_against_the_tokenizer(spark):
+    folder = "/root/testdata/sf0.001"
+    tokenizer = Tokenizer.from_file(PATH)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op5_pack"](spark, folder).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) and {r.doc_id for r in rows} == set(docs)
+    mine = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        mine.setdefault(r.doc_id, []).append(r)
+    for doc, pieces in mine.items():
+        ids = np.array([*tokenizer.encode(docs[doc] or "", add_special_tokens=False).ids, 2], "<u4")
+        start = 0
+        for r in pieces:
+            assert (r.start, r.ids_crc32, r.doc_tokens, r.offset) == (start, zlib.crc32(ids[start : start + r.length].tobytes()), len(ids), 0)
+            start += r.length
+        assert start == len(ids) and [r.length for r in pieces] == packing.piece_lengths(len(ids))
