@@ -7,7 +7,9 @@ about 2^-64, so operators that must be exact compare the bytes afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,25 @@ def row_blocks(batch: pa.RecordBatch, name: str = "text", limit: int = BLOCK_BYT
         yield batch.slice(first), texts[first:]
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def handing_back(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` on the batches of a task; afterwards its process, which waits for other tasks, hands free memory back."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

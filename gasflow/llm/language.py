@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gasflow.llm.blocks import fresh, row_blocks
+from gasflow.llm.blocks import fresh, handing_back, row_blocks
 from gasflow.llm.ppm import ContextTree, bits_by_tree, counted, grams_of
 
 ORDER = 4
@@ -96,7 +96,7 @@ def identify(docs: DataFrame, trees: dict[str, ContextTree], text: str = "text")
                     names=[*(f for _, f in kept), "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return frame.mapInArrow(score, schema)
+    return frame.mapInArrow(handing_back(score), schema)
 
 
 def recognised(identified: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gasflow.functions.components import connected_components
 from gasflow.functions.sizing import materialize
-from gasflow.llm.blocks import WORD_BYTES, Words, mixed, row_blocks, runs
+from gasflow.llm.blocks import WORD_BYTES, Words, handing_back, mixed, row_blocks, runs
 from gasflow.llm.links import FOUND, found_rows, in_tile_pairs, joined_up, numbered, stars
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, id: str, text: str,
                     names=["id", "hash", "key", "shingles", "prefixes", "longer", "sketch"],
                 )
 
-    rows = materialize(_ids(docs, id, text).mapInArrow(sign, "id long, hash long, key binary, shingles int, prefixes array<long>, longer array<int>, sketch binary"))
+    rows = materialize(_ids(docs, id, text).mapInArrow(handing_back(sign), "id long, hash long, key binary, shingles int, prefixes array<long>, longer array<int>, sketch binary"))
     classes = rows.filter("key is not null").groupBy("key").agg(
         F.min(F.struct("id", "hash")).alias("rep"), F.count(F.lit(1)).alias("copies"),
         *(F.any_value(c).alias(c) for c in ("shingles", "prefixes", "longer", "sketch")),
@@ -264,7 +264,7 @@ def _verify(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold:
                 # another row may have the id and hash of this class, but not its set
                 yield whole.filter(pa.array([k == set_key(s) for k, s in zip(part.column(part.schema.get_field_index("key")).to_pylist(), sets, strict=True)], pa.bool_()))
 
-    sets = texts.select("number", "key", "cluster", "size", "copies", "text").mapInArrow(sets_of, "number long, cluster long, size long, copies long, shingles binary")
+    sets = texts.select("number", "key", "cluster", "size", "copies", "text").mapInArrow(handing_back(sets_of), "number long, cluster long, size long, copies long, shingles binary")
 
     def compare(table: pa.Table) -> pa.Table:
         first = np.sort(np.unique(table["number"].to_numpy(), return_index=True)[1])  # repeated rows of a representative

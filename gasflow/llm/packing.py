@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gasflow.llm.blocks import LOWER, Words, row_blocks
+from gasflow.llm.blocks import LOWER, Words, handing_back, row_blocks
 
 LONGEST = 4096
 END_ID = 2
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
                         start, following[length] = start + length, following[length] + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).mapInArrow(pieces, PIECE)
+    return docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).mapInArrow(handing_back(pieces), PIECE)
 
 
 _NAMES = [c.split()[0] for c in PIECE.split(", ")]

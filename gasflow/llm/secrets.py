@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gasflow.llm.blocks import row_blocks
+from gasflow.llm.blocks import handing_back, row_blocks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -117,7 +117,7 @@ def find_secrets(docs: DataFrame, text: str = "text", least_bits: float = LEAST_
                     found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + new)])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, kind)], names=[*rows.schema.names, "secrets"])
 
-    return frame.mapInArrow(scan, schema)
+    return frame.mapInArrow(handing_back(scan), schema)
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
