@@ -33,7 +33,7 @@ NEAR = 256
 #: Compressed bits a character that a candidate must add to be reported.
 LEAST_BITS = 3.0
 #: The same for one without digits or marks, measured inside its surroundings. Of random lower-case strings nine in ten add more,
-#: of strings of both cases nearly all; three in four long words add less.
+#: of strings of both cases nearly all; of long words half add less than 5, one in ten more than 7.5 (100 of each, in texts of sf0.01).
 LEAST_BITS_OF_LETTERS = 6.5
 IDENTIFIERS = " ".join(
     f"{a}{b}{c}"
