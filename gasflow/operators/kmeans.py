@@ -1,31 +1,32 @@
 """K-means over a range of k, chosen by silhouette.
 
-Fitting every k and restart by itself would read the table hundreds of times. Restarts compete on a
-bounded hash sample instead, one task per candidate; the best start of each k is then refined on the
-whole table, and one pass over the table advances all k at once.
+Every restart of every k is fitted on all rows, and one pass over the table advances all of them at once.
+Equal points are counted once and lie along a Z-shaped curve, so neighbours are read together: a short piece
+of the curve whose bounding box lies on one side of all borders between clusters adds its totals, and only
+points of other pieces are compared with the centres. Starts come from a few rounds that draw rows of all
+the table by their distance from those drawn before, for all restarts in one pass each.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import text_columns
-from gasflow.functions.sizing import materialize, spread_out
+from gasflow.functions.sizing import materialize
 
 MAX_K = 10
 RESTARTS = 10
-SAMPLE = 4096
 TOLERANCE = 1e-4
-MAX_PASSES = 100
-_HASH_RANGE = 2**31
+DRAWING_ROUNDS = 5
+PIECE = 128
+_KEY_BITS = 60
 
 
 def kmeans_best(
@@ -41,32 +42,29 @@ def kmeans_best(
     ``features`` comes from ``scale_features`` with the row id kept. By default k runs from 2 to 10,
     or to half the number of rows if that is less.
     """
-    names = [c for c in (columns or features.columns) if c != id]
-    rows = materialize(spread_out(features.select(id, *names)))
-    total = rows.count()
-    tried = list(ks or range(2, min(MAX_K, total // 2) + 1))
-    if not tried:
-        raise ValueError(f"{total} rows are too few to cluster")
-    centers = _starts(rows, id, names, tried, restarts, seed, total)
-    open_models = set(tried)
-    for _ in range(MAX_PASSES):
-        sums = _pass(rows, names, {k: centers[k] for k in sorted(open_models)})
-        for k in list(open_models):
-            moved = _means(sums[k], centers[k])
-            shift = float(((moved - centers[k]) ** 2).sum())
-            centers[k] = moved
+    used = [c for c in (columns or features.columns) if c != id]
+    names = [f"x{i}" for i in range(len(used))]
+    points = _points(features.select(*[F.col(c).cast("double").alias(n) for c, n in zip(used, names)]), names)
+    size = points.agg(F.sum("weight").alias("rows")).first()["rows"] or 0
+    tried = list(ks or range(2, min(MAX_K, int(size) // 2) + 1))
+    if not tried or not size:
+        raise ValueError(f"{int(size)} rows are too few to cluster")
+    centers = _starts(points, names, tried, restarts, seed)
+    moving = set(centers)
+    while moving:  # each round that moves centres by more than the tolerance lowers the cost by a fixed share of it
+        sums = _pass(points, names, {model: centers[model] for model in sorted(moving)})
+        for model in list(moving):
+            moved = _means(sums[model], centers[model])
+            shift = float(((moved - centers[model]) ** 2).sum())
+            centers[model] = moved
             if shift <= TOLERANCE:
-                open_models.discard(k)
-        if not open_models:
-            break
-    else:
-        warnings.warn(f"no convergence within {MAX_PASSES} passes for k = {sorted(open_models)}", RuntimeWarning, stacklevel=2)
-    final = _pass(rows, names, centers)
-    silhouettes = _silhouettes(rows, names, centers, final)
+                moving.discard(model)
+    final = _pass(points, names, centers)
+    inertia = {model: _cost(final[model], centers[model]) for model in centers}
+    won = {k: min((m for m in centers if m[0] == k), key=lambda m: (inertia[m], m)) for k in tried}
+    silhouettes = _silhouettes(points, names, {k: centers[m] for k, m in won.items()}, {k: final[m] for k, m in won.items()})
     best = max(tried, key=lambda k: (silhouettes[k], -k))
-    found = [
-        (k, float(final[k]["cost"].sum()), silhouettes[k], k == best, centers[k].tolist()) for k in tried
-    ]
+    found = [(k, inertia[won[k]], silhouettes[k], k == best, centers[won[k]].tolist()) for k in tried]
     return features.sparkSession.createDataFrame(
         found, "k int, inertia double, silhouette double, is_best boolean, centers array<array<double>>"
     )
@@ -119,48 +117,106 @@ def cluster_profile(
     )
 
 
-def _hash_share(rows: DataFrame, id: str, seed: int, share: float) -> DataFrame:
-    drawn = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
-    return rows.filter(drawn) if share < 1.0 else rows
+def _points(features: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct points along the curve: the features, ``weight`` (rows) and ``draw`` (a hash of the point)."""
+    spark = features.sparkSession
+    counted = materialize(
+        features.groupBy(*names)
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .withColumn("draw", F.xxhash64(*names))
+    )
+    ends = counted.agg(F.struct(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in names])).scalar()
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    along = counted.withColumn("curve", _curve(names, ends)).repartitionByRange(spread, "curve", *names)
+    return materialize(along.sortWithinPartitions("curve", *names).drop("curve"))
+
+
+def _curve(names: list[str], ends: Column) -> Column:
+    """The bits of the cell numbers of a point in all features, interleaved; features beyond the sixtieth have no bit."""
+    used = names[:_KEY_BITS]
+    bits = _KEY_BITS // len(used)
+    key = F.lit(0).cast("long")
+    for place, name in enumerate(used):
+        end = ends.getField(name)
+        part = F.coalesce(F.try_divide(F.col(name) - end["low"], end["high"] - end["low"]), F.lit(0.0))
+        cell = F.floor(part * float(2**bits - 1)).cast("long")
+        for bit in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(used) + place))
+    return key
 
 
 def _starts(
-    rows: DataFrame, id: str, names: list[str], ks: Sequence[int], restarts: int, seed: int, total: int
+    points: DataFrame, names: list[str], ks: Sequence[int], restarts: int, seed: int
+) -> dict[tuple[int, int], np.ndarray]:
+    """Centres to begin with for each ``(k, restart)``.
+
+    A round draws twice the largest k of points per restart, each with a chance that grows with its rows and its squared
+    distance from those drawn before. All drawn points, weighted by the rows nearest to each, are then clustered here
+    for every k and restart; their number depends on the parameters only.
+    """
+    drawn = {r: np.empty((0, len(names))) for r in range(restarts)}
+    for turn in range(DRAWING_ROUNDS + 1):
+        more = _draw(points, names, drawn, 2 * max(ks) if turn else 1, seed, turn)
+        drawn = {r: np.concatenate([drawn[r], more[r]]) if r in more else drawn[r] for r in drawn}
+    found = np.unique(np.concatenate(list(drawn.values())), axis=0)
+    weight = _pass(points, names, {(0, 0): found})[0, 0]["n"].to_numpy()
+    return {(k, r): _thin(found, weight, k, np.random.default_rng([seed, k, r])) for k in ks for r in range(restarts)}
+
+
+def _draw(
+    points: DataFrame, names: list[str], drawn: dict[int, np.ndarray], size: int, seed: int, turn: int
 ) -> dict[int, np.ndarray]:
-    """The best of ``restarts`` fits per k on a sample of about ``SAMPLE`` rows."""
-    sample = _hash_share(rows, id, seed, min(1.0, SAMPLE / max(total, 1)))
-    trials = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("trial")) for k in ks for r in range(restarts)])
-    copies = sample.select(F.inline(trials), F.col(id).alias("_id"), *names)
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        k, trial = int(part["k"].iloc[0]), int(part["trial"].iloc[0])
-        points = part.sort_values("_id")[names].to_numpy(dtype=float)
-        found, cost = _fit(points, k, np.random.default_rng([seed, k, trial]))
-        return pd.DataFrame({"k": [k], "trial": [trial], "cost": [cost], "centers": [found.ravel().tolist()]})
-
-    fits = copies.groupBy("k", "trial").applyInPandas(fit, "k int, trial int, cost double, centers array<double>")
-    best = fits.groupBy("k").agg(F.min(F.struct("cost", "trial", "centers")).alias("best")).select("k", "best.centers")
-    return {row["k"]: np.array(row["centers"]).reshape(row["k"], len(names)) for row in best.collect()}
-
-
-def _fit(points: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """k-means++ start and Lloyd rounds on the points of a sample."""
-    centers = [points[rng.integers(len(points))]]
-    nearest = ((points - centers[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        weight = nearest.sum()
-        pick = rng.choice(len(points), p=nearest / weight) if weight > 0 else rng.integers(len(points))
-        centers.append(points[pick])
-        nearest = np.minimum(nearest, ((points - points[pick]) ** 2).sum(axis=1))
-    found = np.array(centers)
-    for _ in range(MAX_PASSES):
-        label = _distances(points, found).argmin(axis=1)
-        moved = np.array([points[label == c].mean(axis=0) if (label == c).any() else found[c] for c in range(k)])
-        shift = ((moved - found) ** 2).sum()
-        found = moved
-        if shift <= TOLERANCE:
-            break
-    return found, float(_distances(points, found).min(axis=1).sum())
+    """For each restart the ``size`` points whose exponential clocks, as fast as weight times squared distance, ring first."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch[names].to_numpy(dtype=float)
+            weight = batch["weight"].to_numpy()
+            parts = []
+            for r, found in drawn.items():
+                speed = weight * _distances(at, found).min(axis=1) if len(found) else weight
+                salt = np.random.SeedSequence([seed, turn, r]).generate_state(1, np.uint64)[0]
+                with np.errstate(divide="ignore"):
+                    rings = -np.log(_even(batch["draw"].to_numpy(), salt)) / speed
+                early = np.argsort(rings, kind="stable")[:size]
+                early = early[np.isfinite(rings[early])]
+                parts.append(pd.DataFrame(at[early], columns=names).assign(restart=r, rings=rings[early]))
+            yield pd.concat(parts)
+
+    schema = ", ".join([*[f"{n} double" for n in names], "restart int", "rings double"])
+    order = Window.partitionBy("restart").orderBy("rings", *names)
+    rung = points.mapInPandas(first, schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    found = rung.toPandas().sort_values(["restart", "place"])
+    return {int(r): part[names].to_numpy(dtype=float) for r, part in found.groupby("restart")}
+
+
+def _even(draw: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Numbers spread evenly over (0, 1) that depend on the point and the salt only."""
+    mixed = draw.astype(np.int64).view(np.uint64) ^ salt
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: a well-known 64-bit mixer
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    return ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _thin(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres of the drawn points: taken by weight and squared distance from those taken before, then moved until they rest."""
+    taken: list[np.ndarray] = []
+    chance = weight
+    for _ in range(k):
+        total = chance.sum()
+        pick = rng.choice(len(points), p=chance / total) if total > 0 else rng.integers(len(points))
+        taken.append(points[pick])
+        chance = weight * _distances(points, np.array(taken)).min(axis=1)
+    centers, shift = np.array(taken), np.inf
+    measures = np.column_stack([weight, weight[:, None] * points])
+    while shift > TOLERANCE:
+        sums = np.zeros((k, measures.shape[1]))
+        _add(sums, _distances(points, centers).argmin(axis=1), measures)
+        moved = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1.0), centers)
+        shift = float(((moved - centers) ** 2).sum())
+        centers = moved
+    return centers
 
 
 def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -168,73 +224,104 @@ def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum(squares, 0.0)
 
 
-def _pass(rows: DataFrame, names: list[str], centers: dict[int, np.ndarray]) -> dict[int, pd.DataFrame]:
-    """Count, sums, squared norms and cost of every cluster of every model, in one pass over the rows."""
-    fields = ["n", "norm", "cost", *[f"s{i}" for i in range(len(names))]]
+def _pass(
+    points: DataFrame, names: list[str], centers: dict[tuple[int, int], np.ndarray]
+) -> dict[tuple[int, int], pd.DataFrame]:
+    """Rows, squared norms and sums of every cluster of every model, in one pass over the points."""
+    models = list(centers)
+    fields = ["n", "norm", *[f"s{i}" for i in range(len(names))]]
+    model_of = np.repeat(np.arange(len(models)), [len(centers[m]) for m in models])
+    cluster_of = np.concatenate([np.arange(len(centers[m])) for m in models])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {k: np.zeros((len(c), len(fields))) for k, c in centers.items()}
+        held = [np.zeros((len(centers[m]), len(fields))) for m in models]
         for batch in batches:
-            points = batch.to_numpy(dtype=float)
-            measures = np.column_stack([np.ones(len(points)), (points**2).sum(axis=1), np.zeros(len(points)), points])
-            for k, c in centers.items():
-                distance = _distances(points, c)
-                label = distance.argmin(axis=1)
-                measures[:, 2] = distance[np.arange(len(points)), label]
-                for j in range(len(fields)):
-                    held[k][:, j] += np.bincount(label, measures[:, j], minlength=len(c))
-        for k, sums in held.items():
-            out = pd.DataFrame(sums, columns=fields)
-            yield out.assign(k=k, cluster=range(len(out)))[["k", "cluster", *fields]]
+            at, weight = batch[names].to_numpy(dtype=float), batch["weight"].to_numpy()
+            measures = np.column_stack([weight, weight * (at**2).sum(axis=1), weight[:, None] * at])
+            cuts = np.arange(0, len(at), PIECE)
+            if not len(cuts):
+                continue
+            low, high = np.minimum.reduceat(at, cuts), np.maximum.reduceat(at, cuts)
+            totals = np.add.reduceat(measures, cuts)
+            for sums, m in zip(held, models):
+                own, whole = _owners((low + high) / 2, (high - low) / 2, centers[m])
+                _add(sums, own[whole], totals[whole])
+                apart = np.repeat(~whole, PIECE)[: len(at)]
+                _add(sums, _distances(at[apart], centers[m]).argmin(axis=1), measures[apart])
+        out = pd.DataFrame(np.concatenate(held), columns=fields)
+        yield out.assign(model=model_of, cluster=cluster_of)[["model", "cluster", *fields]]
+
+    schema = "model int, cluster int, " + ", ".join(f"{f} double" for f in fields)
+    parts = points.mapInPandas(partial, schema)
+    found = parts.groupBy("model", "cluster").agg(*[F.sum(f).alias(f) for f in fields]).toPandas()
+    found = found.sort_values(["model", "cluster"])
+    return {models[n]: part for n, part in found.groupby("model")}
+
+
+def _owners(middle: np.ndarray, half: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre nearest to the middle of each box, and whether it is the nearest to every point of the box.
+
+    The lead of a centre over another is linear in the point, so it is least in a corner of the box.
+    """
+    square = _distances(middle, centers)
+    row = np.arange(len(middle))
+    own = square.argmin(axis=1)
+    between = np.abs(centers[:, None, :] - centers[None, :, :])
+    lead = square - square[row, own][:, None] - 2.0 * np.einsum("bd,bkd->bk", half, between[own])
+    lead[row, own] = np.inf
+    scale = (middle**2).sum(axis=1) + (half**2).sum(axis=1) + (centers**2).sum(axis=1).max()
+    return own, lead.min(axis=1) > 1e-12 * scale  # ties and near ties are left to the points
+
+
+def _add(sums: np.ndarray, label: np.ndarray, measures: np.ndarray) -> None:
+    for j in range(sums.shape[1]):
+        sums[:, j] += np.bincount(label, measures[:, j], minlength=len(sums))
+
+
+def _cost(sums: pd.DataFrame, centers: np.ndarray) -> float:
+    """Sum of squared distances from the centres, out of the sums of the clusters."""
+    n, norm, total = _stats(sums, centers.shape[1])
+    return max(float((norm - 2.0 * (total * centers).sum(axis=1) + n * (centers**2).sum(axis=1)).sum()), 0.0)
+
 
-    schema = "k int, cluster int, " + ", ".join(f"{f} double" for f in fields)
-    sums = rows.select(*names).mapInPandas(partial, schema).groupBy("k", "cluster").agg(*[F.sum(f).alias(f) for f in fields])
-    found = sums.toPandas()
-    return {k: part.sort_values("cluster").reset_index(drop=True) for k, part in found.groupby("k")}
+def _stats(sums: pd.DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return sums["n"].to_numpy(), sums["norm"].to_numpy(), sums[[f"s{i}" for i in range(d)]].to_numpy()
 
 
 def _means(sums: pd.DataFrame, centers: np.ndarray) -> np.ndarray:
     """New centres; an empty cluster keeps its own."""
-    n = sums["n"].to_numpy()[:, None]
-    totals = sums[[f"s{i}" for i in range(centers.shape[1])]].to_numpy()
-    return np.where(n > 0, totals / np.maximum(n, 1.0), centers)
+    n, _, total = _stats(sums, centers.shape[1])
+    return np.where(n[:, None] > 0, total / np.maximum(n, 1.0)[:, None], centers)
 
 
 def _silhouettes(
-    rows: DataFrame, names: list[str], centers: dict[int, np.ndarray], sums: dict[int, pd.DataFrame]
+    points: DataFrame, names: list[str], centers: dict[int, np.ndarray], sums: dict[int, pd.DataFrame]
 ) -> dict[int, float]:
     """Mean silhouette of each model with squared distances, from its cluster sums."""
-    stats = {
-        k: (
-            s["n"].to_numpy(),
-            s["norm"].to_numpy(),
-            s[[f"s{i}" for i in range(len(names))]].to_numpy(),
-        )
-        for k, s in sums.items()
-    }
+    stats = {k: _stats(s, len(names)) for k, s in sums.items()}
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = dict.fromkeys(centers, 0.0)
-        seen = 0
+        seen = 0.0
         for batch in batches:
-            points = batch.to_numpy(dtype=float)
-            seen += len(points)
-            norms = (points**2).sum(axis=1)
-            row = np.arange(len(points))
+            at, weight = batch[names].to_numpy(dtype=float), batch["weight"].to_numpy()
+            seen += float(weight.sum())
+            norms = (at**2).sum(axis=1)
+            row = np.arange(len(at))
             for k, c in centers.items():
                 n, norm, total = stats[k]
-                label = _distances(points, c).argmin(axis=1)
+                label = _distances(at, c).argmin(axis=1)
                 filled = np.maximum(n, 1.0)
-                mean = norms[:, None] + (norm / filled)[None, :] - 2.0 * points @ (total / filled[:, None]).T
+                mean = norms[:, None] + (norm / filled)[None, :] - 2.0 * at @ (total / filled[:, None]).T
                 mean[:, n == 0] = np.inf
                 own = np.maximum(mean[row, label], 0.0) * n[label] / np.maximum(n[label] - 1, 1.0)
                 mean[row, label] = np.inf
                 other = mean.min(axis=1)
                 larger = np.maximum(own, other)
                 valid = (n[label] > 1) & np.isfinite(other) & (larger > 0)
-                held[k] += float(((other - own)[valid] / larger[valid]).sum())
+                held[k] += float((weight[valid] * (other - own)[valid] / larger[valid]).sum())
         yield pd.DataFrame({"k": list(held), "total": list(held.values()), "n": seen})
 
-    parts = rows.select(*names).mapInPandas(partial, "k int, total double, n long")
+    parts = points.mapInPandas(partial, "k int, total double, n double")
     found = parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("silhouette")).collect()
     return {row["k"]: row["silhouette"] for row in found}

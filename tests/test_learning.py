@@ -64,6 +64,39 @@ def test_kmeans(spark):
     assert again.filter("is_best").first()["k"] == 3
 
 
+def test_kmeans_meets_every_row(spark):
+    """Three rows far from thousands of others, many of them equal, are clusters of their own; figures equal those of all rows."""
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(0, 1, (3000, 3)).round(1), np.zeros((3000, 3)), [[900, 0, 0], [0, 900, 0], [0, 0, 900.0]]])
+    table = spark.createDataFrame(
+        [(i, *map(float, p)) for i, p in enumerate(rng.permutation(points))], ["id", "weight", "draw", "z"]
+    )
+    models = {m["k"]: m for m in kmeans.kmeans_best(table, "id", ks=[3, 4], restarts=2).collect()}
+    best = models[4]
+    assert best["is_best"] and not models[3]["is_best"]
+    centers = np.array(best["centers"])
+    near = ((points[:, None, :] - centers[None]) ** 2).sum(-1)
+    label = near.argmin(1)
+    assert sorted(np.bincount(label)) == [1, 1, 1, 6000]
+    assert abs(best["inertia"] - near.min(1).sum()) < 1e-6 * best["inertia"]
+    means = np.array([points[label == c].mean(axis=0) for c in range(4)])
+    assert np.abs(means - centers).max() < 0.01
+
+
+@pytest.mark.parametrize("d", [1, 2, 5])
+def test_kmeans_boxes(d):
+    """A box is settled only if all its points have the same nearest centre."""
+    rng = np.random.default_rng(d)
+    centers = rng.normal(0, 1, (6, d))
+    middle, half = rng.normal(0, 1.5, (400, d)), rng.uniform(0, 0.3, (400, d))
+    own, whole = kmeans._owners(middle, half, centers)
+    assert 20 < whole.sum() < 400
+    for _ in range(50):
+        inside = middle + half * rng.choice([-1.0, -0.5, 0.0, 1.0], (400, d))
+        nearest = ((inside[:, None, :] - centers[None]) ** 2).sum(-1).argmin(1)
+        assert (nearest == own)[whole].all()
+
+
 def test_forest(spark):
     rng = np.random.default_rng(42)
     values = rng.normal(1000, 200, 1000)
