@@ -914,17 +914,39 @@ def _(spark, folder):
     return kmeans.kmeans_best(_features(spark, folder), "obs_id")
 
 
-@query("kmeans_labels")
+_SCALED = "scaled AS (SELECT obs_id, " + ", ".join(
+    f"({c} - AVG({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(FEATURES)
+) + " FROM complete)"
+_CENTERS = [[-1.0, -0.9, 0.1], [1.1, -0.8, -0.7], [0.3, 1.0, -0.6], [-0.4, 0.7, 1.2]]
+
+
+def _square_sql(center):
+    return " + ".join(f"(x{i} - {c}) * (x{i} - {c})" for i, c in enumerate(center))
+
+
+@query(
+    "kmeans_labels",
+    f"WITH {DATED}, {_COMPLETE}, {_SCALED}, squares AS (SELECT obs_id, [{', '.join(_square_sql(c) for c in _CENTERS)}] AS d FROM scaled) "
+    "SELECT obs_id, CAST(list_position(d, list_min(d)) - 1 AS INT) AS cluster FROM squares",
+)
 def _(spark, folder):
-    features = _features(spark, folder)
-    return kmeans.kmeans_labels(features, "obs_id", kmeans.kmeans_best(features, "obs_id", ks=[4]))
+    """Rows under given centres; ``kmeans_best`` fits its own."""
+    models = spark.createDataFrame([(True, _CENTERS)], "is_best boolean, centers array<array<double>>")
+    return kmeans.kmeans_labels(_features(spark, folder), "obs_id", models)
 
 
-@query("silhouette")
+@query(
+    "silhouette",
+    f"""WITH {DATED}, {_COMPLETE}, {_SCALED}, halves AS (SELECT *, x0 > 0 AS half, x0 * x0 + x1 * x1 + x2 * x2 AS norm FROM scaled),
+    sums AS (SELECT half, COUNT(*) AS n, SUM(norm) AS q, SUM(x0) AS s0, SUM(x1) AS s1, SUM(x2) AS s2 FROM halves GROUP BY 1),
+    far AS (SELECT h.half = s.half AS inside, obs_id, n, n * norm + q - 2 * (x0 * s0 + x1 * s1 + x2 * s2) AS total FROM halves h CROSS JOIN sums s),
+    means AS (SELECT obs_id, MAX(total / (n - 1)) FILTER (inside) AS own, MAX(total / n) FILTER (NOT inside) AS other FROM far GROUP BY 1)
+    SELECT ROUND(AVG((other - own) / greatest(own, other)), 6) AS silhouette FROM means""",
+)
 def _(spark, folder):
     features = _features(spark, folder)
     halves = features.withColumn("cluster", F.when(F.col("scheduled_quantity") > 0, 1).otherwise(0))
-    return spark.createDataFrame([(kmeans.silhouette(halves, FEATURES),)], "silhouette double")
+    return rounded(spark.createDataFrame([(kmeans.silhouette(halves, FEATURES),)], "silhouette double"), 6)
 
 
 @query(
@@ -1104,20 +1126,44 @@ def _(spark, folder):
     return stacked(sections)
 
 
+_ITEM_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz",
+}
+_ITEM_MEASURED = [c for c, kind in _ITEM_TYPES.items() if kind not in ("string", "timestamp_ntz")]
+_ITEM_CELLS = " + ".join(f"COUNT(*) - COUNT({c})" for c in _ITEM_TYPES)
+_ITEM_GAPS = " + ".join(f"CASE WHEN COUNT({c}) < COUNT(*) THEN 1 ELSE 0 END" for c in _ITEM_TYPES)
+
+
 @query(
     "statistical_summary",
-    _long_sql("numeric", each(ITEM_NUMBERS, "SELECT * FROM (" + _DESCRIBE + " FROM lineitem) JOIN (" + _MOMENTS + ') USING ("column")'),
-              '"column"', ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"])
+    _long_sql("basic", f"""SELECT COUNT(*) AS total_rows, 11 AS total_columns, COUNT(*) * 11 AS total_cells, {_ITEM_CELLS} AS total_missing_values,
+      {_ITEM_GAPS} AS columns_with_missing, ({_ITEM_CELLS}) / (COUNT(*) * 11) AS overall_missing_rate FROM lineitem""", "''",
+              ["total_rows", "total_columns", "total_cells", "total_missing_values", "columns_with_missing", "overall_missing_rate"])
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        _long_sql("types", f"""SELECT COUNT(*) - COUNT({c}) AS missing_count, (COUNT(*) - COUNT({c})) / COUNT(*) AS missing_rate,
+          COUNT({c}) AS non_missing_count FROM lineitem""", f"'{c}|{kind}'", ["missing_count", "missing_rate", "non_missing_count"])
+        for c, kind in _ITEM_TYPES.items()
+    )
+    + " UNION ALL "
+    + _long_sql("numeric", each(_ITEM_MEASURED, "SELECT * FROM (" + _DESCRIBE + " FROM lineitem) JOIN (" + _MOMENTS + ') USING ("column")'),
+                '"column"', ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"])
     + " UNION ALL "
-    + _long_sql("completeness", f"SELECT 0 AS total_missing_values, 0 AS columns_with_missing, 1 AS completeness_score", "''",
+    + _long_sql("categorical", each(["l_returnflag", "l_linestatus"], _CATEGORY.replace("gas_obs", "lineitem")), "\"column\" || '|' || value",
+                ["unique_count", "missing_count", "diversity_index", "position", "count"])
+    + " UNION ALL "
+    + _long_sql("completeness", f"""SELECT {_ITEM_CELLS} AS total_missing_values, {_ITEM_GAPS} AS columns_with_missing,
+      1 - ({_ITEM_CELLS}) / (COUNT(*) * 11) AS completeness_score FROM lineitem""", "''",
                 ["total_missing_values", "columns_with_missing", "completeness_score"])
     + " UNION ALL "
-    + _long_sql("duplicates", f"""SELECT SUM(n) AS total_rows, SUM(n - 1) AS duplicate_rows, SUM(n - 1) / SUM(n) * 100 AS duplicate_percentage
-      FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY {", ".join(ITEM_NUMBERS)})""", "''", ["total_rows", "duplicate_rows", "duplicate_percentage"]),
+    + _long_sql("duplicates", """SELECT SUM(n) AS total_rows, SUM(n - 1) AS duplicate_rows, SUM(n - 1) / SUM(n) * 100 AS duplicate_percentage
+      FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY ALL)""".replace("COUNT(*) AS n FROM", ", ".join([*_ITEM_TYPES, "COUNT(*) AS n FROM"])),
+                "''", ["total_rows", "duplicate_rows", "duplicate_percentage"]),
 )
 def _(spark, folder):
-    sections = analyses.statistical_summary(load(spark, folder, "lineitem").select(*ITEM_NUMBERS))
-    return stacked({name: sections[name] for name in ("numeric", "completeness", "duplicates")})
+    return stacked(analyses.statistical_summary(load(spark, folder, "lineitem")))
 
 
 @query(
@@ -1171,6 +1217,12 @@ def _(spark, folder):
 @query(
     "pipeline_operations",
     f"WITH {GAS}, {VESSELS}, {USED}, {ROLLED}, {NEAR} "
+    + _long_sql("capacity", "SELECT * FROM capacity", "pipeline_name", ["capacity"])
+    + " UNION ALL "
+    + _long_sql("utilization", "SELECT * FROM used", "CAST(obs_id AS VARCHAR)", ["capacity", "utilization"])
+    + " UNION ALL "
+    + _long_sql("vessels_near", "SELECT * FROM near", "event_id || '|' || mmsi || '|' || loc_name", ["loc_latitude", "loc_longitude"])
+    + " UNION ALL "
     + _long_sql("capacity_summary", "SELECT COUNT(*) AS pipelines_analyzed, AVG(capacity) AS avg_capacity, MIN(capacity) AS min_capacity, MAX(capacity) AS max_capacity FROM capacity",
                 "''", ["pipelines_analyzed", "avg_capacity", "min_capacity", "max_capacity"])
     + " UNION ALL "
@@ -1186,12 +1238,41 @@ def _(spark, folder):
 )
 def _(spark, folder):
     sections = analyses.pipeline_operations(gas_obs(spark, folder), vessels(spark, folder))
-    return stacked({name: sections[name] for name in ("capacity_summary", "bottlenecks", "flow_changes", "vessel_summary")})
+    key = F.col("obs_id").cast("string").alias("obs_id")
+    sections["utilization"] = sections["utilization"].select(key, "capacity", "utilization")
+    met = [F.col(c).cast("string").alias(c) for c in ("event_id", "mmsi")]
+    sections["vessels_near"] = sections["vessels_near"].select(*met, "loc_name", "loc_latitude", "loc_longitude")
+    return stacked(sections)
 
 
-@query("correlation_analysis")
+_CORRELATION_VALUES = _pairs_sql(
+    _CORRELATED,
+    "SELECT '{a}' AS variable1, '{b}' AS variable2, (SELECT corr({a}, {b}) FROM complete) AS pearson, (SELECT corr({a}, {b}) FROM ranked) AS spearman",
+)
+
+
+@query(
+    "correlation_analysis",
+    f"WITH {DATED}, {_COMPLETE}, {_RANKED}, both_ways AS ({_CORRELATION_VALUES}) "
+    + _long_sql("pearson", "SELECT * FROM both_ways", "variable1 || '|' || variable2", ["pearson"])
+    + " UNION ALL "
+    + _long_sql("spearman", "SELECT * FROM both_ways", "variable1 || '|' || variable2", ["spearman"])
+    + " UNION ALL "
+    + _long_sql("strong", """SELECT variable1, variable2, ROUND(pearson, 3) AS pearson_correlation, ROUND(spearman, 3) AS spearman_correlation,
+      CASE WHEN greatest(ABS(pearson), ABS(spearman)) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength
+      FROM both_ways WHERE greatest(ABS(pearson), ABS(spearman)) >= 0.5""", "concat_ws('|', variable1, variable2, strength)",
+                ["pearson_correlation", "spearman_correlation"])
+    + " UNION ALL "
+    + _long_sql("by_category", " UNION ALL ".join(
+        _ANOVA.replace("4) AS f_statistic", "3) AS f_statistic").replace("{a}", a).replace("{b}", b)
+        for a in ["pipeline_name", "loc_name", "connecting_pipeline"] for b in ["obs_id", "scheduled_quantity", "year"]
+    ), "category || '|' || variable", ["f_statistic"]),
+)
 def _(spark, folder):
-    return stacked(analyses.correlation_analysis(dated(spark, folder)))
+    """All sections; the p-values, for which SQL has no function, are tested apart."""
+    sections = analyses.correlation_analysis(dated(spark, folder))
+    sections["by_category"] = sections["by_category"].drop("p_value", "significant")
+    return stacked(sections)
 
 
 @query("data_profile")
@@ -1207,4 +1288,4 @@ def _(spark, folder):
 @query("cluster")
 def _(spark, folder):
     sections = analyses.cluster(dated(spark, folder), "obs_id", columns=["scheduled_quantity", "latitude"])
-    return stacked({name: sections[name] for name in ("dbscan_summary", "kmeans_models", "kmeans_profile")})
+    return stacked({name: sections[name] for name in ("dbscan_summary", "dbscan_silhouette", "kmeans_models", "kmeans_profile")})

@@ -192,10 +192,26 @@ def test_association(spark):
         association.pearson_matrix(table, ["x"])
 
 
-def test_beta_share():
-    assert abs(association.beta_share(0.5, 2.0, 2.0) - 0.5) < 1e-12
-    assert abs(association.beta_share(0.25, 1.0, 3.0) - (1 - 0.75**3)) < 1e-12
-    assert abs(association.beta_share(0.3, 2.0, 5.0) - 0.579825) < 1e-9
+@pytest.mark.parametrize(
+    "f, between, within",
+    [(1.0, 2, 10.0), (20.0, 4, 5.0), (1e-3, 2, 1.0), (1e9, 4, 3.0), (1.05, 400, 1e7), (1.3, 200, 1e12), (0.3, 10, 1e12), (5.0, 2, 1e12)],
+)
+def test_f_tail(f, between, within):
+    """Against the finite sum that even numerator degrees have, up to 10^12 denominator degrees."""
+    a, y = within / 2, between * f / (within + between * f)
+    term = total = 1.0
+    for i in range(1, between // 2):
+        term *= (a + i - 1) / i * y
+        total += term
+    wanted = math.exp(-a * math.log1p(between * f / within)) * total
+    assert abs(association.f_tail(f, float(between), within) / wanted - 1) < 1e-9
+
+
+@pytest.mark.parametrize("degrees", [1.0, 3.0, 1e3, 1e6, 1e12])
+def test_f_tail_mirrored(degrees):
+    assert abs(association.f_tail(1.0, degrees, degrees) - 0.5) < 1e-9
+    assert abs(association.f_tail(1.000001, degrees, 2 * degrees) + association.f_tail(1 / 1.000001, 2 * degrees, degrees) - 1) < 1e-9
+    assert association.f_tail(0.0, degrees, 5.0) == 1.0 and association.f_tail(1e300, 7.0, degrees) < 1e-100
 
 
 def test_utilization_edges(spark):
