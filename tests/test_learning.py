@@ -47,6 +47,26 @@ def test_dbscan(spark, d, eps, least):
     assert len(set(wanted)) > 2
 
 
+def test_dbscan_halves_cells(spark, monkeypatch, d=2, eps=0.5, least=12):
+    """What cells leave open goes down to halved cells: the answers are the same, and far fewer points meet than by whole cells."""
+    points = np.concatenate([blobs(d, 130, d), np.random.default_rng(2).normal(0.0, 0.3, (900, d))])
+    names = [f"x{i}" for i in range(d)]
+    table = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], ["id", *names])
+    compared = []
+    by_points = dbscan._Grid.by_points
+    monkeypatch.setattr(dbscan, "FEW", 0, raising=False)
+
+    def counting(grid, pairs, *rest):
+        compared.append(pairs.agg({"work": "sum"}).first()[0])
+        return by_points(grid, pairs, *rest)
+
+    monkeypatch.setattr(dbscan._Grid, "by_points", counting)
+    got = dict(dbscan.dbscan(table, "id", eps=eps, min_samples=least).collect())
+    wanted = neighbourhood_labels(points, eps, least)
+    assert got == {i: int(wanted[i]) for i in range(len(points))}
+    assert sum(compared) < 20 * len(points)
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(4)
     truth = np.repeat([0, 1, 2], 80)
