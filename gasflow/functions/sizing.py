@@ -8,6 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task where rows are dealt out by their number.
+A_SHARE = 1_000_000
+
 
 def _checkpoint_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only for a local session that has none."""
@@ -40,6 +43,15 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if held < cores * a_partition else df
 
 
+def dealt_out(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows dealt out by key to as many tasks as ``rows`` need, so that what a task holds does not grow with them.
+
+    Meant for keys that few rows share each; no rows are combined before.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // A_SHARE)), *keys)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path inside the checkpoint folder."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -54,6 +54,21 @@ def test_average_ranks(spark):
     assert sorted(map(tuple, ranked.to_numpy())) == sorted(map(tuple, wanted.to_numpy()))
 
 
+def test_average_ranks_in_shares(spark, monkeypatch):
+    """Rows are dealt out by their number, whatever the number of shuffle partitions; frequent, rare and signed zero values get their ranks."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"a": rng.integers(0, 3, 4000).astype(float), "b": rng.normal(size=4000).round(2), "c": rng.normal(size=4000)})
+    frame.loc[::7, "b"] = -0.0
+    frame.loc[3::7, "b"] = 0.0
+    monkeypatch.setattr("gasflow.functions.sizing.A_SHARE", 500, raising=False)
+    dealt = []
+    repartition = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, n, *keys: dealt.append(n) or repartition(df, n, *keys))
+    ranked = with_average_ranks(spark.createDataFrame(frame), ["a", "b", "c"]).toPandas()
+    assert sorted(map(tuple, ranked.to_numpy())) == sorted(map(tuple, frame.rank().to_numpy()))
+    assert dealt.count(24) == 2
+
+
 def history(spark, rows=400, days=12, intraday=False):
     rng = np.random.default_rng(8)
     days = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, days, rows), unit="D")
