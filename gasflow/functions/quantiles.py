@@ -31,10 +31,14 @@ def quantiles(
     then handed to all tasks, else they are joined. Groups without any value have no row; a null is a key value like
     others; without keys there is always one row.
     """
+    return _quantiles(spread_out(df.select(*dict.fromkeys([*keys, value]))), value, probabilities, keys, few_keys)
+
+
+def _quantiles(df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str], few_keys: bool) -> DataFrame:
     probs = [float(p) for p in probabilities]
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     long = df.select(key.alias("key"), F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    long = materialize(spread_out(long))
+    long = materialize(long)
     ranged = in_ranges(long, F.struct("key", "value")).drop("_cuts")
     totals = ranged.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("held"))
     of_key = Window.partitionBy("key")
@@ -69,8 +73,8 @@ def quantiles(
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """``column, n, q`` for several columns of one table in one pass."""
-    return quantiles(melt(df, columns, "double"), "value", probabilities, ["column"], few_keys=True)
+    """``column, n, q`` for several columns of one table in one pass; rows are spread out before they become one row per value."""
+    return _quantiles(melt(spread_out(df.select(*columns)), columns, "double"), "value", probabilities, ["column"], few_keys=True)
 
 
 def scalar_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[Column]:
