@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gasflow.functions.columns import boolean_columns, datetime_columns, melt, numeric_columns, require, text_columns
 from gasflow.functions.quantiles import column_quantiles, quantiles
+from gasflow.functions.sizing import materialize
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 # How a date written as text begins.
@@ -178,19 +180,35 @@ def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
     return df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).count()
 
 
-def _distinct_counts(df: DataFrame) -> Column:
-    return [F.count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(df.columns)]
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """One row with the distinct non-null values of each column, ``u0`` and on in column order.
+
+    Each column is counted by itself, so a row that is shuffled is one value; ``df`` is read once per column.
+    """
+    parts = [
+        df.select(F.col(c).alias("value")).distinct().agg(F.lit(i).alias("i"), F.count("value").alias("n"))
+        for i, c in enumerate(df.columns)
+    ]
+    counted = reduce(DataFrame.unionByName, parts)
+    return counted.agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"u{i}") for i in range(len(parts))])
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table, written once as it is read once per column, and its distinct counts."""
+    held = materialize(df)
+    return held, distinct_counts(held)
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """Per column type, null and distinct counts, kind flags and, for numbers, range, mean, median, deviation.
 
-    A boolean column without nulls counts as a number here.
+    A boolean column without nulls counts as a number here. ``distinct`` are the ``distinct_counts`` if known.
     """
+    df, distinct = (df, distinct) if distinct else _counted(df)
     numeric, flags = set(numeric_columns(df)), set(boolean_columns(df))
     text, dates = set(text_columns(df)), set(datetime_columns(df))
     kinds = dict(df.dtypes)
-    measures = [F.count(F.lit(1)).alias("rows"), *_distinct_counts(df)]
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         measures.append(F.count(F.col(c)).alias(f"n{i}"))
         if c in numeric | flags:
@@ -215,7 +233,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                 (F.when(counts, F.col(f"m{i}")) if c in numeric | flags else nothing).alias("m"),
             )
         )
-    base = df.agg(*measures).select(F.inline(F.array(*rows))).select("*", "m.*").drop("m")
+    base = df.agg(*measures).crossJoin(distinct).select(F.inline(F.array(*rows))).select("*", "m.*").drop("m")
     if not numeric | flags:
         return base.withColumn("median", F.lit(None).cast("double"))
     middle = column_quantiles(df, sorted(numeric | flags), [0.5]).select("column", F.col("q")[0].alias("median"))
@@ -230,17 +248,18 @@ def profile_values(df: DataFrame, most: int = 20, k: int = 10) -> DataFrame:
     )
 
 
-def infer_column_kind(df: DataFrame) -> DataFrame:
+def infer_column_kind(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """``column, kind`` with its counts; the first rule that applies decides.
 
     empty, identifier (numbers, all distinct), numeric (booleans without nulls too), datetime, date_string (more than half of the
     values begin like a date), categorical (fewer distinct values than half of the values),
     coordinate (by name, some value is a number; ``unknown`` when none is), text. The date share is taken over all
-    values: rows of a distributed table have no first hundred.
+    values: rows of a distributed table have no first hundred. ``distinct`` are the ``distinct_counts`` if known.
     """
+    df, distinct = (df, distinct) if distinct else _counted(df)
     numeric, flags, dates = set(numeric_columns(df)), set(boolean_columns(df)), set(datetime_columns(df))
     like_date = "^(" + "|".join(DATE_PATTERNS) + ")"
-    measures = [F.count(F.lit(1)).alias("rows"), *_distinct_counts(df)]
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         text = F.col(c).cast("string")
         measures.append(F.count(F.col(c)).alias(f"n{i}"))
@@ -273,4 +292,4 @@ def infer_column_kind(df: DataFrame) -> DataFrame:
         )
         for i, c in enumerate(df.columns)
     ]
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return df.agg(*measures).crossJoin(distinct).select(F.inline(F.array(*rows)))

@@ -11,7 +11,7 @@ from gasflow.functions.chunks import into_chunks
 from gasflow.functions.components import connected_components
 from gasflow.functions.quantiles import column_quantiles, quantiles, scalar_quantiles
 from gasflow.functions.ranks import with_average_ranks
-from gasflow.operators import operations
+from gasflow.operators import operations, profiling
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
 
@@ -142,3 +142,14 @@ def test_components(spark):
         parent[high] = low
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_distinct_counts_without_expanded_rows(spark):
+    """Each column is counted by itself: no row is repeated once per column."""
+    rows = [(1, "a", 0.0), (2, "a", -0.0), (None, None, float("nan")), (2, "b", None)]
+    table = spark.createDataFrame(rows, "i int, s string, x double")
+    counts = profiling.distinct_counts(table)
+    assert tuple(counts.first()) == (2, 2, 2)
+    for found in (profiling.column_profile(table), profiling.infer_column_kind(table)):
+        assert {r["column"]: r["unique_count"] for r in found.collect()} == {"i": 2, "s": 2, "x": 2}
+        assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
