@@ -3,8 +3,10 @@
 Every restart of every k is fitted on all rows, and one pass over the table advances all of them at once.
 Equal points are counted once and lie along a Z-shaped curve, so neighbours are read together: a short piece
 of the curve whose bounding box lies on one side of all borders between clusters adds its totals, and only
-points of other pieces are compared with the centres. Starts come from a few rounds that draw rows of all
-the table by their distance from those drawn before, for all restarts in one pass each.
+points of other pieces are compared with the centres. Pieces are written once as rows with their boxes and totals, so
+a pass is work on pieces, and on the points along the borders. Starts come from a few rounds that draw rows of all
+the table by their distance from those drawn before, for all restarts in one pass each; the boxes tell which
+points may be drawn.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +30,10 @@ RESTARTS = 10
 TOLERANCE = 1e-4
 DRAWING_ROUNDS = 5
 PIECE = 128
+#: Pieces that a task draws from before it takes twice as many at a time.
+FIRST_PIECES = 16
+#: Numbers in the arrays of one comparison.
+AT_ONCE = 1 << 21
 _KEY_BITS = 60
 
 
@@ -45,7 +53,7 @@ def kmeans_best(
     used = [c for c in (columns or features.columns) if c != id]
     names = [f"x{i}" for i in range(len(used))]
     points = _points(features.select(*[F.col(c).cast("double").alias(n) for c, n in zip(used, names)]), names)
-    size = points.agg(F.sum("weight").alias("rows")).first()["rows"] or 0
+    size = points.agg(F.sum(F.col("total")[0]).alias("rows")).first()["rows"] or 0
     tried = list(ks or range(2, min(MAX_K, int(size) // 2) + 1))
     if not tried or not size:
         raise ValueError(f"{int(size)} rows are too few to cluster")
@@ -118,7 +126,11 @@ def cluster_profile(
 
 
 def _points(features: DataFrame, names: list[str]) -> DataFrame:
-    """The distinct points along the curve: the features, ``weight`` (rows) and ``draw`` (a hash of the point)."""
+    """The distinct points along the curve, a row per piece.
+
+    Of its points a piece holds the features, ``weight`` (rows) and ``draw`` (a hash of the point), of itself ``low`` and ``high`` (its
+    bounding box) and ``total`` (rows, sum of squared norms, sums of the features).
+    """
     spark = features.sparkSession
     counted = materialize(
         features.groupBy(*names)
@@ -128,7 +140,59 @@ def _points(features: DataFrame, names: list[str]) -> DataFrame:
     ends = counted.agg(F.struct(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in names])).scalar()
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     along = counted.withColumn("curve", _curve(names, ends)).repartitionByRange(spread, "curve", *names)
-    return materialize(along.sortWithinPartitions("curve", *names).drop("curve"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*names, "weight", "draw"]}
+            at = np.column_stack([held[c] for c in names])
+            starts = np.arange(0, len(at), PIECE)
+            ends = np.append(starts, len(at))
+            whole = {
+                "low": np.minimum.reduceat(at, starts),
+                "high": np.maximum.reduceat(at, starts),
+                "total": np.add.reduceat(_measures(at, held["weight"]), starts),
+            }
+            lists = {c: _lists(values, ends) for c, values in held.items()}
+            lists |= {c: _lists(rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1]) for c, rows in whole.items()}
+            yield pa.RecordBatch.from_pydict(lists)
+
+    schema = ", ".join([*[f"{n} array<double>" for n in names], "weight array<double>", "draw array<bigint>"])
+    schema += ", low array<double>, high array<double>, total array<double>"
+    return materialize(along.sortWithinPartitions("curve", *names).drop("curve").mapInArrow(cut, schema))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _measures(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What clusters add up of their points: rows, squared norms, features."""
+    return np.column_stack([weight, weight * (at**2).sum(axis=1), weight[:, None] * at])
+
+
+class _Pieces:
+    """A batch of the pieces as arrays: figures of each piece, and of all their points one after the other."""
+
+    def __init__(self, batch: pa.RecordBatch, names: list[str]) -> None:
+        self.low, self.high, self.total = (self._flat(batch, c).reshape(batch.num_rows, -1) for c in ("low", "high", "total"))
+        self.at = np.column_stack([self._flat(batch, c) for c in names])
+        self.weight = self._flat(batch, "weight")
+        self.draw = self._flat(batch, "draw") if "draw" in batch.schema.names else None
+        self.length = pc.list_value_length(batch.column("weight")).to_numpy()
+        self.ends = np.append(0, np.cumsum(self.length))
+        self.middle, self.half = (self.low + self.high) / 2, (self.high - self.low) / 2
+
+    @staticmethod
+    def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[_Pieces]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _Pieces(batch, names)
 
 
 def _curve(names: list[str], ends: Column) -> Column:
@@ -168,28 +232,77 @@ def _draw(
 ) -> dict[int, np.ndarray]:
     """For each restart the ``size`` points whose exponential clocks, as fast as weight times squared distance, ring first."""
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = batch[names].to_numpy(dtype=float)
-            weight = batch["weight"].to_numpy()
-            parts = []
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (np.empty((0, len(names))), np.empty(0))
+        best = dict.fromkeys(drawn, nothing)
+        for pieces in _batches(batches, names):
+            heaviest = np.maximum.reduceat(pieces.weight, pieces.ends[:-1])
             for r, found in drawn.items():
-                speed = weight * _distances(at, found).min(axis=1) if len(found) else weight
                 salt = np.random.SeedSequence([seed, turn, r]).generate_state(1, np.uint64)[0]
-                with np.errstate(divide="ignore"):
-                    rings = -np.log(_even(batch["draw"].to_numpy(), salt)) / speed
-                early = np.argsort(rings, kind="stable")[:size]
-                early = early[np.isfinite(rings[early])]
-                parts.append(pd.DataFrame(at[early], columns=names).assign(restart=r, rings=rings[early]))
-            yield pd.concat(parts)
+                fastest = heaviest * _farthest(pieces, found) if len(found) else heaviest
+                begin, end = 0, FIRST_PIECES
+                while begin < len(heaviest):  # the first pieces tell how early a point of the others must ring
+                    best[r] = _earliest(pieces, slice(begin, end), found, salt, fastest[begin:end], size, *best[r])
+                    begin, end = end, 2 * end
+        for r, (at, rings) in best.items():
+            columns = [*at.T, np.full(len(at), r, "int32"), rings]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "restart", "rings"])
 
     schema = ", ".join([*[f"{n} double" for n in names], "restart int", "rings double"])
     order = Window.partitionBy("restart").orderBy("rings", *names)
-    rung = points.mapInPandas(first, schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    used = points.select(*names, "weight", "draw", "low", "high", "total")
+    rung = used.mapInArrow(first, schema).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
     found = rung.toPandas().sort_values(["restart", "place"])
     return {int(r): part[names].to_numpy(dtype=float) for r, part in found.groupby("restart")}
 
 
+def _farthest(pieces: _Pieces, found: np.ndarray) -> np.ndarray:
+    """For each piece a bound on the squared distance of its points from the nearest of those found."""
+    out = np.empty(len(pieces.middle))
+    step = max(1, AT_ONCE // found.size)
+    for i in range(0, len(out), step):
+        gap = np.abs(pieces.middle[i : i + step, None, :] - found[None, :, :]) + pieces.half[i : i + step, None, :]
+        out[i : i + step] = (gap**2).sum(axis=2).min(axis=1)
+    scale = (np.maximum(np.abs(pieces.low), np.abs(pieces.high)) ** 2).sum(axis=1) + (found**2).sum(axis=1).max()
+    return out + 1e-12 * scale  # as much as rounding may add to a distance
+
+
+def _earliest(
+    pieces: _Pieces,
+    part: slice,
+    found: np.ndarray,
+    salt: np.uint64,
+    fastest: np.ndarray,
+    size: int,
+    at: np.ndarray,
+    rings: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` and ``rings``, the points that ring first so far, with those of a part of the pieces.
+
+    ``fastest`` bounds the speeds of a piece, so most points are too late by their draw alone and no distance is asked for.
+    """
+    least = np.zeros(len(fastest))
+    if len(rings) == size:
+        least = np.exp(-rings[-1] * fastest) * (1.0 - 1e-9)
+    points = slice(pieces.ends[part.start], pieces.ends[min(part.stop, len(pieces.length))])
+    even = _even(pieces.draw[points], salt)
+    early = np.flatnonzero(~(even < np.repeat(least, pieces.length[part])))
+    chosen, weight = pieces.at[points][early], pieces.weight[points][early]
+    speed = weight * _nearest(chosen, found) if len(found) else weight
+    with np.errstate(divide="ignore"):
+        rung = -np.log(even[early]) / speed
+    at, rings = np.concatenate([at, chosen]), np.concatenate([rings, rung])
+    first = np.argsort(rings, kind="stable")[:size]
+    first = first[np.isfinite(rings[first])]
+    return at[first], rings[first]
+
+
+def _nearest(points: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Squared distance of each point from the nearest of those found."""
+    step = max(1, AT_ONCE // len(found))
+    return np.concatenate([np.empty(0), *[_distances(points[i : i + step], found).min(axis=1) for i in range(0, len(points), step)]])
+
+
 def _even(draw: np.ndarray, salt: np.uint64) -> np.ndarray:
     """Numbers spread evenly over (0, 1) that depend on the point and the salt only."""
     mixed = draw.astype(np.int64).view(np.uint64) ^ salt
@@ -230,47 +343,67 @@ def _pass(
     """Rows, squared norms and sums of every cluster of every model, in one pass over the points."""
     models = list(centers)
     fields = ["n", "norm", *[f"s{i}" for i in range(len(names))]]
-    model_of = np.repeat(np.arange(len(models)), [len(centers[m]) for m in models])
-    cluster_of = np.concatenate([np.arange(len(centers[m])) for m in models])
+    model_of = np.repeat(np.arange(len(models), dtype="int32"), [len(centers[m]) for m in models])
+    cluster_of = np.concatenate([np.arange(len(centers[m]), dtype="int32") for m in models])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros((len(centers[m]), len(fields))) for m in models]
-        for batch in batches:
-            at, weight = batch[names].to_numpy(dtype=float), batch["weight"].to_numpy()
-            measures = np.column_stack([weight, weight * (at**2).sum(axis=1), weight[:, None] * at])
-            cuts = np.arange(0, len(at), PIECE)
-            if not len(cuts):
-                continue
-            low, high = np.minimum.reduceat(at, cuts), np.maximum.reduceat(at, cuts)
-            totals = np.add.reduceat(measures, cuts)
+        for pieces in _batches(batches, names):
+            measures = _measures(pieces.at, pieces.weight)
             for sums, m in zip(held, models):
-                own, whole = _owners((low + high) / 2, (high - low) / 2, centers[m])
-                _add(sums, own[whole], totals[whole])
-                apart = np.repeat(~whole, PIECE)[: len(at)]
-                _add(sums, _distances(at[apart], centers[m]).argmin(axis=1), measures[apart])
-        out = pd.DataFrame(np.concatenate(held), columns=fields)
-        yield out.assign(model=model_of, cluster=cluster_of)[["model", "cluster", *fields]]
+                _settle(sums, pieces, measures, centers[m])
+        columns = [model_of, cluster_of, *np.concatenate(held).T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["model", "cluster", *fields])
 
     schema = "model int, cluster int, " + ", ".join(f"{f} double" for f in fields)
-    parts = points.mapInPandas(partial, schema)
+    parts = points.select(*names, "weight", "low", "high", "total").mapInArrow(partial, schema)
     found = parts.groupBy("model", "cluster").agg(*[F.sum(f).alias(f) for f in fields]).toPandas()
     found = found.sort_values(["model", "cluster"])
     return {models[n]: part for n, part in found.groupby("model")}
 
 
+def _settle(sums: np.ndarray, pieces: _Pieces, measures: np.ndarray, centers: np.ndarray) -> None:
+    """Add pieces with one nearest centre by their totals, points of the others by themselves.
+
+    Pieces are taken a stretch of the curve at a time, as many as keep the comparisons in memory; the points of a stretch are
+    compared with the centres that are nearest to some point of its boxes.
+    """
+    step = max(1, AT_ONCE // (len(centers) * max(PIECE, centers.shape[1])))
+    between = np.abs(centers[:, None, :] - centers[None, :, :])
+    for i in range(0, len(pieces.total), step):
+        part = slice(i, i + step)
+        own, rivals = _rivals(pieces.middle[part], pieces.half[part], centers, between)
+        whole = ~rivals.any(axis=1)
+        _add(sums, own[whole], pieces.total[part][whole])
+        if whole.all():
+            continue
+        able = rivals.any(axis=0)
+        able[own[~whole]] = True
+        near = np.flatnonzero(able)
+        apart = np.flatnonzero(np.repeat(~whole, pieces.length[part])) + pieces.ends[i]
+        label = near[_distances(pieces.at[apart], centers[near]).argmin(axis=1)]
+        _add(sums, label, measures[apart])
+
+
 def _owners(middle: np.ndarray, half: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The centre nearest to the middle of each box, and whether it is the nearest to every point of the box.
+    """The centre nearest to the middle of each box, and whether it is the nearest to every point of the box."""
+    own, rivals = _rivals(middle, half, centers, np.abs(centers[:, None, :] - centers[None, :, :]))
+    return own, ~rivals.any(axis=1)
+
 
-    The lead of a centre over another is linear in the point, so it is least in a corner of the box.
+def _rivals(middle: np.ndarray, half: np.ndarray, centers: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre nearest to the middle of each box, and which others may be the nearest to some point of the box.
+
+    The lead of a centre over another is linear in the point, so it is least in a corner of the box. ``between`` are the
+    distances of the centres in each feature.
     """
     square = _distances(middle, centers)
     row = np.arange(len(middle))
     own = square.argmin(axis=1)
-    between = np.abs(centers[:, None, :] - centers[None, :, :])
     lead = square - square[row, own][:, None] - 2.0 * np.einsum("bd,bkd->bk", half, between[own])
     lead[row, own] = np.inf
     scale = (middle**2).sum(axis=1) + (half**2).sum(axis=1) + (centers**2).sum(axis=1).max()
-    return own, lead.min(axis=1) > 1e-12 * scale  # ties and near ties are left to the points
+    return own, ~(lead > 1e-12 * scale[:, None])  # ties and near ties are left to the points
 
 
 def _add(sums: np.ndarray, label: np.ndarray, measures: np.ndarray) -> None:
@@ -299,29 +432,32 @@ def _silhouettes(
 ) -> dict[int, float]:
     """Mean silhouette of each model with squared distances, from its cluster sums."""
     stats = {k: _stats(s, len(names)) for k, s in sums.items()}
+    step = max(1, AT_ONCE // (16 * max(centers)))  # several arrays of a number per point and cluster
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = dict.fromkeys(centers, 0.0)
         seen = 0.0
-        for batch in batches:
-            at, weight = batch[names].to_numpy(dtype=float), batch["weight"].to_numpy()
-            seen += float(weight.sum())
-            norms = (at**2).sum(axis=1)
-            row = np.arange(len(at))
-            for k, c in centers.items():
-                n, norm, total = stats[k]
-                label = _distances(at, c).argmin(axis=1)
-                filled = np.maximum(n, 1.0)
-                mean = norms[:, None] + (norm / filled)[None, :] - 2.0 * at @ (total / filled[:, None]).T
-                mean[:, n == 0] = np.inf
-                own = np.maximum(mean[row, label], 0.0) * n[label] / np.maximum(n[label] - 1, 1.0)
-                mean[row, label] = np.inf
-                other = mean.min(axis=1)
-                larger = np.maximum(own, other)
-                valid = (n[label] > 1) & np.isfinite(other) & (larger > 0)
-                held[k] += float((weight[valid] * (other - own)[valid] / larger[valid]).sum())
-        yield pd.DataFrame({"k": list(held), "total": list(held.values()), "n": seen})
-
-    parts = points.mapInPandas(partial, "k int, total double, n double")
+        for pieces in _batches(batches, names):
+            seen += float(pieces.weight.sum())
+            for i in range(0, len(pieces.at), step):
+                at, weight = pieces.at[i : i + step], pieces.weight[i : i + step]
+                norms = (at**2).sum(axis=1)
+                row = np.arange(len(at))
+                for k, c in centers.items():
+                    n, norm, total = stats[k]
+                    label = _distances(at, c).argmin(axis=1)
+                    filled = np.maximum(n, 1.0)
+                    mean = norms[:, None] + (norm / filled)[None, :] - 2.0 * at @ (total / filled[:, None]).T
+                    mean[:, n == 0] = np.inf
+                    own = np.maximum(mean[row, label], 0.0) * n[label] / np.maximum(n[label] - 1, 1.0)
+                    mean[row, label] = np.inf
+                    other = mean.min(axis=1)
+                    larger = np.maximum(own, other)
+                    valid = (n[label] > 1) & np.isfinite(other) & (larger > 0)
+                    held[k] += float((weight[valid] * (other - own)[valid] / larger[valid]).sum())
+        columns = [np.array(list(held), "int32"), np.array(list(held.values())), np.full(len(held), seen)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "total", "n"])
+
+    parts = points.select(*names, "weight", "low", "high", "total").mapInArrow(partial, "k int, total double, n double")
     found = parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("silhouette")).collect()
     return {row["k"]: row["silhouette"] for row in found}

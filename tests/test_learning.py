@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gasflow.operators import association, dbscan, forest, kmeans, matching
@@ -117,6 +118,90 @@ def test_kmeans_boxes(d):
         assert (nearest == own)[whole].all()
 
 
+def pieces_of(points, weight):
+    """One batch of pieces of the points as they come."""
+    rng = np.random.default_rng(7)
+    cuts = np.arange(0, len(points), kmeans.PIECE)
+    lists = lambda rows: pa.array(list(rows))
+    parts = {f"x{i}": lists(np.split(points[:, i], cuts[1:])) for i in range(points.shape[1])}
+    parts["weight"] = lists(np.split(weight, cuts[1:]))
+    parts["draw"] = lists(np.split(rng.integers(-(2**63), 2**63 - 1, len(points)), cuts[1:]))
+    parts["low"], parts["high"] = lists(np.minimum.reduceat(points, cuts)), lists(np.maximum.reduceat(points, cuts))
+    parts["total"] = lists(np.add.reduceat(kmeans._measures(points, weight), cuts))
+    return kmeans._Pieces(pa.RecordBatch.from_pydict(parts), [f"x{i}" for i in range(points.shape[1])])
+
+
+def along_lines(n, seed):
+    """Points that lie together in order, some heavier than others."""
+    rng = np.random.default_rng(seed)
+    points = np.column_stack([np.sort(rng.normal(0, 1, n)), rng.normal(0, 0.01, n)])
+    return points, rng.integers(1, 4, n).astype(float)
+
+
+def counting_distances(monkeypatch):
+    met = []
+    distances = kmeans._distances
+
+    def counted(points, centers):
+        met.append(len(points) * len(centers))
+        return distances(points, centers)
+
+    monkeypatch.setattr(kmeans, "_distances", counted)
+    return met
+
+
+def test_kmeans_points_lie_in_pieces(spark):
+    """A pass reads a row per piece, not per point, and nothing of the points is lost."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b)) for a, b in rng.normal(0, 1, (5000, 2)).round(2)] * 2
+    pieces = kmeans._points(spark.createDataFrame(rows, ["x0", "x1"]).repartition(3), ["x0", "x1"]).collect()
+    assert len(pieces) < 100
+    held = {(a, b): w for p in pieces for a, b, w in zip(p["x0"], p["x1"], p["weight"])}
+    assert held == {row: float(rows.count(row)) for row in set(rows)}
+    assert sum(p["total"][0] for p in pieces) == len(rows)
+    assert all(p["low"] == [min(p["x0"]), min(p["x1"])] and p["high"] == [max(p["x0"]), max(p["x1"])] for p in pieces)
+
+
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_kmeans_settles_pieces(monkeypatch, k):
+    """Sums of clusters are those of all points, though few points meet few centres."""
+    points, weight = along_lines(30000, k)
+    centers = points[np.random.default_rng(k).choice(len(points), k, replace=False)]
+    label = kmeans._distances(points, centers).argmin(axis=1)
+    wanted = np.zeros((k, 4))
+    kmeans._add(wanted, label, kmeans._measures(points, weight))
+    pieces, got = pieces_of(points, weight), np.zeros((k, 4))
+    met = counting_distances(monkeypatch)
+    kmeans._settle(got, pieces, kmeans._measures(points, weight), centers)
+    assert np.abs(got - wanted).max() < 1e-6
+    assert sum(met) < len(points) * k / 4
+
+
+@pytest.mark.parametrize("n, size, f", [(30000, 20, 60), (30000, 1, 0), (50, 20, 3), (15, 20, 4)])
+def test_kmeans_draws_few(monkeypatch, n, size, f):
+    """The points drawn are those of a draw that asks all points for their distance."""
+    points, weight = along_lines(n, f)
+    found = points[np.random.default_rng(f).choice(n, f, replace=False)]
+    pieces = pieces_of(points, weight)
+    salt = np.uint64(12345)
+    square = ((points[:, None, :] - found[None]) ** 2).sum(-1).min(1) if f else np.ones(n)
+    with np.errstate(divide="ignore"):
+        rings = -np.log(kmeans._even(pieces.draw, salt)) / (weight * square)
+    order = np.argsort(rings)[: min(size, n - f)]
+    met = counting_distances(monkeypatch)
+    heaviest = np.maximum.reduceat(pieces.weight, pieces.ends[:-1])
+    fastest = heaviest * kmeans._farthest(pieces, found) if f else heaviest
+    at, got = np.empty((0, 2)), np.empty(0)
+    begin, end = 0, kmeans.FIRST_PIECES
+    while begin < len(heaviest):
+        at, got = kmeans._earliest(pieces, slice(begin, end), found, salt, fastest[begin:end], size, at, got)
+        begin, end = end, 2 * end
+    assert np.array_equal(at[: len(order)], points[order])
+    assert np.abs(got[: len(order)] / rings[order] - 1).max() < 1e-6
+    if n > 1000:
+        assert sum(met) <= n * f / 5
+
+
 def test_forest(spark):
     rng = np.random.default_rng(42)
     values = rng.normal(1000, 200, 1000)
