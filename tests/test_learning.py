@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from gasflow.operators import association, dbscan, forest, kmeans, matching
+from gasflow.plans import analyses
 
 
 def neighbourhood_labels(points, eps, least):
@@ -118,6 +119,29 @@ def test_kmeans_boxes(d):
         assert (nearest == own)[whole].all()
 
 
+def test_cluster_passes_read_pieces(spark, monkeypatch):
+    """In ``cluster``, too, K-means passes read a row per piece, and its figures are those of all rows."""
+    rng = np.random.default_rng(8)
+    points = np.repeat([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0]], 900, axis=0) + rng.normal(0, 0.4, (2700, 2))
+    table = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double")
+    read, passed = [], kmeans._pass
+
+    def counting(points, *rest):
+        read.append(points.count())
+        return passed(points, *rest)
+
+    monkeypatch.setattr(kmeans, "MAX_K", 4)
+    monkeypatch.setattr(kmeans, "_pass", counting)
+    sections = analyses.cluster(table, "id", columns=["x", "y"])
+    assert max(read) < 100
+    best = sections["kmeans_models"].filter("is_best").first()
+    labels = np.array([r["cluster"] for r in sections["kmeans_labels"].orderBy("id").collect()])
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0)
+    near = ((scaled[:, None, :] - np.array(best["centers"])[None]) ** 2).sum(-1)
+    assert best["k"] == 3 and sorted(np.bincount(labels)) == [900, 900, 900]
+    assert abs(best["inertia"] - near.min(1).sum()) < 1e-6 * best["inertia"]
+
+
 def pieces_of(points, weight):
     """One batch of pieces of the points as they come."""
     rng = np.random.default_rng(7)
