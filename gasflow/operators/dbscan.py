@@ -46,14 +46,13 @@ def dbscan(
     """
     names = [c for c in (columns or features.columns) if c != id]
     d, side = len(names), eps / math.sqrt(len(names))
-    rows = features.select(F.col(id).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    rows = rows.withColumn("cell", _cell(F.col("x"), side, d))
-    points = materialize(rows.groupBy("cell", "x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first")))
+    grid = _Grid(d, eps, side)
+    rows = features.select(F.col(id).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(names, grid.axes)])
+    points = grid.located(materialize(rows.groupBy(*grid.axes).agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first"))))
     cells = materialize(_boxes(points, ["cell"], d))
     size = cells.agg(F.sum("n").alias("rows")).first()
     least = min_samples if min_samples is not None else max(MIN_SAMPLES, int((size["rows"] or 0) * MIN_SHARE))
-    grid = _Grid(d, eps, side)
-    marked = materialize(grid.mark_core(points, cells, least))
+    marked = grid.stored(grid.mark_core(points, cells, least))
     core = marked.filter("core")
     core_cells = materialize(_boxes(core, ["cell"], d))
     clusters = materialize(grid.connect(core, core_cells))
@@ -63,12 +62,12 @@ def dbscan(
     own = by_cell.select("cell", "cluster")
     mixed = marked.groupBy("cell").agg(F.bool_and("core").alias("whole"))
     whole = materialize(mixed.filter("whole").join(own, "cell").select("cell", F.col("cluster").alias("cell_cluster")))
-    placed = rows.join(whole, "cell", "left")
+    placed = rows.withColumn("cell", grid.cell()).join(whole, "cell", "left")
     settled = placed.filter("cell_cluster is not null").select("id", F.col("cell_cluster").alias("cluster"))
     split = mixed.filter("not whole").select("cell")
     in_split = core.join(split, "cell", "left_semi").join(own, "cell").select("cell", "x", "cluster")
-    labels = materialize(in_split.unionByName(border.select("cell", "x", "cluster")))
-    rest = placed.filter("cell_cluster is null").join(labels, ["cell", "x"], "left")
+    labels = grid.apart(in_split.unionByName(border.select("cell", "x", "cluster")))
+    rest = placed.filter("cell_cluster is null").join(labels, grid.axes, "left")
     found = settled.unionByName(rest.select("id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")))
     return found.withColumnRenamed("id", id)
 
@@ -106,6 +105,25 @@ class _Grid:
         self.side = side
         self.reach = math.ceil(math.sqrt(d))
         self.far = F.lit(eps * eps)
+        self.axes = [f"x{i}" for i in range(d)]
+
+    def cell(self) -> Column:
+        """The cell of a point that has a column per feature."""
+        return _cell(F.array(*self.axes), self.side, self.d)
+
+    def apart(self, points: DataFrame) -> DataFrame:
+        """The points written with a column per feature: a narrow row of numbers is read, hashed and sorted faster than arrays."""
+        rest = [c for c in points.columns if c not in ("cell", "x")]
+        return materialize(points.select(*[F.col("x")[i].alias(x) for i, x in enumerate(self.axes)], *rest))
+
+    def located(self, points: DataFrame) -> DataFrame:
+        """Points with a column per feature as points with ``cell`` and ``x``; the arrays are made where they are used."""
+        rest = [c for c in points.columns if c not in self.axes]
+        return points.select(self.cell().alias("cell"), F.array(*self.axes).alias("x"), *rest)
+
+    def stored(self, points: DataFrame) -> DataFrame:
+        """The points, written."""
+        return self.located(self.apart(points))
 
     def _squares(self, term) -> Column:
         terms = [term(i) * term(i) for i in range(self.d)]
@@ -152,12 +170,16 @@ class _Grid:
     def halve(self, pairs: DataFrame, asking: DataFrame, others: DataFrame, level: int, carry: Sequence[str]) -> DataFrame:
         """The pairs as pairs of the next level, without those beyond the radius."""
 
-        def halves(points: DataFrame, name: str) -> DataFrame:
-            within = points.withColumn(name, self.node(level)).join(pairs.select(name).distinct(), name, "left_semi")
-            return _boxes(within.withColumn("cell", self.node(level + 1)), [name, "cell"], self.d)
+        def halves(points: DataFrame, names: str) -> DataFrame:
+            met = reduce(DataFrame.union, [pairs.select(F.col(name).alias("up")) for name in names]).distinct()
+            within = points.withColumn("up", self.node(level)).join(met, "up", "left_semi")
+            return _boxes(within.withColumn("cell", self.node(level + 1)), ["up", "cell"], self.d)
 
-        a = self._side(halves(asking, "a").withColumnRenamed("a", "up_a"), "cell", "a", "up_a")
-        b = self._side(halves(others, "b").withColumnRenamed("b", "up_b"), "cell", "b", "up_b")
+        # points that ask each other are halved by one plan, so that Spark reads and shuffles them once for both sides
+        left = halves(asking, "ab" if asking is others else "a")
+        right = left if asking is others else halves(others, "b")
+        a = self._side(left.withColumnRenamed("up", "up_a"), "cell", "a", "up_a")
+        b = self._side(right.withColumnRenamed("up", "up_b"), "cell", "b", "up_b")
         above = spread_out(pairs).select(F.col("a").alias("up_a"), F.col("b").alias("up_b"), *carry)
         return self._met(above.join(a, "up_a").join(b, "up_b"), carry)
 
@@ -197,7 +219,7 @@ class _Grid:
             compare = self._points_next(pairs, level)
             if compare is None:
                 break
-            asking = materialize(judged.filter("open").select(*kept))
+            asking = self.stored(judged.filter("open").select(*kept))
             if compare:
                 met = self.by_points(pairs, asking, points, level, ["known"]).groupBy("x").agg((F.max("known") + F.sum("w")).alias("surely"))
                 marked.append(asking.join(met, "x", "left").select(*kept, F.coalesce(enough, F.lit(False)).alias("core")))
@@ -255,7 +277,7 @@ class _Grid:
             compare = self._points_next(pairs, level)
             if compare is None:
                 break
-            asking = materialize(judged.join(waiting, "a", "left_semi").select("cell", "x", "w", "first", "best"))
+            asking = self.stored(judged.join(waiting, "a", "left_semi").select("cell", "x", "w", "first", "best"))
             if compare:
                 met = self.by_points(pairs, asking, core, level, ["cluster"]).groupBy("x").agg(F.min("cluster").alias("reached"))
                 found.append(asking.join(met, "x", "left").select("cell", "x", F.least("best", "reached").alias("cluster")))

@@ -169,7 +169,10 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 def _measures(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """What clusters add up of their points: rows, squared norms, features."""
-    return np.column_stack([weight, weight * (at**2).sum(axis=1), weight[:, None] * at])
+    out = np.empty((len(at), at.shape[1] + 2))
+    out[:, 0], out[:, 1] = weight, weight * np.einsum("ij,ij->i", at, at)
+    np.multiply(weight[:, None], at, out=out[:, 2:])
+    return out
 
 
 class _Pieces:
@@ -184,6 +187,11 @@ class _Pieces:
         self.ends = np.append(0, np.cumsum(self.length))
         self.middle, self.half = (self.low + self.high) / 2, (self.high - self.low) / 2
 
+    def points_of(self, chosen: np.ndarray) -> np.ndarray:
+        """The places of the points of the chosen pieces; no other piece is looked at."""
+        length = self.length[chosen]
+        return np.repeat(self.ends[chosen] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+
     @staticmethod
     def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
         return batch.column(name).flatten().to_numpy(zero_copy_only=False)
@@ -380,7 +388,7 @@ def _settle(sums: np.ndarray, pieces: _Pieces, measures: np.ndarray, centers: np
         able = rivals.any(axis=0)
         able[own[~whole]] = True
         near = np.flatnonzero(able)
-        apart = np.flatnonzero(np.repeat(~whole, pieces.length[part])) + pieces.ends[i]
+        apart = pieces.points_of(np.flatnonzero(~whole) + i)
         label = near[_distances(pieces.at[apart], centers[near]).argmin(axis=1)]
         _add(sums, label, measures[apart])
 

@@ -142,6 +142,30 @@ def test_cluster_passes_read_pieces(spark, monkeypatch):
     assert abs(best["inertia"] - near.min(1).sum()) < 1e-6 * best["inertia"]
 
 
+def test_cluster_keeps_rows_narrow(spark, monkeypatch):
+    """In ``cluster`` DBSCAN writes its points as plain numbers, and the profile reads labels that are written."""
+    points = blobs(2, 130, 5)
+    table = spark.createDataFrame([(i, *map(float, p), "ab"[i % 2]) for i, p in enumerate(points)], "id long, x double, y double, kind string")
+    written, materialize = [], dbscan.materialize
+
+    def noting(df):
+        written.append(df.dtypes)
+        return materialize(df)
+
+    monkeypatch.setattr(dbscan, "materialize", noting)
+    monkeypatch.setattr(kmeans, "MAX_K", 3)
+    sections = analyses.cluster(table, "id", columns=["x", "y"])
+    by_point = [dict(columns) for columns in written if {"w", "x0"} <= set(dict(columns)) or {"w", "x"} <= set(dict(columns))]
+    assert by_point and not any("array" in kind for columns in by_point for kind in columns.values())
+    profile = sections["kmeans_profile"]._jdf.queryExecution().toString()
+    assert "MapInPandas" not in profile and "PythonMapInPandas" not in profile
+    shares = {r["cluster"]: r["size"] for r in sections["kmeans_profile"].collect()}
+    assert sum(shares.values()) == len(points) == sections["kmeans_labels"].count()
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0)
+    wanted = neighbourhood_labels(scaled, dbscan.EPS, max(dbscan.MIN_SAMPLES, len(points) // 100))
+    assert dict(sections["dbscan_labels"].collect()) == {i: int(wanted[i]) for i in range(len(points))}
+
+
 def pieces_of(points, weight):
     """One batch of pieces of the points as they come."""
     rng = np.random.default_rng(7)
